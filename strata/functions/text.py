@@ -67,19 +67,24 @@ FOLD_FROM = "àáâôèéêëùûîïç"
 FOLD_TO = "aaaoeeeeuuiic"
 
 
+def _singular(token: Column) -> Column:
+    longer = F.regexp_replace(F.regexp_replace(token, "([^e])aux$", "$1al"), "[xs]$", "")
+    return (
+        F.when(F.length(token) > 5, longer)
+        .when(F.length(token) > 3, F.regexp_replace(token, "[xs]$", ""))
+        .otherwise(token)
+    )
+
+
 def _without_ending(token: Column) -> Column:
-    """Plural letter and the first matching ending rule removed."""
-    plural = F.when(
-        F.length(token) > 5, F.regexp_replace(F.regexp_replace(token, "([^e])aux$", "$1al"), "[xs]$", "")
-    ).when(F.length(token) > 3, F.regexp_replace(token, "[xs]$", "")).otherwise(token)
+    """The first matching ending rule applied."""
     ended = None
     for shortest, ending, replacement in LIGHT_ENDINGS:
-        hit = (F.length(plural) >= shortest) & plural.endswith(ending)
-        value = F.concat(
-            F.substring(plural, F.lit(1), F.length(plural) - len(ending)), F.lit(replacement)
-        )
+        hit = token.endswith(ending) & (F.length(token) >= shortest)
+        stem = F.substring(token, F.lit(1), F.length(token) - len(ending))
+        value = F.concat(stem, F.lit(replacement)) if replacement else stem
         ended = F.when(hit, value) if ended is None else ended.when(hit, value)
-    return ended.otherwise(plural)
+    return ended.otherwise(token)
 
 
 def _folded(stem: Column) -> Column:
@@ -95,7 +100,9 @@ def french_endings(text) -> Column:
     elided = F.transform(
         raw, lambda t: F.regexp_replace(t, "^(?:" + "|".join(ELISIONS) + ")['’]", "")
     )
-    return F.transform(without(elided, FRENCH_STOPWORDS), _without_ending)
+    # One pass per step: a step's input is then a value, not a repeated expression.
+    singular = F.transform(without(elided, FRENCH_STOPWORDS), _singular)
+    return F.transform(singular, _without_ending)
 
 
 def french_tokens(text) -> Column:

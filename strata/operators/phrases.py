@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions import text as X
-from strata.session import MAX_BROADCAST_ROWS, fits, lookup_join
+from strata.session import MAX_BROADCAST_ROWS, fits, lookup_join, written
 
 
 def unigram_counts(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -74,10 +74,14 @@ def mine(
     ceiling: float = 0.95,
     percentile: float = 99.9,
 ) -> DataFrame:
-    """Phrase table ``a, b, npmi, count`` of a tokenized corpus."""
-    scored = npmi(
-        bigram_counts(docs, tokens, min_count), unigram_counts(docs, tokens), min_count, threshold
-    )
+    """Phrase table ``a, b, npmi, count`` of a tokenized corpus.
+
+    Counts and scores are stored in the shared folder between the steps: each
+    is read several times, and the corpus only once per kind of count.
+    """
+    unigrams = written(unigram_counts(docs, tokens), "unigrams")
+    bigrams = written(bigram_counts(docs, tokens, min_count), "bigrams")
+    scored = written(npmi(bigrams, unigrams, min_count, threshold), "scored")
     return screen_lists(scored, ceiling, percentile)
 
 

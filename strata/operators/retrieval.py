@@ -88,12 +88,6 @@ def read_index(spark: SparkSession, path: str) -> Index:
 # --- search -------------------------------------------------------------------------
 
 
-def in_every_slice(queries: DataFrame, index: Index) -> DataFrame:
-    """Pose every query to every slice of the index (scores against later snapshots)."""
-    dates = index.slice_stats.agg(F.array_sort(F.collect_set("date")).alias("d")).scalar()
-    return queries.drop("date").withColumn("date", F.explode(dates))
-
-
 def query_terms(
     queries: DataFrame, keys: list[str], analyzer: X.Analyzer = X.light_tokens, column: str = "query"
 ) -> DataFrame:
@@ -120,29 +114,31 @@ def score_matches(
 ) -> DataFrame:
     """BM25 score of every (query, document) pair that shares a term.
 
-    ``keys`` identify a query and contain ``date``, the slice it is posed to.
+    ``keys`` identify a query and contain ``date``.  Queries with a ``date``
+    column are posed to that slice; queries without one are posed to every
+    slice of the index, also to later snapshots.
     """
-    terms = query_terms(queries, keys, analyzer)
-    small = fits(terms, max_broadcast)
-    stats = index.slice_stats
-    weighed = (
-        index.term_stats.join(F.broadcast(terms) if small else terms, ["date", "term"])
-        .join(F.broadcast(stats), "date")  # one row per slice
-        .select(
-            *keys,
-            "term",
-            "avgdl",
-            (F.col("qtf") * idf(F.col("n_docs"), F.col("df"))).alias("__weight"),
-        )
+    own = [c for c in keys if c != "date" or "date" in queries.columns]
+    on = ["date", "term"] if "date" in own else ["term"]
+    terms = query_terms(queries, own, analyzer)
+    stats = index.term_stats.join(F.broadcast(index.slice_stats), "date")  # one row per slice
+    dated = stats.select(
+        "date", "term", "avgdl", idf(F.col("n_docs"), F.col("df")).alias("__idf")
     )
+    if fits(terms, max_broadcast):
+        weighed = dated.join(F.broadcast(terms), on)
+        small = fits(weighed, max_broadcast)
+    else:
+        weighed, small = dated.join(terms, on), False
+    weighed = weighed.select(*keys, "term", "avgdl", (F.col("qtf") * F.col("__idf")).alias("__weight"))
     posts = index.postings
     if small:
         matched = posts.join(F.broadcast(weighed), ["date", "term"])
     else:
         # Hot terms are split over SALTS partitions by document.
         salt = F.pmod(F.xxhash64("docid"), F.lit(SALTS)).cast("int")
-        copies = weighed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        matched = posts.withColumn("salt", salt).join(copies, ["date", "term", "salt"])
+        copies = weighed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        matched = posts.withColumn("__salt", salt).join(copies, ["date", "term", "__salt"])
     length = (1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")
     part = F.col("__weight") * F.col("tf") / (F.col("tf") + F.lit(k1) * length)
     scored = matched.groupBy(*keys, "docid").agg(F.sum(part).alias("score"))
@@ -162,9 +158,7 @@ def search_shards(
     """Several arms (original, expanded) in one job, with the shard of each query."""
     from strata.operators.clean import shard, union_all
 
-    posed = union_all(
-        [df.select("date", "qid", "query", F.lit(arm).alias("arm")) for arm, df in arms.items()]
-    )
+    posed = union_all([df.withColumn("arm", F.lit(arm)) for arm, df in arms.items()])
     run = search(index, posed, ["arm", "date", "qid"], k, **options)
     return shard(run, "qid", shards)
 

@@ -219,8 +219,8 @@ def grid_quality(spark, sf):
 @query(
     "best_terms",
     "O5",
-    f"""WITH {GRID}, cells AS (SELECT n_terms, round(avg(ndcg_cut_10), 6) AS score FROM gscores WHERE weight = 4 GROUP BY n_terms)
-    SELECT n_terms, score FROM cells ORDER BY score DESC, n_terms LIMIT 1""",
+    f"""WITH {GRID}, best AS (SELECT n_terms, round(avg(ndcg_cut_10), 6) AS score FROM gscores WHERE weight = 4 GROUP BY n_terms)
+    SELECT n_terms, score FROM best ORDER BY score DESC, n_terms LIMIT 1""",
 )
 def best_terms(spark, sf):
     rows = grid_scores(spark, sf).where(F.col("weight") == 4)

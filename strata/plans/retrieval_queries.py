@@ -77,8 +77,7 @@ def slice_stats(spark, sf):
     SELECT date, qid, count(*) AS n, round(sum(score), 6) AS total, round(max(score), 6) AS best FROM matches GROUP BY date, qid""",
 )
 def query_matches(spark, sf):
-    posed = retrieval.in_every_slice(T.queries(spark, sf), T.index(spark, sf))
-    scored = retrieval.score_matches(T.index(spark, sf), posed, ["date", "qid"])
+    scored = retrieval.score_matches(T.index(spark, sf), T.queries(spark, sf), ["date", "qid"])
     return scored.groupBy("date", "qid").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.sum("score"), 6).alias("total"),
@@ -92,9 +91,7 @@ def query_matches(spark, sf):
     f"WITH {T.RUN} SELECT date, qid, CAST(rank AS INTEGER) AS rank, docid, score FROM run WHERE rank < 10",
 )
 def bm25_topk(spark, sf):
-    index = T.index(spark, sf)
-    posed = retrieval.in_every_slice(T.queries(spark, sf), index)
-    return retrieval.search(index, posed, ["date", "qid"], k=10)
+    return retrieval.search(T.index(spark, sf), T.queries(spark, sf), ["date", "qid"], k=10)
 
 
 @query(
@@ -164,9 +161,8 @@ erun AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date, qid ORDE
 
 
 def expanded_run(spark, sf, k: int = 10) -> DataFrame:
-    index = T.index(spark, sf)
     merged = retrieval.merge_expansion(with_terms(spark, sf), MAX_TERMS, WEIGHT).select("qid", "query")
-    return retrieval.search(index, retrieval.in_every_slice(merged, index), ["date", "qid"], k=k)
+    return retrieval.search(T.index(spark, sf), merged, ["date", "qid"], k=k)
 
 
 @query(
@@ -187,10 +183,9 @@ grun AS (SELECT * FROM (SELECT *, row_number() OVER (
 
 
 def grid_run(spark, sf) -> DataFrame:
-    index = T.index(spark, sf)
     cells = retrieval.expansion_grid(with_terms(spark, sf), GRID_TERMS, GRID_WEIGHTS)
-    posed = retrieval.in_every_slice(cells.select("n_terms", "weight", "qid", "query"), index)
-    return retrieval.search(index, posed, ["n_terms", "weight", "date", "qid"], k=10)
+    posed = cells.select("n_terms", "weight", "qid", "query")
+    return retrieval.search(T.index(spark, sf), posed, ["n_terms", "weight", "date", "qid"], k=10)
 
 
 @query(
@@ -210,12 +205,9 @@ def expansion_grid(spark, sf):
 
 @query("search_shards", "R6")
 def search_shards(spark, sf):
-    index = T.index(spark, sf)
-    posed = retrieval.in_every_slice(T.queries(spark, sf), index)
-    merged = retrieval.in_every_slice(
-        retrieval.merge_expansion(with_terms(spark, sf), MAX_TERMS, WEIGHT).select("qid", "query"), index
-    )
-    return retrieval.search_shards(index, {"original": posed, "expanded": merged}, shards=8, k=10)
+    merged = retrieval.merge_expansion(with_terms(spark, sf), MAX_TERMS, WEIGHT).select("qid", "query")
+    arms = {"original": T.queries(spark, sf), "expanded": merged}
+    return retrieval.search_shards(T.index(spark, sf), arms, shards=8, k=10)
 
 
 @query(
@@ -283,7 +275,9 @@ def candidates_left(spark, sf):
 
 
 def sliced_queries(spark, sf) -> DataFrame:
-    return retrieval.in_every_slice(T.queries(spark, sf), T.index(spark, sf))
+    """Every query posed to every slice of the index."""
+    dates = T.index(spark, sf).slice_stats.agg(F.collect_set("date")).scalar()  # one per slice
+    return T.queries(spark, sf).withColumn("date", F.explode(dates))
 
 
 @query(

@@ -32,13 +32,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose rows are costly to analyze, in enough partitions for every core.
+
+    Only an input of fewer splits than cores is spread; a large one is left as it is read.
+    """
+    rows = table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def month(number: Column) -> Column:
     """Month string of a 0-based slice number."""
     return F.date_format(F.add_months(F.lit("2022-06-01").cast("date"), number.cast("int")), "yyyy-MM")
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").select(
+    rows = texts(spark, sf, "documents").select(
         F.concat(F.lit("doc"), F.col("doc_id")).alias("docid"),
         F.col("text").alias("contents"),
         F.col("lang").alias("language"),
@@ -91,15 +101,19 @@ def topics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def word_pairs(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Distinct pairs of neighbouring words of a text as an array of strings."""
+    tokens = df.select(*keys, X.simple_tokens(text).alias("t"))
+    joined = F.transform(X.adjacent_pairs("t"), lambda p: F.concat_ws(" ", p["a"], p["b"]))
+    return tokens.select(*keys, F.array_distinct(joined).alias("pairs"))
+
+
 def qrels(spark: SparkSession, sf: str) -> DataFrame:
-    docs = documents(spark, sf).select(
-        "date", "docid", F.explode(F.array_distinct(X.adjacent_pairs(X.simple_tokens("contents")))).alias("p")
-    )
-    posed = queries(spark, sf).select(
-        "qid", F.array_distinct(X.adjacent_pairs(X.simple_tokens("query"))).alias("pairs")
-    )
+    docs = word_pairs(documents(spark, sf), ["date", "docid"], "contents")
+    held = docs.select("date", "docid", F.explode("pairs").alias("p"))
+    posed = word_pairs(queries(spark, sf), ["qid"], "query")
     wanted = posed.select("qid", F.size("pairs").alias("n"), F.explode("pairs").alias("p"))
-    shared = docs.join(broadcast_if_small(wanted), "p")
+    shared = held.join(broadcast_if_small(wanted), "p")
     covered = shared.groupBy("date", "qid", "docid").agg((F.count(F.lit(1)) / F.first("n")).alias("c"))
     grade = F.when(F.col("c") >= 0.5, 2).when(F.col("c") >= 0.1, 1).otherwise(0)
     return covered.select("date", "qid", "docid", grade.alias("rel"))
@@ -112,7 +126,7 @@ def qrels(spark: SparkSession, sf: str) -> DataFrame:
 _stored: dict[tuple[str, str, str], object] = {}
 
 
-def _once(spark: SparkSession, sf: str, name: str, build):
+def once(spark: SparkSession, sf: str, name: str, build):
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _stored:
         _stored[key] = build()
@@ -123,22 +137,21 @@ def index(spark: SparkSession, sf: str) -> retrieval.Index:
     def build():
         return retrieval.write_index(documents(spark, sf), scratch_path(spark, "index"))
 
-    return _once(spark, sf, "index", build)
+    return once(spark, sf, "index", build)
 
 
 def stored_qrels(spark: SparkSession, sf: str) -> DataFrame:
-    return _once(spark, sf, "qrels", lambda: written(qrels(spark, sf), "qrels"))
+    return once(spark, sf, "qrels", lambda: written(qrels(spark, sf), "qrels"))
 
 
 def run(spark: SparkSession, sf: str) -> DataFrame:
     """Best 100 documents of every query in every slice."""
 
     def build():
-        posed = retrieval.in_every_slice(queries(spark, sf), index(spark, sf))
-        found = retrieval.search(index(spark, sf), posed, ["date", "qid"], RUN_DEPTH)
+        found = retrieval.search(index(spark, sf), queries(spark, sf), ["date", "qid"], RUN_DEPTH)
         return written(found, "run")
 
-    return _once(spark, sf, "run", build)
+    return once(spark, sf, "run", build)
 
 
 def topical(spark: SparkSession, sf: str) -> DataFrame:

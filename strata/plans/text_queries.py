@@ -11,6 +11,7 @@ from strata.operators import coherence, phrases
 from strata.operators.ranking import top_k
 from strata.plans import tables as T
 from strata.plans.registry import query
+from strata.session import written
 
 MIN_COUNT = 5
 THRESHOLD = 0.3
@@ -53,6 +54,10 @@ def mined(spark, sf) -> DataFrame:
     )
 
 
+def stored_phrases(spark, sf) -> DataFrame:
+    return T.once(spark, sf, "phrases", lambda: written(mined(spark, sf), "phrases"))
+
+
 @query(
     "tokenize",
     "T1 T2 T3",
@@ -80,7 +85,26 @@ def _ending_sql(t: str) -> str:
     return f"CASE {cases} ELSE {t} END"
 
 
-@query("analyze_french", "T1 X1")
+def _folded_sql(t: str) -> str:
+    folded = f"translate({t}, '{X.FOLD_FROM}', '{X.FOLD_TO}')"
+    for letter in "abcdefghijklmnopqrstuvwxyzßäöüñáíóúœæ":
+        folded = f"replace({folded}, '{letter * 2}', '{letter}')"
+    return f"CASE WHEN length({t}) > 4 THEN regexp_replace({folded}, '^(.{{4}}.*?)e?r?$', '\\1') ELSE {t} END"
+
+
+ENDINGS = rf"""{T.DOCS},
+raw AS (SELECT date, docid, regexp_extract_all(lower(contents), '[\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*') AS t FROM docs),
+elided AS (SELECT date, docid, list_filter(list_transform(t,
+  lambda x: regexp_replace(x, '^(?:{"|".join(ELISIONS)})[''’]', '')), lambda x: x NOT IN ({T.STOP})) AS t FROM raw),
+ended AS (SELECT date, docid, list_transform(list_transform(t, lambda x: {_plural_sql('x')}), lambda x: {_ending_sql('x')}) AS t FROM elided)"""
+
+
+@query(
+    "analyze_french",
+    "T1 X1",
+    f"""WITH {ENDINGS}, folded AS (SELECT date, docid, list_transform(t, lambda x: {_folded_sql('x')}) AS t FROM ended)
+    SELECT date, docid, len(t) AS n, md5(array_to_string(t, ' ')) AS tokens_hash FROM folded""",
+)
 def analyze_french(spark, sf):
     rows = T.documents(spark, sf).select("date", "docid", X.french_tokens("contents").alias("tokens"))
     return rows.select(
@@ -92,20 +116,14 @@ def analyze_french(spark, sf):
 
 
 @query(
-    "elided_tokens",
+    "french_endings",
     "T1",
-    rf"""WITH {T.DOCS}, raw AS (
-      SELECT date, docid, regexp_extract_all(lower(contents), '[\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*') AS t FROM docs),
-    e AS (SELECT date, docid, list_filter(list_transform(t,
-      lambda x: regexp_replace(x, '^(?:{"|".join(ELISIONS)})[''’]', '')), lambda x: x NOT IN ({T.STOP})) AS t FROM raw),
-    p AS (SELECT date, docid, unnest(list_transform(list_transform(t, lambda x: {_plural_sql('x')}), lambda x: {_ending_sql('x')})) AS stem FROM e)
-    SELECT stem, count(*) AS n FROM p WHERE length(stem) <= 4 GROUP BY stem""",
+    f"WITH {ENDINGS} SELECT stem, count(*) AS n FROM (SELECT unnest(t) AS stem FROM ended) GROUP BY stem",
 )
-def elided_tokens(spark, sf):
-    """Stems of at most four letters, which neither folding nor trimming touches."""
-    lowered = T.documents(spark, sf).select(F.explode(X.french_endings("contents")).alias("stem"))
-    short = lowered.where(F.length("stem") <= 4)
-    return short.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+def french_endings(spark, sf):
+    """Counts of French stems before folding."""
+    stems = T.documents(spark, sf).select(F.explode(X.french_endings("contents")).alias("stem"))
+    return stems.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("unigrams", "T4", f"WITH {TOKENS}, {UNIGRAMS} SELECT * FROM uni")
@@ -151,7 +169,7 @@ def phrase_screen(spark, sf):
     FROM toks LEFT JOIN hit USING (date, docid) WHERE len(tokens) > 0""",
 )
 def apply_phrases(spark, sf):
-    rows = phrases.append_phrases(tokens(spark, sf), mined(spark, sf), ["date", "docid"])
+    rows = phrases.append_phrases(tokens(spark, sf), stored_phrases(spark, sf), ["date", "docid"])
     return rows.where(F.size("tokens") > 0).select(
         "date",
         "docid",

@@ -350,10 +350,10 @@ def phrased(spark, sf) -> DataFrame:
     """Stored phrased tokens: written once, read by every model of the application."""
 
     def build():
-        rows = phrases.append_phrases(Q.tokens(spark, sf), Q.mined(spark, sf), DOC)
+        rows = phrases.append_phrases(Q.tokens(spark, sf), Q.stored_phrases(spark, sf), DOC)
         return written(rows.select("date", "docid", "language", "tokens_phrased"), "phrased")
 
-    return T._once(spark, sf, "phrased", build)
+    return T.once(spark, sf, "phrased", build)
 
 
 def features(spark, sf):
@@ -362,14 +362,14 @@ def features(spark, sf):
         vocabulary = topics.fit_vocabulary(rows, size=2000, min_df=3, max_df=0.5)
         return vocabulary, topics.vectorise(rows, vocabulary).select(*DOC, "features", "vocab_hits")
 
-    return T._once(spark, sf, "features", build)
+    return T.once(spark, sf, "features", build)
 
 
 def lda(spark, sf, k: int):
     def build():
         return topics.fit_lda(features(spark, sf)[1], DOC, k, max_iter=5, subsampling_rate=0.3, learning_offset=64.0)
 
-    return T._once(spark, sf, f"lda{k}", build)
+    return T.once(spark, sf, f"lda{k}", build)
 
 
 @query("vocabulary", "T9 T10")
