@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators.ranking import unnest
 from strata.session import broadcast_if_small
 
 EPSILON = 1e-12
@@ -46,8 +47,8 @@ def co_counts(docs: DataFrame, needed: DataFrame, words: DataFrame, tokens: str)
     wanted = needed.select("a", "b").unionByName(
         words.select(F.col("word").alias("a"), F.col("word").alias("b"))
     ).distinct()
-    held = docs.select(F.array_intersect(F.col(tokens), vocabulary).alias("v")).where(F.size("v") > 0)
-    pairs = held.select("v", F.explode("v").alias("a")).join(broadcast_if_small(wanted), "a")
+    held = docs.select(F.array_intersect(F.col(tokens), vocabulary).alias("v"))
+    pairs = unnest(held, ["v"], "v", "a").join(broadcast_if_small(wanted), "a")
     return (
         pairs.where(F.array_contains("v", F.col("b")))
         .groupBy("a", "b")

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions import text as X
+from strata.operators.ranking import unnest
 from strata.session import MAX_BROADCAST_ROWS, fits, lookup_join, written
 
 
 def unigram_counts(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     return (
-        docs.select(F.explode(tokens).alias("w"))
+        unnest(docs, [], tokens, "w")
         .groupBy("w")
         .agg(F.count(F.lit(1)).alias("w_count"))
     )

@@ -1,4 +1,4 @@
-"""Positions and running sums that do not put a whole group into one task."""
+"""Row expansion, top-k and positions that do not put a whole group into one task."""
 
 from __future__ import annotations
 
@@ -6,6 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def unnest(df: DataFrame, keep: list, array, into: str) -> DataFrame:
+    """One row per element of a computed array column.
+
+    A plain ``explode`` of a column lets the optimizer infer ``size(column) > 0``
+    and push it below the projection, which evaluates the array, here usually a
+    tokenizer, a second time.  The outer form infers nothing.
+    """
+    rows = df.select(*keep, F.explode_outer(array).alias(into))
+    return rows.where(F.col(into).isNotNull())
+
+
 def top_k(
     df: DataFrame, group: list[str], order: list[Column], k: int, into: str = "rank", base: int = 0
 ) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions import text as X
-from strata.operators.ranking import top_k
+from strata.operators.ranking import top_k, unnest
 from strata.session import MAX_BROADCAST_ROWS, fits
 
 K1 = 0.9
@@ -36,11 +36,14 @@ class Index:
 
 
 def postings(docs: DataFrame, analyzer: X.Analyzer = X.light_tokens, column: str = "contents") -> DataFrame:
-    """Term frequencies and document lengths of ``(date, docid, contents)`` rows."""
-    tokenized = docs.select("date", "docid", analyzer(F.col(column)).alias("tokens"))
-    terms = tokenized.select(
-        "date", "docid", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")
-    )
+    """Term frequencies and document lengths of ``(date, docid, contents)`` rows.
+
+    Texts are shuffled by document before they are analyzed: a text is smaller
+    than its posting rows, which are then counted where they arise.
+    """
+    placed = docs.select("date", "docid", column).repartition("date", "docid")
+    tokenized = placed.select("date", "docid", analyzer(F.col(column)).alias("tokens"))
+    terms = unnest(tokenized, ["date", "docid", F.size("tokens").alias("dl")], "tokens", "term")
     return terms.groupBy("date", "docid", "term", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
@@ -125,24 +128,30 @@ def score_matches(
     dated = stats.select(
         "date", "term", "avgdl", idf(F.col("n_docs"), F.col("df")).alias("__idf")
     )
-    if fits(terms, max_broadcast):
-        weighed = dated.join(F.broadcast(terms), on)
-        small = fits(weighed, max_broadcast)
-    else:
-        weighed, small = dated.join(terms, on), False
-    weighed = weighed.select(*keys, "term", "avgdl", (F.col("qtf") * F.col("__idf")).alias("__weight"))
+    # A term has at most one row per slice it is posed to.
+    slices = 1 if "date" in own else max(index.slice_stats.count(), 1)
+    small = fits(terms, max_broadcast // slices)
+    weighed = dated.join(F.broadcast(terms) if small else terms, on).select(*keys, "term", "avgdl", (F.col("qtf") * F.col("__idf")).alias("__weight"))
+    matched = _matched(index, weighed, small)
+    scored = matched.groupBy(*keys, "docid").agg(F.sum(_part("__weight", k1, b)).alias("score"))
+    return scored.withColumn("score", F.round("score", digits))
+
+
+def _matched(index: Index, weighed: DataFrame, small: bool) -> DataFrame:
+    """Postings of the weighed query terms (broadcast if known to be small)."""
     posts = index.postings
     if small:
-        matched = posts.join(F.broadcast(weighed), ["date", "term"])
-    else:
-        # Hot terms are split over SALTS partitions by document.
-        salt = F.pmod(F.xxhash64("docid"), F.lit(SALTS)).cast("int")
-        copies = weighed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        matched = posts.withColumn("__salt", salt).join(copies, ["date", "term", "__salt"])
+        return posts.join(F.broadcast(weighed), ["date", "term"])
+    # Hot terms are split over SALTS partitions by document.
+    salt = F.pmod(F.xxhash64("docid"), F.lit(SALTS)).cast("int")
+    copies = weighed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return posts.withColumn("__salt", salt).join(copies, ["date", "term", "__salt"])
+
+
+def _part(weight: str, k1: float, b: float) -> Column:
+    """Share of one posting in a document's score."""
     length = (1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")
-    part = F.col("__weight") * F.col("tf") / (F.col("tf") + F.lit(k1) * length)
-    scored = matched.groupBy(*keys, "docid").agg(F.sum(part).alias("score"))
-    return scored.withColumn("score", F.round("score", digits))
+    return F.col(weight) * F.col("tf") / (F.col("tf") + F.lit(k1) * length)
 
 
 def search(index: Index, queries: DataFrame, keys: list[str], k: int = 100, **options) -> DataFrame:
@@ -152,6 +161,59 @@ def search(index: Index, queries: DataFrame, keys: list[str], k: int = 100, **op
     return ranked.select(*keys, "rank", "docid", "score")
 
 
+def search_cells(
+    index: Index,
+    cells: DataFrame,
+    cell: list[str],
+    grid: list[tuple],
+    k: int = 100,
+    analyzer: X.Analyzer = X.light_tokens,
+    k1: float = K1,
+    b: float = B,
+    max_broadcast: int = MAX_BROADCAST_ROWS,
+    digits: int = 6,
+) -> DataFrame:
+    """Search for every cell of a parameter grid with one pass over the matches.
+
+    The cells of a query differ in term frequencies only, so a matching posting
+    is joined once and adds to one sum per cell.
+    """
+    terms = query_terms(cells, [*cell, "qid"], analyzer)
+
+    def inside(values: tuple) -> Column:
+        return F.struct(*cell) == F.struct(*[F.lit(v) for v in values])
+
+    wide = terms.groupBy("qid", "term").agg(
+        *[F.max(F.when(inside(v), F.col("qtf"))).alias(f"__q{i}") for i, v in enumerate(grid)]
+    )
+    stats = index.term_stats.join(F.broadcast(index.slice_stats), "date")  # one row per slice
+    small = fits(wide, max_broadcast // max(index.slice_stats.count(), 1))
+    weighed = stats.join(F.broadcast(wide) if small else wide, "term").select(
+        "date",
+        "qid",
+        "term",
+        "avgdl",
+        *[
+            (F.col(f"__q{i}") * idf(F.col("n_docs"), F.col("df"))).alias(f"__w{i}")
+            for i in range(len(grid))
+        ],
+    )
+    sums = _matched(index, weighed, small).groupBy("date", "qid", "docid").agg(
+        *[F.sum(_part(f"__w{i}", k1, b)).alias(f"__s{i}") for i in range(len(grid))]
+    )
+    rows = F.array(
+        *[
+            F.struct(*[F.lit(x).alias(c) for c, x in zip(cell, v)], F.round(f"__s{i}", digits).alias("score"))
+            for i, v in enumerate(grid)
+        ]
+    )
+    keys = [*cell, "date", "qid"]
+    long = sums.select("date", "qid", "docid", F.explode(rows).alias("c")).select("date", "qid", "docid", "c.*")
+    found = long.where(F.col("score").isNotNull())
+    ranked = top_k(found, keys, [F.desc("score"), F.asc("docid")], k)
+    return ranked.select(*keys, "rank", "docid", "score")
+
+
 def search_shards(
     index: Index, arms: dict[str, DataFrame], shards: int, k: int = 100, **options
 ) -> DataFrame:

@@ -185,7 +185,8 @@ grun AS (SELECT * FROM (SELECT *, row_number() OVER (
 def grid_run(spark, sf) -> DataFrame:
     cells = retrieval.expansion_grid(with_terms(spark, sf), GRID_TERMS, GRID_WEIGHTS)
     posed = cells.select("n_terms", "weight", "qid", "query")
-    return retrieval.search(T.index(spark, sf), posed, ["n_terms", "weight", "date", "qid"], k=10)
+    grid = [(n, w) for n in GRID_TERMS for w in GRID_WEIGHTS]
+    return retrieval.search_cells(T.index(spark, sf), posed, ["n_terms", "weight"], grid, k=10)
 
 
 @query(

@@ -20,6 +20,7 @@ from strata.functions import text as X
 from strata.functions import vectors as V
 from strata.functions.words import FRENCH_STOPWORDS
 from strata.operators import retrieval
+from strata.operators.ranking import unnest
 from strata.session import broadcast_if_small, scratch_path, written
 
 TOPICS = 64
@@ -110,9 +111,9 @@ def word_pairs(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def qrels(spark: SparkSession, sf: str) -> DataFrame:
     docs = word_pairs(documents(spark, sf), ["date", "docid"], "contents")
-    held = docs.select("date", "docid", F.explode("pairs").alias("p"))
+    held = unnest(docs, ["date", "docid"], "pairs", "p")
     posed = word_pairs(queries(spark, sf), ["qid"], "query")
-    wanted = posed.select("qid", F.size("pairs").alias("n"), F.explode("pairs").alias("p"))
+    wanted = unnest(posed, ["qid", F.size("pairs").alias("n")], "pairs", "p")
     shared = held.join(broadcast_if_small(wanted), "p")
     covered = shared.groupBy("date", "qid", "docid").agg((F.count(F.lit(1)) / F.first("n")).alias("c"))
     grade = F.when(F.col("c") >= 0.5, 2).when(F.col("c") >= 0.1, 1).otherwise(0)

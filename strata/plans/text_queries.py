@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strata.functions import text as X
 from strata.functions.words import ELISIONS, ENGLISH_STOPWORDS, FRENCH_STOPWORDS
 from strata.operators import coherence, phrases
-from strata.operators.ranking import top_k
+from strata.operators.ranking import top_k, unnest
 from strata.plans import tables as T
 from strata.plans.registry import query
 from strata.session import written
@@ -194,8 +194,7 @@ tw AS (SELECT CAST(dense_rank() OVER (ORDER BY language) - 1 AS INTEGER) AS topi
 def topic_words(spark, sf, n: int) -> DataFrame:
     """The ``n`` words of highest document frequency per language."""
     freq = (
-        tokens(spark, sf)
-        .select("language", F.explode(F.array_distinct("tokens")).alias("word"))
+        unnest(tokens(spark, sf), ["language"], F.array_distinct("tokens"), "word")
         .groupBy("language", "word")
         .agg(F.count(F.lit(1)).alias("df"))
     )
@@ -204,6 +203,11 @@ def topic_words(spark, sf, n: int) -> DataFrame:
     return numbered.select(F.lit(4).alias("k"), "topic", "pos", "word")
 
 
+def stored_topic_words(spark, sf, n: int) -> DataFrame:
+    """The word lists as a model would hand them over: a small stored table."""
+    return T.once(spark, sf, f"words{n}", lambda: written(topic_words(spark, sf, n), "words"))
+
+
 @query(
     "topic_words_by_df",
     "K8 O3 T14",
@@ -235,7 +239,7 @@ per_topic AS (SELECT topic, avg(npmi) AS npmi FROM npmis GROUP BY topic)"""
     f"WITH {PAIRED} SELECT topic, round(npmi, 6) AS npmi, total AS n_docs FROM per_topic, nd",
 )
 def topic_coherence(spark, sf):
-    rows = coherence.topic_npmi(tokens(spark, sf), topic_words(spark, sf, TOP_N), tokens="tokens", n=TOP_N)
+    rows = coherence.topic_npmi(tokens(spark, sf), stored_topic_words(spark, sf, TOP_N), tokens="tokens", n=TOP_N)
     return rows.withColumn("npmi", F.round("npmi", 6))
 
 
@@ -245,7 +249,7 @@ def topic_coherence(spark, sf):
     f"""WITH {words_by_df_sql(TOP_N)} SELECT 4 AS k, round(count(DISTINCT word) / count(*), 6) AS topic_diversity FROM tw""",
 )
 def topic_diversity(spark, sf):
-    rows = coherence.diversity(topic_words(spark, sf, TOP_N), ["k"], TOP_N)
+    rows = coherence.diversity(stored_topic_words(spark, sf, TOP_N), ["k"], TOP_N)
     return rows.withColumn("topic_diversity", F.round("topic_diversity", 6))
 
 
@@ -257,7 +261,7 @@ def topic_diversity(spark, sf):
     round(npmi * div, 6) AS coherence_diversity, total AS n_docs FROM m, d, nd""",
 )
 def coherence_table(spark, sf):
-    rows = coherence.coherence_table(tokens(spark, sf), topic_words(spark, sf, TOP_N), "tokens", TOP_N)
+    rows = coherence.coherence_table(tokens(spark, sf), stored_topic_words(spark, sf, TOP_N), "tokens", TOP_N)
     return rows.select("k", "mean_npmi", "topic_diversity", F.round("coherence_diversity", 6).alias("coherence_diversity"), "n_docs")
 
 
@@ -271,4 +275,4 @@ def coherence_table(spark, sf):
     JOIN s sx ON sx.topic = x.topic JOIN s sy ON sy.topic = y.topic GROUP BY x.topic, y.topic""",
 )
 def topic_separation(spark, sf):
-    return coherence.separation(topic_words(spark, sf, 500), 500)
+    return coherence.separation(stored_topic_words(spark, sf, 500), 500)
