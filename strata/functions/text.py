@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,6 +63,8 @@ LIGHT_ENDINGS = [
     (8, "esse", ""),
 ]
 
+LAST_LETTERS = "(?:(?<=.{3})ie|(?<=.{4})e{0,2}r?)$"
+
 # Accented letters and what they fold to.
 FOLD_FROM = "àáâôèéêëùûîïç"
 FOLD_TO = "aaaoeeeeuuiic"
@@ -88,9 +91,9 @@ def _without_ending(token: Column) -> Column:
 
 
 def _folded(stem: Column) -> Column:
-    """Accents, doubled letters and a final e or r folded away in longer stems."""
+    """Accents, doubled letters and a final ie, e, ee, r or er folded away in longer stems."""
     plain = F.regexp_replace(F.translate(stem, FOLD_FROM, FOLD_TO), r"(\p{L})\1", "$1")
-    return F.when(F.length(stem) > 4, F.regexp_replace(plain, "(?<=.{4})e?r?$", "")).otherwise(stem)
+    return F.when(F.length(stem) > 4, F.regexp_replace(plain, LAST_LETTERS, "")).otherwise(stem)
 
 
 def french_endings(text) -> Column:
@@ -168,8 +171,6 @@ def encoder_token_count(make_encoder: Callable[[], Callable[[str], list]]):
     ``make_encoder`` runs once per batch on the executors and returns a
     function from text to a list of tokens.
     """
-    import pandas as pd
-
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
         encode = make_encoder()

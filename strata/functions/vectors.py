@@ -8,6 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` applied to ``value``, which is evaluated once.
+
+    Inside a lambda, an outer expression would be evaluated for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
 
@@ -27,8 +34,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     """Scaled to sum 1; a zero vector stays as it is."""
-    s = total(a)
-    return F.transform(a, lambda x: F.when(s > 0, x.cast("double") / s).otherwise(F.lit(0.0)))
+    with_sum = F.struct(a.alias("a"), total(a).alias("s"))
+
+    def scale(v: Column) -> Column:
+        return F.transform(v["a"], lambda x: F.when(v["s"] > 0, x.cast("double") / v["s"]).otherwise(0.0))
+
+    return let(with_sum, scale)
 
 
 def hellinger_similarity(p: Column, q: Column) -> Column:

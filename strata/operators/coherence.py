@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators.ranking import unnest
-from strata.session import broadcast_if_small
+from strata.session import broadcast_if_small, written
 
 EPSILON = 1e-12
 
@@ -47,7 +47,10 @@ def co_counts(docs: DataFrame, needed: DataFrame, words: DataFrame, tokens: str)
     wanted = needed.select("a", "b").unionByName(
         words.select(F.col("word").alias("a"), F.col("word").alias("b"))
     ).distinct()
-    held = docs.select(F.array_intersect(F.col(tokens), vocabulary).alias("v"))
+    # Never NULL, so that no NULL check is pushed below the projection and
+    # evaluates the tokens twice.
+    known = F.coalesce(F.array_intersect(F.col(tokens), vocabulary), F.array().cast("array<string>"))
+    held = docs.select(known.alias("v"))
     pairs = unnest(held, ["v"], "v", "a").join(broadcast_if_small(wanted), "a")
     return (
         pairs.where(F.array_contains("v", F.col("b")))
@@ -72,7 +75,7 @@ def topic_npmi(
     by = by or []
     words = top_words(topic_words, by, n)
     needed = word_pairs(topic_words, by, n)
-    counts = co_counts(docs, needed, words.select("word").distinct(), tokens)
+    counts = written(co_counts(docs, needed, words.select("word").distinct(), tokens), "pairs")
     n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     single = counts.where(F.col("a") == F.col("b"))
     pairs = (

@@ -67,6 +67,19 @@ def screen_lists(scored: DataFrame, ceiling: float = 0.95, percentile: float = 9
     return scored.where(~F.coalesce(listed, F.lit(False)))
 
 
+def score_pairs(
+    docs: DataFrame, tokens: str = "tokens", min_count: int = 20, threshold: float = 0.5
+) -> DataFrame:
+    """NPMI scores of a tokenized corpus.
+
+    The counts are stored in the shared folder first: each is read several
+    times, and the corpus only once per kind of count.
+    """
+    unigrams = written(unigram_counts(docs, tokens), "unigrams")
+    bigrams = written(bigram_counts(docs, tokens, min_count), "bigrams")
+    return npmi(bigrams, unigrams, min_count, threshold)
+
+
 def mine(
     docs: DataFrame,
     tokens: str = "tokens",
@@ -75,14 +88,8 @@ def mine(
     ceiling: float = 0.95,
     percentile: float = 99.9,
 ) -> DataFrame:
-    """Phrase table ``a, b, npmi, count`` of a tokenized corpus.
-
-    Counts and scores are stored in the shared folder between the steps: each
-    is read several times, and the corpus only once per kind of count.
-    """
-    unigrams = written(unigram_counts(docs, tokens), "unigrams")
-    bigrams = written(bigram_counts(docs, tokens, min_count), "bigrams")
-    scored = written(npmi(bigrams, unigrams, min_count, threshold), "scored")
+    """Phrase table ``a, b, npmi, count`` of a tokenized corpus."""
+    scored = written(score_pairs(docs, tokens, min_count, threshold), "scored")
     return screen_lists(scored, ceiling, percentile)
 
 

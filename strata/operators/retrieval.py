@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions import text as X
+from strata.functions.vectors import let
 from strata.operators.ranking import top_k, unnest
 from strata.session import MAX_BROADCAST_ROWS, fits
 
@@ -273,20 +274,19 @@ def new_terms(query: Column, terms: Column, max_terms: Column | int) -> Column:
     def words(c: Column) -> Column:
         return F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
 
-    trimmed = F.filter(
-        F.transform(terms, lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")), lambda t: t != ""
-    )
-    present = words(query)
-    adding = F.filter(trimmed, lambda t: F.size(F.array_except(words(t), present)) > 0)
-    folded = F.transform(adding, lambda t: F.lower(t))
-    first = F.filter(
-        F.transform(
-            adding, lambda t, i: F.struct(t.alias("t"), (F.array_position(folded, F.lower(t)) - 1 == i).alias("f"))
-        ),
-        lambda s: s["f"],
-    )
+    def adding(v: Column) -> Column:
+        return F.filter(v["terms"], lambda t: F.size(F.array_except(words(t), v["present"])) > 0)
+
+    def first_spellings(v: Column) -> Column:
+        folded = F.transform(v, lambda t: F.lower(t))
+        places = F.transform(F.array_distinct(folded), lambda f: F.array_position(folded, f).cast("int"))
+        return F.transform(places, lambda p: F.element_at(v, p))
+
+    trimmed = F.transform(terms, lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
+    filled = F.filter(trimmed, lambda t: t != "")
+    kept = let(F.struct(filled.alias("terms"), words(query).alias("present")), adding)
     limit = F.lit(max_terms) if isinstance(max_terms, int) else max_terms
-    return F.slice(F.transform(first, lambda s: s["t"]), F.lit(1), limit)
+    return F.slice(let(kept, first_spellings), F.lit(1), limit)
 
 
 def merge_expansion(

@@ -203,18 +203,21 @@ def sparse_rows(df: DataFrame, keys: list[str], column: str = "features") -> Dat
         F.transform(dense, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda c: c["x"] != 0
     )
     held = df.select(*keys, F.transform(cells, lambda c: c["i"]).alias("idx"), F.transform(cells, lambda c: c["x"]).alias("val"))
-    size = F.greatest(V.norm(F.col("val")), F.lit(1e-12))
-    return held.withColumn("val", F.transform("val", lambda x: x / size))
+    sized = held.withColumn("size", F.greatest(V.norm(F.col("val")), F.lit(1e-12)))
+    return sized.select(*keys, "idx", F.transform("val", lambda x: x / F.col("size")).alias("val"))
 
 
-def _solve_rows(idx, val, h, gram, steps: int):
-    """Non-negative row weights for fixed ``h`` by multiplicative updates, one row."""
-    part = h[:, idx]
-    target = part @ val
-    w = np.full(h.shape[0], 1.0 / h.shape[0])
-    for _ in range(steps):
-        w *= target / (gram @ w + 1e-12)
-    return w
+def _row_solver():
+    """Function that solves the non-negative weights of one row for a fixed matrix."""
+
+    def solve(idx, val, h, gram, steps: int):
+        target = h[:, idx] @ val
+        w = np.full(h.shape[0], 1.0 / h.shape[0])
+        for _ in range(steps):
+            w *= target / (gram @ w + 1e-12)
+        return w
+
+    return solve
 
 
 def fit_nmf(rows: DataFrame, k: int, n_terms: int, iterations: int = 20, steps: int = 20, seed: int = 42):
@@ -229,6 +232,7 @@ def fit_nmf(rows: DataFrame, k: int, n_terms: int, iterations: int = 20, steps:
     h = rng.random((k, n_terms)) + 1e-3
     names = [f"c{i}" for i in range(k)]
     schema = "id int, " + ", ".join(f"{n} double" for n in names)
+    solve = _row_solver()
     cells = rows.select("idx", "val").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for _ in range(iterations):
@@ -244,7 +248,7 @@ def fit_nmf(rows: DataFrame, k: int, n_terms: int, iterations: int = 20, steps:
                 for batch in batches:
                     for idx, val in zip(batch["idx"], batch["val"]):
                         at, x = np.asarray(idx, dtype=int), np.asarray(val, dtype=float)
-                        w = _solve_rows(at, x, matrix, gram, steps)
+                        w = solve(at, x, matrix, gram, steps)
                         top[:, at] += np.outer(w, x)
                         square += np.outer(w, w)
                 used = np.flatnonzero(top.any(axis=0))
@@ -276,6 +280,7 @@ def infer_nmf(rows: DataFrame, keys: list[str], h, steps: int = 50) -> DataFrame
     shared = rows.sparkSession.sparkContext.broadcast(np.asarray(h))
     fields = [f for f in rows.schema.fields if f.name in keys]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+    row_weights = _row_solver()
 
     def solve(batches):
         matrix = shared.value
@@ -284,7 +289,7 @@ def infer_nmf(rows: DataFrame, keys: list[str], h, steps: int = 50) -> DataFrame
             thetas, errors = [], []
             for idx, val in zip(batch["idx"], batch["val"]):
                 at, x = np.asarray(idx, dtype=int), np.asarray(val, dtype=float)
-                w = _solve_rows(at, x, matrix, gram, steps)
+                w = row_weights(at, x, matrix, gram, steps)
                 thetas.append(w.tolist())
                 errors.append(float(x @ x - 2 * w @ (matrix[:, at] @ x) + w @ gram @ w))
             out = batch[keys].copy()

@@ -89,7 +89,9 @@ def _folded_sql(t: str) -> str:
     folded = f"translate({t}, '{X.FOLD_FROM}', '{X.FOLD_TO}')"
     for letter in "abcdefghijklmnopqrstuvwxyzßäöüñáíóúœæ":
         folded = f"replace({folded}, '{letter * 2}', '{letter}')"
-    return f"CASE WHEN length({t}) > 4 THEN regexp_replace({folded}, '^(.{{4}}.*?)e?r?$', '\\1') ELSE {t} END"
+    return f"""CASE WHEN length({t}) <= 4 THEN {t}
+      WHEN regexp_matches({folded}, '^.{{3}}.*ie$') THEN regexp_replace({folded}, 'ie$', '')
+      ELSE regexp_replace({folded}, '^(.{{4}}.*?)e{{0,2}}r?$', '\\1') END"""
 
 
 ENDINGS = rf"""{T.DOCS},
@@ -142,10 +144,7 @@ def bigrams(spark, sf):
     f"WITH {TOKENS}, {UNIGRAMS}, {BIGRAMS}, {SCORED} SELECT a, b, round(npmi, 6) AS npmi, count FROM scored",
 )
 def npmi_phrases(spark, sf):
-    rows = tokens(spark, sf)
-    scored = phrases.npmi(
-        phrases.bigram_counts(rows, min_count=MIN_COUNT), phrases.unigram_counts(rows), MIN_COUNT, THRESHOLD
-    )
+    scored = phrases.score_pairs(tokens(spark, sf), min_count=MIN_COUNT, threshold=THRESHOLD)
     return scored.withColumn("npmi", F.round("npmi", 6)).orderBy(F.desc("npmi"), "a", "b")
 
 

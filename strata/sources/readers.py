@@ -20,10 +20,11 @@ MONTH_PARENT = r"[/=](\d{4}-\d{2})(?:_[a-z]+)?/[^/]*$"
 
 def folder_month() -> Column:
     """Month of the last folder that is not a shard collection."""
-    parts = F.filter(
-        F.split(F.col("_metadata.file_path"), "/"), lambda p: ~F.lower(p).contains("collection")
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    folders = F.filter(
+        F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: ~F.lower(p).contains("collection")
     )
-    return F.element_at(F.split(F.element_at(parts, -2), "_"), 1)
+    return F.element_at(F.split(F.element_at(folders, -1), "_"), 1)
 
 
 def file_month() -> Column:
