@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions import text as X
+from strata.operators.ranking import positions, running_sums
+from strata.session import spread_join
 
 METRICS = ["ndcg", "ndcg_rel", "ndcg_cut_10", "map"]
 
@@ -33,8 +35,6 @@ def _ideal_positions(grades: DataFrame, keys: list[str], limit_to: DataFrame | N
     Only grades matter for the ideal, so documents are numbered inside salted
     (query, grade) groups and shifted by the sizes of the groups before them.
     """
-    from strata.operators.ranking import positions
-
     relevant = grades.where(F.col("rel") > 0)
     salt = F.pmod(F.xxhash64("docid"), F.lit(64))
     bucket = F.struct((-F.col("rel")).alias("g"), salt.alias("s"))
@@ -83,23 +83,30 @@ def evaluate(
         ranked = ranked.join(known, shared, "left_semi")
         posed = ranked.select(*keys).distinct()
         ideals = _ideal_positions(grades, shared)
+        # A query is posed once per experiment, its judgements can be many.
+        runs = posed.groupBy(*shared).agg(F.collect_set(F.struct(*keys)).alias("__runs"))
+        wanted = spread_join(ideals, runs, shared).select(
+            F.explode("__runs").alias("r"), "pos", F.lit(0.0).alias("gain"), "ideal"
+        )
         cells = ranked.select(*keys, "pos", F.col("rel").alias("gain"), F.lit(0.0).alias("ideal")).unionByName(
-            posed.join(ideals, shared).select(*keys, "pos", F.lit(0.0).alias("gain"), "ideal")
+            wanted.select("r.*", "pos", "gain", "ideal")
         )
     at = cells.groupBy(*keys, "pos").agg(F.sum("gain").alias("gain"), F.sum("ideal").alias("ideal"))
     discount = F.log2(F.col("pos") + 1.0)
-    upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    summed = at.select(
+    parts = at.select(
         *keys,
         "pos",
         "ideal",
         (F.col("gain") / discount).alias("g"),
         (F.col("ideal") / discount).alias("i"),
         (F.col("gain") > 0).cast("int").alias("hit"),
-        F.sum(F.col("gain") / discount).over(upto).alias("dcg"),
-        F.sum(F.col("ideal") / discount).over(upto).alias("idcg"),
-        F.sum((F.col("gain") > 0).cast("int")).over(upto).alias("hits"),
     )
+    wanted = {"dcg": F.col("g"), "idcg": F.col("i"), "hits": F.col("hit")}
+    if ideal == "retrieved":  # no more positions than retrieved documents
+        upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        summed = parts.select("*", *[F.sum(c).over(upto).alias(n) for n, c in wanted.items()])
+    else:
+        summed = running_sums(parts, keys, "pos", wanted)
     relevant = F.sum((F.col("ideal") > 0).cast("int"))
     first10 = F.col("pos") <= 10
 

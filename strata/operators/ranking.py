@@ -50,3 +50,27 @@ def positions(
     return joined.withColumn(into, F.col("__before") + F.col("__local")).drop(
         "__bucket", "__local", "__before"
     )
+
+
+def running_sums(
+    df: DataFrame, group: list[str], at: str, sums: dict[str, Column], width: int = 1024
+) -> DataFrame:
+    """Sums over all rows of the group up to and including position ``at``.
+
+    Positions are distinct integers.  Sums run inside blocks of ``width``
+    positions and the total of the blocks before is added, so a group of any
+    size is worked on by many tasks.
+    """
+    parts = {f"__v{i}": c for i, c in enumerate(sums.values())}
+    rows = df.select("*", F.floor(F.col(at) / width).alias("__block"), *[c.alias(n) for n, c in parts.items()])
+    blocks = rows.groupBy(*group, "__block").agg(*[F.sum(n).alias(n) for n in parts])
+    before = Window.partitionBy(*group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(
+        *group, "__block", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}b") for n in parts]
+    )
+    inside = Window.partitionBy(*group, "__block").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.select("*", *[F.sum(n).over(inside).alias(f"{n}l") for n in parts])
+    joined = local.join(offsets, [*group, "__block"])
+    return joined.select(
+        *df.columns, *[(F.col(f"{n}b") + F.col(f"{n}l")).alias(into) for into, n in zip(sums, parts)]
+    )

@@ -490,3 +490,13 @@ def json_events(spark, sf):
     return flat.groupBy("event_type", "k").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value")
     )
+
+
+@query(
+    "longest_documents",
+    "O4",
+    f"""WITH {T.DOCS} SELECT docid, date, length(contents) AS chars FROM docs ORDER BY length(contents) DESC, docid LIMIT 25""",
+)
+def longest_documents(spark, sf):
+    rows = T.documents(spark, sf).select("docid", "date", F.length("contents").cast("bigint").alias("chars"))
+    return rows.orderBy(F.desc("chars"), "docid").limit(25)

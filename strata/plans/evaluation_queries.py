@@ -9,6 +9,7 @@ from strata.operators import clean, evaluate, retrieval, stats
 from strata.plans import retrieval_queries as R
 from strata.plans import tables as T
 from strata.plans.registry import query
+from strata.session import spread_join
 
 ON = ["date", "qid", "docid"]
 KEYS = ["date", "qid"]
@@ -268,7 +269,7 @@ def relevant_sets(spark, sf):
     """Queries with their relevant documents, one row per document."""
     wanted = T.stored_qrels(spark, sf).where(F.col("rel") > 0).select("qid", "date", "docid").distinct()
     posed = T.queries(spark, sf).select("qid", F.md5("query").alias("query_hash"))
-    return wanted.join(posed, "qid").select("qid", "query_hash", "date", "docid")
+    return spread_join(wanted, posed, ["qid"]).select("qid", "query_hash", "date", "docid")
 
 
 @query(

@@ -107,3 +107,27 @@ def lookup_join(
     return joined.select(
         *[F.col(c) for c in facts.columns], *[found[c].alias(c) for c in payload]
     )
+
+
+def spread_join(facts: DataFrame, dim: DataFrame, key: list[str], how: str = "inner", salts: int = 64) -> DataFrame:
+    """Join where a key may hold a large share of ``facts``; ``dim`` has one row per key.
+
+    Keys with at least 1/HOT_PARTS of the fact rows (at most HOT_PARTS keys,
+    so their list can be broadcast) are split over ``salts`` partitions: fact
+    rows by their content, and their ``dim`` row is repeated.  All other keys
+    are joined as usual.
+    """
+    counts = facts.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n").alias("t")).scalar()
+    hot = F.broadcast(
+        counts.where(F.col("__n") * F.lit(HOT_PARTS) >= total)
+        .where(F.col("__n") > salts)
+        .select(*key, F.lit(True).alias("__hot"))
+    )
+    salt = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
+    left = facts.join(hot, key, "left").withColumn(
+        "__salt", F.when(F.col("__hot"), salt).otherwise(0)
+    )
+    repeats = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = dim.join(hot, key, "left").withColumn("__salt", F.explode(repeats)).drop("__hot")
+    return left.drop("__hot").join(right, [*key, "__salt"], how).drop("__salt")

@@ -8,13 +8,25 @@ from pyspark.sql import functions as F
 SLICE = ["split", "language", "date"]
 
 
-def write_slices(df: DataFrame, path: str, by: list[str] | None = None, touched_only: bool = False) -> None:
-    """Parquet partitioned by slice; ``touched_only`` leaves other slices in place."""
+def write_slices(
+    df: DataFrame,
+    path: str,
+    by: list[str] | None = None,
+    touched_only: bool = False,
+    rebalance: bool = False,
+) -> None:
+    """Parquet partitioned by slice; ``touched_only`` leaves other slices in place.
+
+    ``rebalance`` gathers the rows of a slice into few files at the price of a
+    shuffle; a large slice is still split over several tasks.
+    """
+    columns = by or SLICE
+    rows = df.hint("rebalance", *columns) if rebalance else df
     mode = "dynamic" if touched_only else "static"
     (
-        df.write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", mode)
-        .partitionBy(*(by or SLICE))
+        .partitionBy(*columns)
         .parquet(path)
     )
 

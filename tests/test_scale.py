@@ -43,6 +43,57 @@ def test_lookup_join_equals_plain_join(spark, monkeypatch, parts):
     assert kept.count() == facts.count() and kept.where("name is null").count() == counts["k7"]
 
 
+@pytest.mark.parametrize("parts", [1000, 5])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_equals_plain_join(spark, monkeypatch, parts, how):
+    monkeypatch.setattr(session, "HOT_PARTS", parts)
+    data = hot_rows()
+    facts = spark.createDataFrame(data, "k string, v int")
+    names = {k for k, _ in data} - {"k7"}
+    dim = spark.createDataFrame([(k, k.upper()) for k in names], "k string, name string")
+    got = session.spread_join(facts, dim, ["k"], how, salts=8)
+    want = facts.join(dim, ["k"], how).select(got.columns)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    sizes = session.spread_join(facts, dim, ["k"], how, salts=8).where("k = 'hot'").count()
+    assert sizes == 1000
+
+
+def test_running_sums_of_a_hot_group(spark):
+    data = [("hot", p, float(p % 7)) for p in range(1, 3001)] + [("g", p, 1.0) for p in range(1, 5)]
+    df = spark.createDataFrame(data, "g string, pos bigint, x double")
+    got = {(r["g"], r["pos"]): r["s"] for r in ranking.running_sums(df, ["g"], "pos", {"s": F.col("x")}, 64).collect()}
+    total = {"hot": 0.0, "g": 0.0}
+    for g, p, x in data:
+        total[g] += x
+        assert got[g, p] == pytest.approx(total[g])
+
+
+def test_judgements_of_one_query_in_many_blocks(spark):
+    """A query with thousands of judgements, evaluated with all of them as ideal."""
+    from strata.operators import evaluate
+
+    qrels = spark.createDataFrame([("q", f"d{i:05}", 1 + i % 2) for i in range(5000)] + [("r", "d1", 1)], "qid string, docid string, rel int")
+    run = spark.createDataFrame([("a", "q", f"d{i:05}", float(-i)) for i in range(20)] + [("a", "r", "d1", 1.0), ("b", "q", "d00001", 1.0)], "arm string, qid string, docid string, score double")
+    got = {(r["arm"], r["qid"]): r for r in evaluate.evaluate(run, qrels, ["arm", "qid"], ["qid", "docid"], "judged").collect()}
+    import math
+
+    gains = [1 + i % 2 for i in range(20)]
+    ideal = sorted((1 + i % 2 for i in range(5000)), reverse=True)
+    dcg = sum(g / math.log2(i + 2) for i, g in enumerate(gains))
+    idcg = sum(g / math.log2(i + 2) for i, g in enumerate(ideal))
+    assert got["a", "q"]["ndcg"] == pytest.approx(dcg / idcg, abs=1e-6)
+    assert got["a", "q"]["map"] == pytest.approx(20 / 5000, abs=1e-6)
+    assert got["b", "q"]["ndcg_cut_10"] == pytest.approx(2 / sum(2 / math.log2(i + 2) for i in range(10)), abs=1e-6)
+    assert got["a", "r"]["ndcg"] == 1.0
+    at = up = 0.0
+    rel = 0.0
+    for i, g in enumerate(ideal):
+        at += g / math.log2(i + 2)
+        up += gains[i] / math.log2(i + 2) if i < 20 else 0
+        rel += up / at
+    assert got["a", "q"]["ndcg_rel"] == pytest.approx(rel / 5000, abs=1e-6)
+
+
 def test_positions_of_a_hot_group(spark):
     rng = random.Random(2)
     data = [("hot" if i % 3 else f"g{i % 7}", rng.randint(0, 99), i) for i in range(2000)]
