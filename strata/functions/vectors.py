@@ -50,6 +50,26 @@ def hellinger_similarity(p: Column, q: Column) -> Column:
     return 1.0 - F.sqrt(total(parts)) / F.sqrt(F.lit(2.0))
 
 
+def unit(a: Column) -> Column:
+    """Scaled to length 1; the dot product of two such vectors is their cosine."""
+    with_size = F.struct(a.alias("a"), norm(a).alias("s"))
+
+    def scale(v: Column) -> Column:
+        return F.transform(v["a"], lambda x: F.when(v["s"] > 0, x.cast("double") / v["s"]).otherwise(0.0))
+
+    return let(with_size, scale)
+
+
+def roots(a: Column) -> Column:
+    """Square roots of the vector scaled to sum 1."""
+    return F.transform(normalised(a), lambda x: F.sqrt(x))
+
+
+def hellinger_of_roots(p: Column, q: Column) -> Column:
+    """Hellinger similarity of two vectors given by :func:`roots`."""
+    return 1.0 - F.sqrt(F.greatest(1.0 - dot(p, q), F.lit(0.0)))
+
+
 def dominant(theta: Column, hits: Column | None = None) -> Column:
     """0-based index of the first maximum; NULL for a bag without known words."""
     index = (F.array_position(theta, F.array_max(theta)) - 1).cast("int")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.operators import clean, stats
+from strata.session import MAX_BROADCAST_VECTORS, spread_join
 
 
 def slice_proportions(topics: DataFrame, k: int, theta: str = "theta") -> DataFrame:
@@ -24,7 +25,11 @@ def slice_proportions_by_docid(corpus: DataFrame, topics: DataFrame, k: int, the
     """Form for vectors without a slice: copies of a docid are averaged, and the
     mean counts in every slice the docid occurs in."""
     mean = stats.mean_theta(topics, ["docid"], k, theta).drop("n_docs")
-    return slice_proportions(corpus.select("docid", "date").join(mean, "docid"), k, theta)
+    # One docid can have very many copies.
+    rows = spread_join(
+        corpus.select("docid", "date"), mean, ["docid"], broadcast_rows=MAX_BROADCAST_VECTORS
+    )
+    return slice_proportions(rows, k, theta)
 
 
 def drift(proportions: DataFrame) -> DataFrame:

@@ -21,8 +21,11 @@ def top_k(
     df: DataFrame, group: list[str], order: list[Column], k: int, into: str = "rank", base: int = 0
 ) -> DataFrame:
     """First ``k`` rows per group.  Spark limits every map-side group to ``k`` rows
-    before the shuffle, so a large group is cut down where it is stored."""
-    w = Window.partitionBy(*group).orderBy(*order)
+    before the shuffle, so a large group is cut down where it is stored.
+
+    The hash of the group comes first in the sort: rows of different groups are
+    told apart by one number instead of by their key columns."""
+    w = Window.partitionBy(F.xxhash64(*group), *group).orderBy(*order)
     ranked = df.withColumn(into, F.row_number().over(w)).where(F.col(into) <= k)
     return ranked.withColumn(into, F.col(into) - 1 + base) if base != 1 else ranked
 

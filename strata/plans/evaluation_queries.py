@@ -306,19 +306,8 @@ pairs AS (SELECT r.qid, r.rel,
 
 def probe_pairs(spark, sf) -> DataFrame:
     """Judged pairs with the similarity of their topic vectors."""
-    from strata.functions import vectors as V
-
-    vectors = T.topics(spark, sf)
-    q = vectors.select("qid", F.col("theta").alias("qtd"))
-    d = vectors.select("docid", F.col("theta").alias("dtd"))
-    rows = T.stored_qrels(spark, sf).join(q, "qid").join(d, "docid")
-    return rows.select(
-        "qid",
-        "docid",
-        "rel",
-        F.round(V.cosine(F.col("qtd"), F.col("dtd")), 6).alias("cos"),
-        F.round(V.hellinger_similarity(F.col("qtd"), F.col("dtd")), 6).alias("hell"),
-    )
+    judged = T.stored_qrels(spark, sf)
+    return T.compared(spark, sf, judged.select("qid", "docid", "rel"), judged)
 
 
 def auc_sql(source: str, score: str, keys: str = "") -> str:

@@ -65,7 +65,7 @@ def slice_store(spark, sf):
     """Write all slices, then replace a single one."""
     path = scratch_path(spark, "slices")
     docs = T.documents(spark, sf)
-    sinks.write_slices(docs, path)
+    sinks.write_slices(docs, path, rebalance=True)
     again = docs.where((F.col("date") == "2022-07") & (F.length("contents") > 1000))
     sinks.write_slices(again, path, touched_only=True)
     stored = spark.read.parquet(path)

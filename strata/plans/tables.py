@@ -21,7 +21,7 @@ from strata.functions import vectors as V
 from strata.functions.words import FRENCH_STOPWORDS
 from strata.operators import retrieval
 from strata.operators.ranking import unnest
-from strata.session import broadcast_if_small, scratch_path, written
+from strata.session import MAX_BROADCAST_VECTORS, broadcast_if_small, scratch_path, spread_join, written
 
 TOPICS = 64
 CHANGE = "2022-10"
@@ -155,22 +155,31 @@ def run(spark: SparkSession, sf: str) -> DataFrame:
     return once(spark, sf, "run", build)
 
 
-def topical(spark: SparkSession, sf: str) -> DataFrame:
-    """Run rows with topic vectors on both sides and their cosine."""
-    vectors = topics(spark, sf)
-    q = vectors.select("qid", F.col("theta").alias("qtd"))
-    d = vectors.select("docid", F.col("theta").alias("dtd"))
-    rows = run(spark, sf).join(q, "qid").join(d, "docid")
-    return rows.select(
-        "date",
-        "qid",
-        "docid",
-        F.col("score").alias("bm25"),
-        F.round(V.cosine(F.col("qtd"), F.col("dtd")), 6).alias("topic"),
-        F.round(V.hellinger_similarity(F.col("qtd"), F.col("dtd")), 6).alias("hellinger"),
+def compared(spark: SparkSession, sf: str, rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """Add cosine and Hellinger similarity of the topic vectors of ``qid`` and ``docid``.
+
+    Lengths and roots are computed once per vector, not once per pair."""
+    vectors = topics(spark, sf).select(
+        "qid", "docid", F.struct(V.unit(F.col("theta")).alias("u"), V.roots(F.col("theta")).alias("r")).alias("v")
+    )
+    q = vectors.select("qid", F.col("v").alias("__q"))
+    d = vectors.select("docid", F.col("v").alias("__d"))
+    options = dict(counted=counted, broadcast_rows=MAX_BROADCAST_VECTORS)
+    pairs = spread_join(spread_join(rows, q, ["qid"], **options), d, ["docid"], **options)
+    return pairs.select(
+        *rows.columns,
+        F.round(V.dot(F.col("__q.u"), F.col("__d.u")), 6).alias("cos"),
+        F.round(V.hellinger_of_roots(F.col("__q.r"), F.col("__d.r")), 6).alias("hell"),
     )
 
 
+def topical(spark: SparkSession, sf: str) -> DataFrame:
+    """Run rows with topic vectors on both sides and their similarities."""
+    found = run(spark, sf)
+    rows = compared(spark, sf, found.select("date", "qid", "docid", F.col("score").alias("bm25")), found)
+    return rows.withColumnsRenamed({"cos": "topic", "hell": "hellinger"})
+
+
 # --- the same in SQL ----------------------------------------------------------------
 
 MONTH = "strftime(DATE '2022-06-01' + to_months(CAST({} AS INTEGER)), '%Y-%m')"

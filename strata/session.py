@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 # Rows above which a join side is never broadcast by this package.
 MAX_BROADCAST_ROWS = 1_000_000
 
+# The same for rows of a topic vector each (about 1 kB).
+MAX_BROADCAST_VECTORS = 20_000
+
 # Share of a weighted key set above which a key counts as hot.  At most
 # HOT_PARTS keys can each hold 1/HOT_PARTS of the total weight, so a table of
 # hot keys has a proven size bound.
@@ -58,8 +61,10 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
 
 
 def fits(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows (counts no further than that)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether ``df`` has at most ``max_rows`` rows.
+
+    A plain count: one number per task is shuffled, whatever the size."""
+    return df.count() <= max_rows
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -109,15 +114,27 @@ def lookup_join(
     )
 
 
-def spread_join(facts: DataFrame, dim: DataFrame, key: list[str], how: str = "inner", salts: int = 64) -> DataFrame:
+def spread_join(
+    facts: DataFrame,
+    dim: DataFrame,
+    key: list[str],
+    how: str = "inner",
+    salts: int = 64,
+    counted: DataFrame | None = None,
+    broadcast_rows: int = 0,
+) -> DataFrame:
     """Join where a key may hold a large share of ``facts``; ``dim`` has one row per key.
 
     Keys with at least 1/HOT_PARTS of the fact rows (at most HOT_PARTS keys,
     so their list can be broadcast) are split over ``salts`` partitions: fact
     rows by their content, and their ``dim`` row is repeated.  All other keys
-    are joined as usual.
+    are joined as usual.  ``counted`` names a cheaper frame with the same keys
+    to count hot keys in; the result does not depend on it.  A ``dim`` counted
+    to have at most ``broadcast_rows`` rows is broadcast instead.
     """
-    counts = facts.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    if broadcast_rows and fits(dim, broadcast_rows):
+        return facts.join(F.broadcast(dim), key, how)
+    counts = (facts if counted is None else counted).groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n").alias("t")).scalar()
     hot = F.broadcast(
         counts.where(F.col("__n") * F.lit(HOT_PARTS) >= total)

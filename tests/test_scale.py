@@ -173,7 +173,7 @@ def test_large_query_sets_are_not_broadcast(spark):
     assert small.exceptAll(salted).isEmpty() and small.count() == salted.count()
 
 
-def test_fits_counts_no_further_than_asked(spark):
+def test_size_check(spark):
     assert session.fits(spark.range(10), 10) and not session.fits(spark.range(11), 10)
 
 
