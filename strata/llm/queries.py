@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import exact_dedup, mixing, sharding
+from strata.llm import bpe, exact_dedup, mixing, sharding
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,19 @@ def op6_sharding(spark, sf_dir):
     return sharding.shards(_table(spark, sf_dir, "documents"))
 
 
+def vocabulary() -> tuple[str, str]:
+    """Rank file and pattern of the public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op7_bpe")
+def op7_bpe(spark, sf_dir):
+    """Byte-level BPE ids of every text and their decoding, as digests."""
+    return bpe.round_trips(_table(spark, sf_dir, "documents"), *vocabulary())
+
+
 @query("op10_exact_dedup", exact_dedup.exact_sql())
 def op10_exact_dedup(spark, sf_dir):
     """Groups of texts that are equal without white space."""
