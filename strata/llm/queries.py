@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import bpe, exact_dedup, mixing, sharding
+from strata.llm import bpe, exact_dedup, mixing, pii, sharding
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,12 @@ def op7_bpe(spark, sf_dir):
     return bpe.round_trips(_table(spark, sf_dir, "documents"), *vocabulary())
 
 
+@query("op8_pii")
+def op8_pii(spark, sf_dir):
+    """Personal data in every text."""
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 @query("op10_exact_dedup", exact_dedup.exact_sql())
 def op10_exact_dedup(spark, sf_dir):
     """Groups of texts that are equal without white space."""
