@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import bpe, exact_dedup, mixing, pii, sharding
+from strata.llm import bpe, exact_dedup, minhash, mixing, pii, sharding
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_minhash")
+def op1_minhash(spark, sf_dir):
+    """Components of texts that share three quarters of their word shingles."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 @query("op4_mixing", mixing.mix_sql())
 def op4_mixing(spark, sf_dir):
     """Words that a mixture at 150 % of all words takes from every document."""
