@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import bpe, exact_dedup, minhash, mixing, pii, sharding
+from strata.llm import bpe, exact_dedup, fingerprints, minhash, mixing, pii, sharding
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,12 @@ def op1_minhash(spark, sf_dir):
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@query("op2_fingerprints")
+def op2_fingerprints(spark, sf_dir):
+    """Sketches of every text and its edited text, and its likeness to them and the next one."""
+    return fingerprints.neighbours(_table(spark, sf_dir, "documents"))
+
+
 @query("op4_mixing", mixing.mix_sql())
 def op4_mixing(spark, sf_dir):
     """Words that a mixture at 150 % of all words takes from every document."""
