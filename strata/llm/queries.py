@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import bpe, exact_dedup, fingerprints, minhash, mixing, pii, sharding
+from strata.llm import bpe, exact_dedup, fingerprints, minhash, mixing, pii, quality, sharding, toxicity
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,12 @@ def op2_fingerprints(spark, sf_dir):
     return fingerprints.neighbours(_table(spark, sf_dir, "documents"))
 
 
+@query("op3_toxicity")
+def op3_toxicity(spark, sf_dir):
+    """Toxicity of every text, with the offending places."""
+    return toxicity.predictions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @query("op4_mixing", mixing.mix_sql())
 def op4_mixing(spark, sf_dir):
     """Words that a mixture at 150 % of all words takes from every document."""
@@ -72,6 +78,12 @@ def op8_pii(spark, sf_dir):
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
+@query("op9_quality")
+def op9_quality(spark, sf_dir):
+    """Quality of every text."""
+    return quality.predictions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @query("op10_exact_dedup", exact_dedup.exact_sql())
 def op10_exact_dedup(spark, sf_dir):
     """Groups of texts that are equal without white space."""
