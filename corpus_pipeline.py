@@ -1,19 +1,65 @@
-"""Stages of a training corpus over the documents table."""
+"""From the documents table to token ids: classify, deduplicate, mix, encode.
+
+Every stage is a function of (session, documents, folder of the given tables).
+A stage's result is written and read again as the documents of the next one;
+all stages but the last keep the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strata.llm import bpe, exact_dedup, minhash, mixing, quality
+from strata.llm.queries import vocabulary
 from strata.session import written
 
-STAGES: list = []
 
-# The first stage learns a classifier, which SQL cannot express.
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each group of equal texts."""
+    return exact_dedup.drop_copies(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each group of near-duplicate texts."""
+    return minhash.drop_near_copies(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture of sources takes them."""
+    return mixing.repeated(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and whether they decode to the text."""
+    path, pattern = vocabulary()
+    coded = bpe.encode(docs.select("doc_id", "source", "text"), path, pattern)
+    checked = bpe.decode(coded, path, pattern)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return checked.select(
+        "doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip")
+    )
+
+
+STAGES = [
+    ("quality classifier", good_documents),
+    ("exact dedup", without_copies),
+    ("minhash near-dedup", without_near_copies),
+    ("mixing sources to target weights", mixed),
+    ("byte-level bpe", encoded),
+]
+
+# The first stage learns a classifier and the last runs byte-pair merges, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -45,6 +45,10 @@ def _id_of(rank: Column) -> Column:
     return F.when(place > 0, (_top() - place).cast("long"))
 
 
+def _key(body: Column) -> Column:
+    return F.xxhash64(body)
+
+
 def _cell(key: Column) -> Column:
     return F.shiftrightunsigned(key, 64 - DIRECTORY_BITS).cast("int")
 
@@ -86,7 +90,7 @@ def exact_groups(docs: DataFrame, capacity: int = BUCKET_KEYS) -> DataFrame:
     """
     text = text_of()
     pages = docs.select("doc_id", F.length(text).alias("n_chars"), without_white(text).alias("body"))
-    pages = pages.withColumn("key", F.xxhash64("body"))
+    pages = pages.withColumn("key", _key(F.col("body")))
     index = written(pages.select("doc_id", "n_chars", "key", F.sha2("body", 256).alias("text_sha256")), "dedup-index")
 
     keys = written(index.groupBy("key").agg(F.count(F.lit(1)).alias("copies")), "dedup-keys")

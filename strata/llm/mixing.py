@@ -149,6 +149,26 @@ def mix(
     )
 
 
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """The rows of the mixture: every row of ``docs`` as often as it is taken, with all its columns.
+
+    Rows that repeat a doc_id share a ticket, so they are taken equally often.
+    """
+    taken = mix(docs, **options)
+    wanted = taken.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(
+        F.max("times").alias("__times")
+    )
+    sized = docs.withColumn("__words", word_count(text_of()))
+    joined = sized.join(
+        wanted,
+        F.col("doc_id").eqNullSafe(F.col("__id"))
+        & F.col("source").eqNullSafe(F.col("__source"))
+        & (F.col("__words") == F.col("__size")),
+    ).where("__times > 0")
+    names = docs.columns
+    return joined.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*names)
+
+
 def mix_sql(table: str = "documents") -> str:
     """The rows of the query in DuckDB SQL, by sorting tickets instead of summing buckets."""
     return f"""

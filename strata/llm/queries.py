@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import bpe, exact_dedup, fingerprints, minhash, mixing, pii, quality, sharding, toxicity
+from strata.llm import bpe, exact_dedup, fingerprints, html_extract, minhash, mixing, pii, quality, sharding, toxicity
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,12 @@ def op4_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op5_html")
+def op5_html(spark, sf_dir):
+    """Main text of every page."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 @query("op6_sharding")
 def op6_sharding(spark, sf_dir):
     """24 contiguous shards of near equal bytes."""
