@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import LDA, LocalLDAModel
@@ -82,22 +84,29 @@ def training_rows(features: DataFrame, keys: list[str], partitions: int | None =
     return features.select(*keys, "features").repartition(n, *keys).sortWithinPartitions(*keys)
 
 
-def fit_sweep(
+def fit_each(
     features: DataFrame, keys: list[str], ks: list[int], done: set[int] | None = None, **params
-) -> dict[int, LocalLDAModel]:
-    """One model per topic count that is not done yet, over one cached matrix."""
+) -> Iterator[tuple[int, LocalLDAModel]]:
+    """One model per topic count that is not done yet, over one cached matrix, as each is ready."""
     todo = [k for k in ks if k not in (done or set())]
     if not todo:
-        return {}
+        return
     rows = training_rows(features, keys).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         lda = online_lda(k=todo[0], **params)
-        maps = [{lda.k: k} for k in todo]
-        return {todo[i]: model for i, model in lda.fitMultiple(rows, maps)}
+        for at, model in lda.fitMultiple(rows, [{lda.k: k} for k in todo]):
+            yield todo[at], model
     finally:
         rows.unpersist()
 
 
+def fit_sweep(
+    features: DataFrame, keys: list[str], ks: list[int], done: set[int] | None = None, **params
+) -> dict[int, LocalLDAModel]:
+    """All models of :func:`fit_each`."""
+    return dict(fit_each(features, keys, ks, done, **params))
+
+
 def fit_lda(features: DataFrame, keys: list[str], k: int, **params) -> LocalLDAModel:
     return fit_sweep(features, keys, [k], **params)[k]
 

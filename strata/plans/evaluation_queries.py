@@ -220,12 +220,11 @@ def grid_quality(spark, sf):
 @query(
     "best_terms",
     "O5",
-    f"""WITH {GRID}, best AS (SELECT n_terms, round(avg(ndcg_cut_10), 6) AS score FROM gscores WHERE weight = 4 GROUP BY n_terms)
+    f"""WITH {GRID}, best AS (SELECT n_terms, round(avg(ndcg_cut_10), 6) AS score FROM gscores GROUP BY n_terms)
     SELECT n_terms, score FROM best ORDER BY score DESC, n_terms LIMIT 1""",
 )
 def best_terms(spark, sf):
-    rows = grid_scores(spark, sf).where(F.col("weight") == 4)
-    cells = rows.groupBy("n_terms").agg(F.round(F.avg("ndcg_cut_10"), 6).alias("score"))
+    cells = grid_scores(spark, sf).groupBy("n_terms").agg(F.round(F.avg("ndcg_cut_10"), 6).alias("score"))
     return evaluate.best_of(cells, "score", "n_terms")
 
 

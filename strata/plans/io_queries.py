@@ -42,9 +42,21 @@ def trec_parse(spark, sf):
 
 @query("trec_misnamed", "S10", TREC)
 def trec_misnamed(spark, sf):
+    """Plain markup in files that carry a compressed file's name, several a month."""
     path = scratch_path(spark, "trec-raw")
     _trec_lines(spark, sf).write.partitionBy("month").text(path)
-    return hashed(readers.trec_documents_misnamed(spark, path, glob="*.txt"))
+    _rename(spark, f"{path}/*/*.txt", ".jsonl.gz")
+    return hashed(readers.trec_documents_misnamed(spark, path))
+
+
+def _rename(spark, glob: str, suffix: str) -> None:
+    """Give files that this query wrote another ending."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    pattern = hadoop(glob)
+    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.globStatus(pattern):
+        old = status.getPath()
+        files.rename(old, hadoop(old.getParent(), old.getName().replace(".txt", suffix)))
 
 
 @query("json_export", "K3 S1", f"WITH {T.DOCS} SELECT docid, md5(contents) AS text_hash FROM docs")
@@ -130,7 +142,8 @@ def expansion_file(spark, sf):
 @query(
     "batch_results",
     "S19",
-    rf"""SELECT CAST(conv_id AS VARCHAR) AS query_id, count(*) AS n, max(md5(p[1])) AS first_hash, max(md5(p[5])) AS fifth_hash FROM (
+    rf"""SELECT CAST(conv_id AS VARCHAR) AS query_id, count(*) AS n, max(md5(p[1])) AS first_hash, max(md5(p[5])) AS fifth_hash, CAST(sum(len(p)) AS BIGINT) AS n_results,
+    max(md5(array_to_string(p, '|'))) AS all_hash FROM (
     SELECT conv_id, regexp_split_to_array(text, '[.,\n]+') AS p FROM conversations) GROUP BY conv_id""",
 )
 def batch_results(spark, sf):
@@ -147,6 +160,8 @@ def batch_results(spark, sf):
         F.count(F.lit(1)).alias("n"),
         F.max(F.md5("expansion1")).alias("first_hash"),
         F.max(F.md5("expansion5")).alias("fifth_hash"),
+        F.sum(F.size("results")).alias("n_results"),
+        F.max(F.md5(F.array_join("results", "|"))).alias("all_hash"),
     )
 
 

@@ -6,6 +6,8 @@ folder, so that jobs can be run one after another by any scheduler.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.ml.clustering import LocalLDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession
@@ -95,22 +97,40 @@ def apply_features(spark: SparkSession, tokens: DataFrame, trained: str, out: st
     _save(topics.vectorise(rows, vocabulary).select(*DOC, "features", "vocab_hits"), f"{out}/features")
 
 
-def fitted_sizes(spark: SparkSession, out: str, ks: list[int]) -> set[int]:
-    return {k for k in ks if readers.exists(spark, f"{out}/k{k}/model/metadata")}
+def settings_of(params: dict) -> str:
+    """Name of a set of training parameters, part of the marker of a fitted size."""
+    return hashlib.sha256(repr(sorted(params.items())).encode()).hexdigest()[:16]
+
+
+def fitted_sizes(spark: SparkSession, out: str, ks: list[int], params: dict) -> set[int]:
+    """Sizes whose model was saved whole with these parameters."""
+    return {k for k in ks if readers.exists(spark, f"{out}/k{k}/fitted-{settings_of(params)}/_SUCCESS")}
+
+
+def _save_size(spark: SparkSession, model, k: int, out: str, params: dict) -> None:
+    """Save a model, drop what an earlier one left, and set the marker last."""
+    for left in ("fitted-*", "doc_topics"):
+        readers.remove(spark, f"{out}/k{k}/{left}")
+    sinks.save_model(model, f"{out}/k{k}/model")
+    _save(spark.createDataFrame([(repr(sorted(params.items())),)], "params string"), f"{out}/k{k}/fitted-{settings_of(params)}")
 
 
 def lda_sweep(spark: SparkSession, prepared: str, out: str, ks: list[int], top_n: int = 10, **params) -> None:
-    """Fit the sizes that are missing, infer, and score every size."""
+    """Fit the sizes that are missing, infer, and score every size.
+
+    Every model is saved as soon as it is fitted, and every later step looks for
+    its own result, so a run that was stopped anywhere goes on where it was.
+    """
     features = spark.read.parquet(f"{prepared}/features")
-    done = fitted_sizes(spark, out, ks)
-    for k, model in topics.fit_sweep(features, DOC, ks, done, **params).items():
-        sinks.save_model(model, f"{out}/k{k}/model")
+    done = fitted_sizes(spark, out, ks, params)
+    for k, model in topics.fit_each(features, DOC, ks, done, **params):
+        _save_size(spark, model, k, out, params)
     words = topics.vocabulary_table(CountVectorizerModel.load(f"{prepared}/vocabulary"), spark)
     tables = []
     for k in ks:
         model = LocalLDAModel.load(f"{out}/k{k}/model")
         _save(topics.topic_words(model, words), f"{out}/k{k}/topic_words")
-        if k not in done:
+        if not readers.exists(spark, f"{out}/k{k}/doc_topics/_SUCCESS"):
             theta(spark, model, features, k, f"{out}/k{k}")
         tables.append(spark.read.parquet(f"{out}/k{k}/topic_words").withColumn("k", F.lit(k)))
     rows = spark.read.parquet(f"{prepared}/tokens_phrased")

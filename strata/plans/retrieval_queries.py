@@ -16,10 +16,11 @@ WEIGHT = 2
 
 
 def expansions(spark, sf) -> DataFrame:
-    """Extra terms per query: the pieces of the conversation's first turn."""
-    return T.table(spark, sf, "conversations").where(F.col("turn") == 0).select(
-        F.col("conv_id").cast("string").alias("qid"), F.split("text", r"[.,\n]+").alias("terms")
+    """Extra terms per query: the pieces of all turns of the conversation, in order."""
+    turns = T.table(spark, sf, "conversations").groupBy(F.col("conv_id").cast("string").alias("qid")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", F.split("text", r"[.,\n]+").alias("pieces")))).alias("turns")
     )
+    return turns.select("qid", F.flatten(F.transform("turns", lambda t: t["pieces"])).alias("terms"))
 
 
 def with_terms(spark, sf) -> DataFrame:
@@ -30,9 +31,9 @@ def with_terms(spark, sf) -> DataFrame:
 
 # New terms: trimmed, first of each case-folded spelling, some word not in the query.
 NEW_TERMS = rf"""{T.POSED},
-raw_terms AS (SELECT qid, pos, trim(t) AS term FROM (
-  SELECT CAST(conv_id AS VARCHAR) AS qid, generate_subscripts(p, 1) AS pos, unnest(p) AS t
-  FROM (SELECT conv_id, regexp_split_to_array(text, '[.,\n]+') AS p FROM conversations WHERE turn = 0))),
+raw_terms AS (SELECT qid, turn * 1000000 + pos AS pos, trim(t) AS term FROM (
+  SELECT CAST(conv_id AS VARCHAR) AS qid, turn, generate_subscripts(p, 1) AS pos, unnest(p) AS t
+  FROM (SELECT conv_id, turn, regexp_split_to_array(text, '[.,\n]+') AS p FROM conversations))),
 adding AS (SELECT qid, pos, term FROM raw_terms JOIN posed USING (qid)
   WHERE term <> '' AND len(list_filter(regexp_split_to_array(lower(term), '\s+'),
     lambda w: w <> '' AND NOT list_contains(regexp_split_to_array(lower(query), '\s+'), w))) > 0),
@@ -143,13 +144,14 @@ def merge_expansion(spark, sf):
 @query(
     "expanded_queries",
     "J2",
-    f"""WITH {T.POSED}, e AS (SELECT CAST(conv_id AS VARCHAR) AS qid, text FROM conversations WHERE turn = 0)
+    f"""WITH {T.POSED}, e AS (SELECT CAST(conv_id AS VARCHAR) AS qid, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)
     SELECT qid, md5(coalesce(text, query)) AS query_hash FROM posed LEFT JOIN e USING (qid)""",
 )
 def expanded_queries(spark, sf):
-    replaced = T.table(spark, sf, "conversations").where(F.col("turn") == 0).select(
-        F.col("conv_id").cast("string").alias("qid"), F.col("text").alias("query")
+    turns = T.table(spark, sf, "conversations").groupBy(F.col("conv_id").cast("string").alias("qid")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns")
     )
+    replaced = turns.select("qid", F.array_join(F.transform("turns", lambda t: t["text"]), "\n").alias("query"))
     out = retrieval.expanded_or_original(T.queries(spark, sf), replaced)
     return out.select("qid", F.md5("query").alias("query_hash"))
 

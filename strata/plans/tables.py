@@ -184,7 +184,7 @@ def topical(spark: SparkSession, sf: str) -> DataFrame:
 
 MONTH = "strftime(DATE '2022-06-01' + to_months(CAST({} AS INTEGER)), '%Y-%m')"
 WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
-STOP = ", ".join("'" + w + "'" for w in sorted(set(FRENCH_STOPWORDS)))
+STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(FRENCH_STOPWORDS)))
 
 DOCS = f"""docs AS (
   SELECT *, CASE WHEN date <= '{LAST_TRAIN}' THEN 'train' ELSE 'test' END AS split FROM (

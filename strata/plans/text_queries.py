@@ -19,7 +19,7 @@ CEILING = 0.6
 PERCENTILE = 99.0
 
 ALL_STOP = ", ".join(
-    "'" + w + "'" for w in sorted(set(FRENCH_STOPWORDS) | set(ENGLISH_STOPWORDS))
+    "'" + w.replace("'", "''") + "'" for w in sorted(set(FRENCH_STOPWORDS) | set(ENGLISH_STOPWORDS))
 )
 
 TOKENS = f"""{T.DOCS},
@@ -257,11 +257,22 @@ def topic_diversity(spark, sf):
     "T17 D13 W6",
     f"""WITH {PAIRED}, d AS (SELECT count(DISTINCT word) / count(*) AS div FROM tw), m AS (SELECT avg(npmi) AS npmi FROM per_topic)
     SELECT 4 AS k, round(npmi, 6) AS mean_npmi, round(div, 6) AS topic_diversity,
-    round(npmi * div, 6) AS coherence_diversity, total AS n_docs FROM m, d, nd""",
+    round(npmi * div, 6) AS coherence_diversity, total AS n_docs,
+    (SELECT string_agg(printf('%.4f', npmi), ' ' ORDER BY topic) FROM per_topic) AS per_topic_npmi,
+    (SELECT string_agg(word, ' ' ORDER BY topic, pos) FROM tw) AS top_words FROM m, d, nd""",
 )
 def coherence_table(spark, sf):
     rows = coherence.coherence_table(tokens(spark, sf), stored_topic_words(spark, sf, TOP_N), "tokens", TOP_N)
-    return rows.select("k", "mean_npmi", "topic_diversity", F.round("coherence_diversity", 6).alias("coherence_diversity"), "n_docs")
+    scores = F.transform("per_topic_npmi", lambda v: F.format_string("%.4f", v))
+    return rows.select(
+        "k",
+        "mean_npmi",
+        "topic_diversity",
+        F.round("coherence_diversity", 6).alias("coherence_diversity"),
+        "n_docs",
+        F.array_join(scores, " ").alias("per_topic_npmi"),
+        F.array_join(F.flatten("top_words"), " ").alias("top_words"),
+    )
 
 
 @query(

@@ -53,12 +53,14 @@ def copies(spark, sf) -> DataFrame:
 @query(
     "mean_theta_by_docid",
     "A12",
-    f"""WITH {COPIES} SELECT docid, n_docs, round(m, 6) AS theta_0 FROM (
-    SELECT docid, count(*) AS n_docs, avg(theta[1]) AS m FROM copies GROUP BY docid)""",
+    f"""WITH {COPIES} SELECT docid, CAST(topic AS INTEGER) AS topic, count(*) AS n_docs, round(avg(v), 6) AS theta
+    FROM clong GROUP BY docid, topic""",
 )
 def mean_theta_by_docid(spark, sf):
     rows = stats.mean_theta(copies(spark, sf), ["docid"], K)
-    return rows.select("docid", "n_docs", F.round(F.col("theta")[0], 6).alias("theta_0"))
+    return rows.select("docid", "n_docs", F.posexplode("theta").alias("topic", "v")).select(
+        "docid", "topic", "n_docs", F.round("v", 6).alias("theta")
+    )
 
 
 @query(
@@ -332,13 +334,13 @@ def query_topic_mix(spark, sf):
 @query(
     "wide_topics",
     "P11 D9",
-    f"""WITH {T.THETAS} SELECT docid, {", ".join(f"round(theta[{i + 1}], 6) AS topic_{i}" for i in range(8))} FROM thetas""",
+    f"""WITH {T.THETAS} SELECT docid, {", ".join(f"round(theta[{i + 1}], 6) AS topic_{i}" for i in range(K))} FROM thetas""",
 )
 def wide_topics(spark, sf):
-    """Array to wide columns and back, shown for the first eight topics."""
+    """Array to wide columns and back."""
     wide = V.spread(T.topics(spark, sf).select("docid", "theta"), "theta", K)
     back = V.gather(wide, K)
-    return back.select("docid", *[F.round(F.col("theta")[i], 6).alias(f"topic_{i}") for i in range(8)])
+    return back.select("docid", *[F.round(F.col("theta")[i], 6).alias(f"topic_{i}") for i in range(K)])
 
 
 # --- topic models (no SQL form) -------------------------------------------------------

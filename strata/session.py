@@ -23,29 +23,30 @@ HOT_PARTS = 1000
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    A local temporary folder is used only when the session names none, which
-    is the case in single-machine tests.
+    Only a session of one machine may name none; it gets a temporary folder.  On
+    a cluster every executor would write parts to a disk of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    require_one_machine(spark.sparkContext.master)
     fallback = tempfile.mkdtemp(prefix="strata-")
     spark.conf.set("spark.checkpoint.dir", fallback)
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback
 
 
+def require_one_machine(master: str) -> None:
+    """Refuse a cluster that names no shared folder."""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/strata/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
