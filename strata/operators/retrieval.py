@@ -1,7 +1,7 @@
 """BM25 over posting tables, query expansion, candidate sets and fusion.
 
-The index is three tables.  Postings are laid out by document (bucketed by
-slice and docid), so with the query terms broadcast a document's score is
+The index is three tables.  Postings are laid out by slice and, inside it, by
+document, so with the query terms broadcast a document's score is
 completed inside one task: nothing but the best k rows per task and query is
 shuffled.
 """
@@ -23,6 +23,10 @@ K1 = 0.9
 B = 0.4
 SALTS = 32
 
+# Bytes of text whose postings make one bucket, and the least number of buckets.
+BUCKET_BYTES = 128 << 20
+LEAST_BUCKETS = 8
+
 
 # --- index ------------------------------------------------------------------------
 
@@ -35,6 +39,11 @@ class Index:
     term_stats: DataFrame  # date, term, df
     slice_stats: DataFrame  # date, n_docs, avgdl
 
+    def only(self, dates: list[str]) -> Index:
+        """The index of some slices; other slices' files are not read."""
+        wanted = F.col("date").isin(dates)
+        return Index(*[t.where(wanted) for t in (self.postings, self.term_stats, self.slice_stats)])
+
 
 def postings(docs: DataFrame, analyzer: X.Analyzer = X.light_tokens, column: str = "contents") -> DataFrame:
     """Term frequencies and document lengths of ``(date, docid, contents)`` rows.
@@ -65,28 +74,54 @@ def index_of(docs: DataFrame, analyzer: X.Analyzer = X.light_tokens) -> Index:
     return Index(posts, term_stats(posts), slice_stats(posts))
 
 
-def write_index(docs: DataFrame, path: str, analyzer: X.Analyzer = X.light_tokens) -> Index:
-    """Store the posting tables below ``path``; postings are bucketed by document."""
+def bucket_count(docs: DataFrame, column: str = "contents", bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets for postings of ``bucket_bytes`` of text each, a power of two.
+
+    It follows the size of the texts, not the session that happens to index them."""
+    total = docs.agg(F.sum(F.octet_length(column)).alias("bytes")).first()["bytes"] or 0
+    return 1 << max(LEAST_BUCKETS - 1, -(-total // bucket_bytes) - 1).bit_length()
+
+
+def write_index(
+    docs: DataFrame, path: str, analyzer: X.Analyzer = X.light_tokens, buckets: int | None = None
+) -> Index:
+    """Store the posting tables below ``path``.
+
+    A slice is a partition; inside it postings are bucketed by document and
+    ordered by term.  The layout is stored too, for :func:`read_index`.
+    """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or bucket_count(docs)
     name = f"postings_{uuid.uuid4().hex}"
     (
         postings(docs, analyzer)
-        .write.bucketBy(buckets, "date", "docid")
+        .select("docid", "term", "tf", "dl", "date")
+        .write.partitionBy("date")
+        .bucketBy(buckets, "docid")
+        .sortBy("term")
         .option("path", f"{path}/postings")
         .saveAsTable(name)
     )
     posts = spark.table(name)
     term_stats(posts).write.parquet(f"{path}/term_stats")
     slice_stats(posts).write.parquet(f"{path}/slice_stats")
+    spark.createDataFrame([(buckets,)], "buckets int").write.parquet(f"{path}/layout")
     return Index(
         posts, spark.read.parquet(f"{path}/term_stats"), spark.read.parquet(f"{path}/slice_stats")
     )
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    """Index written earlier, possibly by another session (no bucket layout known)."""
-    return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "term_stats", "slice_stats")])
+    """Index written earlier, possibly by another session, with its slices and buckets."""
+    buckets = spark.read.parquet(f"{path}/layout").first()["buckets"]
+    name = f"postings_{uuid.uuid4().hex}"
+    spark.sql(
+        f"CREATE TABLE {name} (docid STRING, term STRING, tf INT, dl INT, date STRING) USING parquet "
+        f"PARTITIONED BY (date) CLUSTERED BY (docid) SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{path}/postings'"
+    )
+    spark.sql(f"MSCK REPAIR TABLE {name}")
+    stats = [spark.read.parquet(f"{path}/{t}") for t in ("term_stats", "slice_stats")]
+    return Index(spark.table(name), *stats)
 
 
 # --- search -------------------------------------------------------------------------

@@ -48,14 +48,14 @@ def tokens(spark, sf) -> DataFrame:
     )
 
 
-def mined(spark, sf) -> DataFrame:
+def mined(rows: DataFrame) -> DataFrame:
     return phrases.mine(
-        tokens(spark, sf), min_count=MIN_COUNT, threshold=THRESHOLD, ceiling=CEILING, percentile=PERCENTILE
+        rows, min_count=MIN_COUNT, threshold=THRESHOLD, ceiling=CEILING, percentile=PERCENTILE
     )
 
 
 def stored_phrases(spark, sf) -> DataFrame:
-    return T.once(spark, sf, "phrases", lambda: written(mined(spark, sf), "phrases"))
+    return T.once(spark, sf, "phrases", lambda: written(mined(tokens(spark, sf)), "phrases"))
 
 
 @query(
@@ -154,7 +154,7 @@ def npmi_phrases(spark, sf):
     f"WITH {TOKENS}, {UNIGRAMS}, {BIGRAMS}, {SCORED}, {SCREENED} SELECT a, b, round(npmi, 6) AS npmi, count FROM kept",
 )
 def phrase_screen(spark, sf):
-    return mined(spark, sf).withColumn("npmi", F.round("npmi", 6))
+    return mined(tokens(spark, sf)).withColumn("npmi", F.round("npmi", 6))
 
 
 @query(

@@ -358,6 +358,18 @@ def phrased(spark, sf) -> DataFrame:
     return T.once(spark, sf, "phrased", build)
 
 
+def phrased_by_train(spark, sf) -> DataFrame:
+    """Tokens of all slices with the phrases of the train slices."""
+
+    def build():
+        tokens = Q.tokens(spark, sf)
+        mined = Q.mined(tokens.where(F.col("date") <= T.LAST_TRAIN))
+        rows = phrases.append_phrases(tokens, written(mined, "train-phrases"), DOC)
+        return written(rows.select("date", "docid", "language", "tokens_phrased"), "train-phrased")
+
+    return T.once(spark, sf, "train-phrased", build)
+
+
 def features(spark, sf):
     def build():
         rows = phrased(spark, sf)
@@ -403,8 +415,8 @@ def lda_sweep(spark, sf):
 
 @query("heldout", "T20 T21")
 def heldout(spark, sf):
-    """Vocabulary and model of the train slices applied to the later ones, drift over all."""
-    rows = phrased(spark, sf)
+    """Phrases, vocabulary and model of the train slices applied to the later ones, drift over all."""
+    rows = phrased_by_train(spark, sf)
     train = rows.where(F.col("date") <= T.LAST_TRAIN)
     vocabulary = topics.fit_vocabulary(train, size=2000, min_df=3, max_df=0.5)
     every = topics.vectorise(rows, vocabulary)
@@ -419,10 +431,12 @@ def heldout(spark, sf):
 
 @query("query_topics", "T23 D10")
 def query_topics(spark, sf):
+    """Topics of the queries in the documents' frozen feature space, phrases included."""
     from strata.functions import text as X
 
     tokens = X.content_tokens(X.simple_tokens("query"))
-    asked = T.queries(spark, sf).select("qid", "query", tokens.alias("tokens_phrased"))
+    asked = T.queries(spark, sf).select("qid", "query", tokens.alias("tokens"))
+    asked = phrases.append_phrases(asked, Q.stored_phrases(spark, sf), ["qid"])
     known = topics.vectorise(asked, features(spark, sf)[0])
     return V.spread(topics.infer(lda(spark, sf, 4), known, ["qid"]), "theta", 4)
 

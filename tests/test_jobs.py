@@ -66,6 +66,44 @@ def test_topic_jobs(spark, roots, tmp_path):
     assert spark.read.parquet(str(tmp_path / "query_topics_k2")).count() == 2
 
 
+def test_a_stopped_sweep_goes_on(spark, roots, tmp_path, monkeypatch):
+    from strata.plans import jobs
+
+    prepared, trained = str(tmp_path / "prep"), str(tmp_path / "lda")
+    call(spark, "lda-preprocess", roots / "train", prepared, "--min-count", 3, "--threshold", 0.3, "--min-df", 2, "--max-df", 0.9)
+    saved, save, infer = [], jobs._save_size, jobs.theta
+
+    def stopping(session, model, k, out, params):
+        if saved:
+            raise KeyboardInterrupt
+        save(session, model, k, out, params)
+        saved.append(k)
+
+    options = dict(ks=[2, 3], max_iter=2)
+    monkeypatch.setattr(jobs, "_save_size", stopping)
+    with pytest.raises(KeyboardInterrupt):  # after the first model
+        jobs.lda_sweep(spark, prepared, trained, **options)
+    assert jobs.fitted_sizes(spark, trained, [2, 3], {"max_iter": 2}) == set(saved)
+
+    def counting(session, model, k, out, params):
+        save(session, model, k, out, params)
+        saved.append(k)
+
+    def failing(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(jobs, "_save_size", counting)
+    monkeypatch.setattr(jobs, "theta", failing)
+    with pytest.raises(KeyboardInterrupt):  # after the last model
+        jobs.lda_sweep(spark, prepared, trained, **options)
+    assert sorted(saved) == [2, 3]
+    monkeypatch.setattr(jobs, "theta", infer)
+    jobs.lda_sweep(spark, prepared, trained, **options)
+    assert sorted(saved) == [2, 3] and spark.read.parquet(f"{trained}/sweep").count() == 2
+    jobs.lda_sweep(spark, prepared, trained, ks=[2], max_iter=3)  # other parameters: fitted anew
+    assert sorted(saved) == [2, 2, 3]
+
+
 def test_retrieval_job(spark, roots, tmp_path):
     (tmp_path / "exp").mkdir()
     (tmp_path / "exp/1.json").write_text('[{"qid": "1", "query": "chat chien souris", "terms": ["souris"], "original": "chat chien"}]')

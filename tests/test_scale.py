@@ -154,6 +154,38 @@ def test_search_completes_scores_without_a_shuffle(spark, tmp_path):
     assert ranked.count("WindowGroupLimit") == 2  # cut to k before and after the shuffle
 
 
+def test_stored_index_keeps_slices_and_buckets(spark, tmp_path):
+    rows = [(m, f"d{i}", "red apple pie") for m in ("2022-06", "2022-07") for i in range(40)]
+    docs = spark.createDataFrame(rows, "date string, docid string, contents string")
+    made = retrieval.write_index(docs, str(tmp_path / "ix"), X.simple_tokens, buckets=16)
+    back = retrieval.read_index(spark, str(tmp_path / "ix"))
+    queries = spark.createDataFrame([("q", "red pie")], "qid string, query string")
+    options = dict(k=5, analyzer=X.simple_tokens)
+    found = retrieval.search(back, queries, ["date", "qid"], **options)
+    assert found.exceptAll(retrieval.search(made, queries, ["date", "qid"], **options)).isEmpty() and found.count() == 10
+    scored = tree_of(retrieval.score_matches(back, queries, ["date", "qid"], X.simple_tokens))
+    assert "Exchange hashpartitioning" not in scored[: scored.index("FileScan")]
+    one = retrieval.search(back.only(["2022-07"]), queries, ["date", "qid"], **options)
+    assert {r["date"] for r in one.collect()} == {"2022-07"}
+    assert "PartitionFilters: [date" in plan_of(back.only(["2022-07"]).postings) or "PartitionFilters: [isnotnull(date" in plan_of(
+        back.only(["2022-07"]).postings
+    )
+
+
+def test_bucket_count_follows_the_texts(spark):
+    docs = spark.createDataFrame([("m", "d", "x" * 1000)] * 10, "date string, docid string, contents string")
+    assert retrieval.bucket_count(docs) == retrieval.LEAST_BUCKETS
+    assert retrieval.bucket_count(docs, bucket_bytes=100) == 128
+    assert retrieval.bucket_count(docs.limit(0)) == retrieval.LEAST_BUCKETS
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    session.require_one_machine("local[8]")
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            session.require_one_machine(master)
+
+
 def test_tokenizer_runs_once(spark):
     """No inferred filter may repeat the tokenizer below the projection."""
     from strata.operators import phrases
