@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import keys as K
 from strata.functions import text as X
+from strata.session import MAX_BROADCAST_ROWS
 
 POOLED = "all"
 
@@ -62,11 +63,14 @@ def holdout_split(
 
 
 def draw_queries(df: DataFrame, n: int, seed: int, key: str = "qid") -> DataFrame:
-    """Rows of exactly ``n`` keys drawn by hash order (0 keeps all)."""
+    """Rows of exactly ``n`` keys drawn by hash order (0 keeps all).
+
+    The drawn keys are broadcast only if ``n`` is below ``MAX_BROADCAST_ROWS``."""
     if n <= 0:
         return df
-    drawn = df.select(key).distinct().orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
-    return df.join(F.broadcast(drawn), key, "left_semi")
+    order = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), F.col(key).cast("string")))
+    drawn = df.select(key).distinct().orderBy(order, key).limit(n)
+    return df.join(F.broadcast(drawn) if n <= MAX_BROADCAST_ROWS else drawn, key, "left_semi")
 
 
 def shard(df: DataFrame, key: str, shards: int, only: int | None = None) -> DataFrame:

@@ -231,7 +231,7 @@ def query_stats(queries: DataFrame, analyzer: X.Analyzer = X.simple_tokens) -> D
     dated = _query_scope(lengths.withColumn("scope", F.col("date")), ["scope"])
     pooled = _query_scope(lengths.withColumn("scope", F.lit("pooled")), ["scope"])
     once = lengths.groupBy("qid").agg(
-        F.min_by(F.struct("words", "tokens", "chars"), "date").alias("s")
+        F.min_by(F.struct("words", "tokens", "chars"), F.struct("date", "words", "tokens", "chars")).alias("s")
     ).select(F.lit("unique").alias("scope"), "s.*")
     return dated.unionByName(pooled).unionByName(_query_scope(once, ["scope"]))
 
@@ -315,11 +315,9 @@ def hits_per_query(run: DataFrame, keys: list[str], k: int) -> DataFrame:
 def score_by_rank(run: DataFrame, ranks: list[int] | None = None) -> DataFrame:
     """Score mean and median by 0-based rank, optionally at fixed ranks only."""
     rows = run if ranks is None else run.where(F.col("rank").isin(ranks))
-    return rows.groupBy("rank").agg(
-        F.count(F.lit(1)).alias("n"),
-        _r(F.avg("score")).alias("mean_score"),
-        _r(F.percentile("score", 0.5)).alias("median_score"),
-    )
+    means = rows.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("score")).alias("mean_score"))
+    middle = medians(rows, ["rank"], "score", "median_score").withColumn("median_score", _r(F.col("median_score")))
+    return means.join(middle, "rank")
 
 
 def score_quantiles(run: DataFrame, digits: int = 4) -> DataFrame:
@@ -330,6 +328,33 @@ def score_quantiles(run: DataFrame, digits: int = 4) -> DataFrame:
     return row.select(*[_r(F.col("q")[i]).alias(m) for i, m in enumerate(marks)])
 
 
+def medians(df: DataFrame, by: list[str], value: str, into: str, width: int = 4096) -> DataFrame:
+    """Median per group without one task that holds all values of a group.
+
+    Equal values are counted first.  The counts are summed by coarse cells of
+    the value, running sums over a group's cells give the cells that hold the
+    middle, and only the values of these cells are placed one by one.
+    """
+    named = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+    counts = named.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    ends = counts.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("__all"))
+    span = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300))
+    celled = counts.join(ends, by).withColumn("__cell", F.floor((F.col("__v") - F.col("__lo")) / span * width))
+    cells = celled.groupBy(*by, "__cell", "__all").agg(F.sum("__n").alias("__in"))
+    upto = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
+    low, high = F.floor((F.col("__all") + 1) / 2), F.floor((F.col("__all") + 2) / 2)
+    middle = cells.withColumn("__end", F.sum("__in").over(upto)).withColumn("__before", F.col("__end") - F.col("__in"))
+    middle = middle.where((F.col("__end") >= low) & (F.col("__before") < high)).select(*by, "__cell", "__before")
+    inside = Window.partitionBy(*by, "__cell").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = celled.join(middle, [*by, "__cell"]).withColumn("__last", F.col("__before") + F.sum("__n").over(inside))
+    first = F.col("__last") - F.col("__n")
+
+    def at(place):
+        return F.max(F.when((F.col("__last") >= place) & (first < place), F.col("__v")))
+
+    return placed.groupBy(*by).agg(((at(low) + at(high)) / 2).alias(into))
+
+
 def grade_histogram(df: DataFrame) -> DataFrame:
     return df.groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
 

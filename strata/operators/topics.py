@@ -33,11 +33,17 @@ def fit_vocabulary(
     min_df: float = 50,
     max_df: float = 0.2,
 ) -> CountVectorizerModel:
-    """Vocabulary of at most ``size`` terms.  Document-frequency bounds of 1 and
-    above are counts, smaller ones are shares of the documents."""
-    return CountVectorizer(
-        inputCol=tokens, outputCol="features", vocabSize=size, minDF=min_df, maxDF=max_df
-    ).fit(docs)
+    """Vocabulary of at most ``size`` terms, the most frequent first, ties by the term.
+
+    Document-frequency bounds of 1 and above are counts, smaller ones are shares
+    of the documents.  ``size`` bounds what reaches the driver."""
+    n_docs = docs.count() if min_df < 1 or max_df < 1 else 0
+    low, high = (bound if bound >= 1 else bound * n_docs for bound in (min_df, max_df))
+    uses = docs.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("count"))
+    holders = docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = uses.join(holders, "term")
+    best = terms.where(F.col("df").between(low, high)).orderBy(F.desc("count"), "term").limit(size)
+    return CountVectorizerModel.from_vocabulary([r["term"] for r in best.collect()], tokens, "features")
 
 
 def vectorise(docs: DataFrame, vocabulary: CountVectorizerModel) -> DataFrame:

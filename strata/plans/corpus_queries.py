@@ -47,7 +47,7 @@ def token_stats_sets(spark, sf):
 
 @query(
     "slice_counts",
-    "A3 P1 S11",
+    "A3 P1",
     f"WITH {T.DOCS} SELECT split, date, count(*) AS n FROM docs GROUP BY split, date",
 )
 def slice_counts(spark, sf):
@@ -232,19 +232,33 @@ def hash_shard(spark, sf):
     )
 
 
-@query("crc_shard", "P7")
+@query(
+    "crc_shard",
+    "P7",
+    f"WITH {T.DOCS} SELECT ({T.crc32_sql('docid')} % 16)::INTEGER AS sample_id, count(*) AS n FROM docs GROUP BY sample_id",
+)
 def crc_shard(spark, sf):
     return stats.rows_per(clean.shard(T.documents(spark, sf), "docid", 16), ["sample_id"])
 
 
-@query("hash_sample", "P6 P8")
+@query(
+    "hash_sample",
+    "P6 P8",
+    f"""WITH {T.DOCS} SELECT CASE WHEN {T.unit_hash_sql(42, 'date', 'docid')} < 0.25 THEN 'holdout' ELSE 'train' END AS side, date,
+    count(*) AS n FROM docs GROUP BY side, date""",
+)
 def hash_sample(spark, sf):
     train, held = clean.holdout_split(T.documents(spark, sf), ["date", "docid"], 0.25)
     sides = clean.union_all([train.withColumn("side", F.lit("train")), held.withColumn("side", F.lit("holdout"))])
     return stats.rows_per(sides, ["side", "date"])
 
 
-@query("draw_queries", "P9")
+@query(
+    "draw_queries",
+    "P9",
+    f"""WITH {T.LOG}, drawn AS (SELECT DISTINCT qid FROM log ORDER BY md5(concat_ws(chr(31), '42', qid)), qid LIMIT 20)
+    SELECT qid, count(*) AS n FROM log WHERE qid IN (SELECT qid FROM drawn) GROUP BY qid""",
+)
 def draw_queries(spark, sf):
     return clean.draw_queries(T.query_log(spark, sf), n=20, seed=42).groupBy("qid").agg(
         F.count(F.lit(1)).alias("n")
@@ -415,19 +429,16 @@ def query_multiplicity(spark, sf):
 @query(
     "expansion_coverage",
     "A32",
-    rf"""WITH e AS (SELECT conv_id, text FROM conversations WHERE turn = 0),
+    rf"""WITH {T.WHOLE}, e AS (SELECT qid AS conv_id, text FROM whole),
     w AS (SELECT len(list_filter(regexp_split_to_array(b.text, '\s+'), lambda x: x <> '')) AS q,
           len(list_filter(regexp_split_to_array(e.text, '\s+'), lambda x: x <> '')) AS e
-          FROM benchmark b LEFT JOIN e ON e.conv_id = b.item_id)
+          FROM benchmark b LEFT JOIN e ON e.conv_id = CAST(b.item_id AS VARCHAR))
     SELECT count(e) AS n_expanded, count(*) FILTER (e IS NULL) AS n_uncovered,
     round(avg(q) FILTER (e IS NOT NULL), 6) AS avg_query_words, round(avg(e), 6) AS avg_expanded_words,
     max(e) AS max_expanded_words FROM w""",
 )
 def expansion_coverage(spark, sf):
-    expansions = T.table(spark, sf, "conversations").where(F.col("turn") == 0).select(
-        F.col("conv_id").cast("string").alias("qid"), F.col("text").alias("query")
-    )
-    return stats.expansion_coverage(T.queries(spark, sf), expansions)
+    return stats.expansion_coverage(T.queries(spark, sf), T.whole_conversations(spark, sf))
 
 
 # --- describe, ordered lists, nested fields -----------------------------------------
@@ -440,24 +451,28 @@ def expansion_coverage(spark, sf):
     min(value) AS min, quantile_cont(value, 0.5) AS p50, max(value) AS max FROM events GROUP BY event_type""",
 )
 def describe_values(spark, sf):
-    freq = T.table(spark, sf, "events").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("c"))
-    c, v = F.col("c"), F.col("value")
-    mean = F.sum(v * c) / F.sum("c")
-    square = F.sum(v * v * c)
-    n = F.sum("c")
-    return freq.groupBy("event_type").agg(
-        n.alias("n"),
-        F.round(mean, 6).alias("mean"),
-        F.round(F.sqrt((square - n * mean * mean) / (n - 1)), 6).alias("std"),
+    rows = T.table(spark, sf, "events")
+    moments = rows.groupBy("event_type").agg(
+        F.count("value").alias("n"),
+        F.round(F.avg("value"), 6).alias("mean"),
+        F.round(F.stddev("value"), 6).alias("std"),
         F.min("value").alias("min"),
-        F.percentile("value", 0.5, c).alias("p50"),
         F.max("value").alias("max"),
     )
+    return moments.join(stats.medians(rows, ["event_type"], "value", "p50"), "event_type")
 
 
-@query("summary_table", "A9")
+@query(
+    "summary_table",
+    "A9",
+    """SELECT unnest(['count', 'mean', 'stddev', 'min', 'max']) AS summary,
+    unnest([n, round(m, 6), round(s, 6), lo, hi]) AS value FROM (
+      SELECT count(value)::DOUBLE AS n, avg(value) AS m, stddev(value) AS s, min(value)::DOUBLE AS lo, max(value)::DOUBLE AS hi FROM events)""",
+)
 def summary_table(spark, sf):
-    return T.table(spark, sf, "events").select("value").summary()
+    """The five exact rows of the summary; its percentiles are approximate."""
+    rows = T.table(spark, sf, "events").select("value").summary("count", "mean", "stddev", "min", "max")
+    return rows.select("summary", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
 @query(

@@ -58,7 +58,7 @@ def summary_sql(source: str, by: str) -> str:
     FROM {source} GROUP BY {by}"""
 
 
-@query("qrels", "D3 S12", f"WITH {T.DOCS}, {T.POSED}, {T.QRELS} SELECT date, qid, docid, rel FROM qrels")
+@query("qrels", "D3", f"WITH {T.DOCS}, {T.POSED}, {T.QRELS} SELECT date, qid, docid, rel FROM qrels")
 def qrels(spark, sf):
     return T.qrels(spark, sf)
 
@@ -273,7 +273,7 @@ def relevant_sets(spark, sf):
 
 @query(
     "judged_documents",
-    "J9 U5",
+    "J9",
     f"""WITH {T.DOCS}, {T.POSED}, {T.QRELS} SELECT date, docid, length(contents) AS chars FROM docs
     WHERE (date, docid) IN (SELECT (date, docid) FROM qrels)""",
 )
@@ -285,7 +285,7 @@ def judged_documents(spark, sf):
 
 @query(
     "run_summary",
-    "E5 A30",
+    "E5",
     f"""WITH {SCORES} SELECT date, n_pairs, n_queries, m AS ndcg10_mean, s AS ndcg10_std, CAST(floor(n_pairs / n_queries) AS BIGINT) AS k_candidates
     FROM (SELECT date, count(*) AS n_pairs, count(DISTINCT qid) AS n_queries FROM run GROUP BY date)
     JOIN (SELECT date, round(avg(ndcg_cut_10), 6) AS m, round(stddev(ndcg_cut_10), 6) AS s FROM scores GROUP BY date) USING (date)""",

@@ -144,15 +144,11 @@ def merge_expansion(spark, sf):
 @query(
     "expanded_queries",
     "J2",
-    f"""WITH {T.POSED}, e AS (SELECT CAST(conv_id AS VARCHAR) AS qid, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)
-    SELECT qid, md5(coalesce(text, query)) AS query_hash FROM posed LEFT JOIN e USING (qid)""",
+    f"""WITH {T.POSED}, {T.WHOLE}
+    SELECT qid, md5(coalesce(text, query)) AS query_hash FROM posed LEFT JOIN whole USING (qid)""",
 )
 def expanded_queries(spark, sf):
-    turns = T.table(spark, sf, "conversations").groupBy(F.col("conv_id").cast("string").alias("qid")).agg(
-        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns")
-    )
-    replaced = turns.select("qid", F.array_join(F.transform("turns", lambda t: t["text"]), "\n").alias("query"))
-    out = retrieval.expanded_or_original(T.queries(spark, sf), replaced)
+    out = retrieval.expanded_or_original(T.queries(spark, sf), T.whole_conversations(spark, sf))
     return out.select("qid", F.md5("query").alias("query_hash"))
 
 
@@ -206,7 +202,14 @@ def expansion_grid(spark, sf):
     )
 
 
-@query("search_shards", "R6")
+@query(
+    "search_shards",
+    "R6",
+    f"""WITH {EXPANDED}, {T.matches_sql('posed', 'matches')},
+    arms AS (SELECT 'original' AS arm, * FROM (SELECT *, row_number() OVER (PARTITION BY date, qid ORDER BY score DESC, docid) - 1 AS rank
+      FROM matches) WHERE rank < 10 UNION ALL BY NAME SELECT 'expanded' AS arm, * FROM erun)
+    SELECT arm, date, qid, CAST(rank AS INTEGER) AS rank, docid, score, CAST({T.crc32_sql('qid')} % 8 AS INTEGER) AS sample_id FROM arms""",
+)
 def search_shards(spark, sf):
     merged = retrieval.merge_expansion(with_terms(spark, sf), MAX_TERMS, WEIGHT).select("qid", "query")
     arms = {"original": T.queries(spark, sf), "expanded": merged}
@@ -299,7 +302,16 @@ def candidates_inner(spark, sf):
     )
 
 
-@query("rerank", "M5 R8")
+WORD_SET = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda w: w <> ''))"
+
+
+@query(
+    "rerank",
+    "M5 R8",
+    f"""WITH {T.RUN}, pairs AS (SELECT run.date, qid, docid, {WORD_SET.format('query')} AS q, {WORD_SET.format('contents')} AS c
+    FROM run JOIN docs USING (date, docid) JOIN posed USING (qid))
+    SELECT date, qid, docid, round(len(list_intersect(q, c)) / greatest(len(q), 1), 6) AS score FROM pairs""",
+)
 def rerank(spark, sf):
     rows = retrieval.candidates(T.run(spark, sf), T.documents(spark, sf), sliced_queries(spark, sf))
     return models.rerank(rows, models.overlap_scorer()).select("date", "qid", "docid", "score")

@@ -71,6 +71,14 @@ def query_log(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("split", K.split_of(F.col("date"), "2022-08"))
 
 
+def whole_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """``qid, query``: the texts of all turns of a conversation, in order."""
+    turns = table(spark, sf, "conversations").groupBy(F.col("conv_id").cast("string").alias("qid")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns")
+    )
+    return turns.select("qid", F.array_join(F.transform("turns", lambda t: t["text"]), "\n").alias("query"))
+
+
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """Rows whose docid repeats: conversations by id, the role as slice."""
     return table(spark, sf, "conversations").select(
@@ -197,6 +205,9 @@ LOG = f"""log AS (
   SELECT *, CASE WHEN date <= '2022-08' THEN 'train' ELSE 'test' END AS split FROM (
     SELECT {MONTH.format("turn")} AS date, CAST(conv_id AS VARCHAR) AS qid, text AS query FROM conversations))"""
 
+WHOLE = """whole AS (
+  SELECT CAST(conv_id AS VARCHAR) AS qid, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"""
+
 RECORDS = """records AS (
   SELECT CAST(conv_id AS VARCHAR) AS docid, role AS date, turn, text AS contents FROM conversations)"""
 
@@ -235,6 +246,18 @@ def matches_sql(source: str, into: str, keys: str = "qid") -> str:
   GROUP BY date, {keys}, docid)"""
 
 
+def unit_hash_sql(seed: int, *keys: str) -> str:
+    """The number in [0, 1) of a key, as :func:`strata.functions.keys.unit_hash` makes it."""
+    return f"(('0x' || substr(md5(concat_ws(chr(31), '{seed}', {', '.join(keys)})), 1, 7))::BIGINT / 268435456.0)"
+
+
+def crc32_sql(key: str) -> str:
+    """CRC-32 of an ASCII key, bit by bit."""
+    step = "list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, w: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    codes = f"list_prepend(4294967295::BIGINT, list_transform(string_split({key}, ''), lambda s: ord(s)::BIGINT))"
+    return f"xor(list_reduce({codes}, lambda c, x: {step}), 4294967295::BIGINT)"
+
+
 INDEXED = f"{DOCS},\n{TERMS},\n{POSTINGS}"
 RUN = f"""{INDEXED},
 {POSED},

@@ -386,7 +386,16 @@ def lda(spark, sf, k: int):
     return T.once(spark, sf, f"lda{k}", build)
 
 
-@query("vocabulary", "T9 T10")
+@query(
+    "vocabulary",
+    "T9 T10",
+    f"""WITH {Q.TOKENS}, {Q.UNIGRAMS}, {Q.BIGRAMS}, {Q.SCORED}, {Q.SCREENED},
+    every AS (SELECT date, docid, unnest(tokens) AS term FROM toks
+      UNION ALL SELECT date, docid, a || '_' || b FROM occ JOIN (SELECT a, b FROM kept) USING (a, b)),
+    terms AS (SELECT term, count(*) AS n, count(DISTINCT (date, docid)) AS df FROM every GROUP BY term)
+    SELECT CAST(row_number() OVER (ORDER BY n DESC, term) - 1 AS INTEGER) AS term_id, term FROM terms
+    WHERE df >= 3 AND df <= 0.5 * (SELECT count(*) FROM toks) ORDER BY n DESC, term LIMIT 2000""",
+)
 def vocabulary(spark, sf):
     return topics.vocabulary_table(features(spark, sf)[0], spark)
 
@@ -475,7 +484,7 @@ def random_projection(spark, sf):
     return topics.project_random(T.topics(spark, sf), ["docid"], K)
 
 
-@query("embed", "M1 M2 M3 D19 P12")
+@query("embed", "M1 M2 D19")
 def embed(spark, sf):
     docs = T.documents(spark, sf).select("docid", "date", "contents")
     rows = models.embed_shards(docs, models.hashing_model(16), shards=8, model_name="nomic-ai/test")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 SLICE = ["split", "language", "date"]
@@ -40,19 +40,22 @@ def write_run(rows: DataFrame, path: str, require_rows: bool = False) -> None:
     """Run files: tab-separated, gzipped, one folder per date, ordered by query and rank.
 
     Rows are range-partitioned, so a large slice is written by several tasks
-    whose files follow one another in order.
+    whose files follow one another in order.  They are counted while they are
+    written; an empty run is an error if ``require_rows``.
     """
     columns = ["qid", "Q0", "docno", "rank", "score", "tag"]
-    if require_rows and rows.isEmpty():
-        raise ValueError("the run is empty")
+    counted = Observation("run rows")
     (
         rows.select("date", *columns)
         .repartitionByRange("date", "qid", "rank")
         .sortWithinPartitions("date", "qid", "rank")
+        .observe(counted, F.count(F.lit(1)).alias("n"))
         .write.mode("overwrite")
         .partitionBy("date")
         .csv(path, sep="\t", header=False, compression="gzip")
     )
+    if require_rows and not counted.get["n"]:
+        raise ValueError("the run is empty")
 
 
 def read_run(spark, path: str) -> DataFrame:

@@ -127,6 +127,19 @@ def test_quantiles_count_equal_lengths_first(spark):
     assert "partial_count" in plan
 
 
+def test_medians_equal_a_sort(spark):
+    rng = random.Random(12)
+    data = [(g, float(v)) for g in "abc" for v in ([rng.gauss(5, 2) for _ in range(rng.randrange(1, 400))] + [7.0] * 50)]
+    data += [("one", 3.0), ("two", 1.0), ("two", 2.0), ("none", None)]
+    df = spark.createDataFrame(data, "g string, v double")
+    got = {r["g"]: r["m"] for r in stats.medians(df, ["g"], "v", "m", width=16).collect()}
+    for g in {g for g, v in data if v is not None}:
+        values = sorted(v for k, v in data if k == g)
+        n = len(values)
+        assert got[g] == (values[(n - 1) // 2] + values[n // 2]) / 2
+    assert "none" not in got
+
+
 def test_slice_filter_prunes_partitions(spark, tmp_path):
     from strata.sources import sinks
 
