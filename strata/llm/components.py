@@ -36,6 +36,17 @@ def _ordered(links: DataFrame) -> DataFrame:
     return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` of :func:`components` after more links; only the links between components are followed."""
+    known = roots.select("vertex", F.col("root").alias("parent"))
+    found = components(_renamed(links, known)).withColumnRenamed("root", "parent")
+    up = found.select(F.col("vertex").alias("__v"), F.col("parent").alias("__up"))
+    moved = known.join(up, known["parent"] == up["__v"], "left").select(
+        "vertex", F.coalesce("__up", "parent").alias("root")
+    )
+    return written(moved.unionByName(found.withColumnRenamed("parent", "root")), "components-roots")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``vertex`` and ``root``, the smallest vertex of its component, for vertices that are not roots.
 

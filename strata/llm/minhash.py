@@ -7,8 +7,10 @@ cell lie side by side, so a signature is the minimum of short slices.
 
 Texts with equal shingle sets form a class, and only one text of a class goes
 on.  Bands of the signature make buckets.  Every bucket's members are compared
-with its smallest one on their full sets; components of the links found then
-tell which members of a bucket still have to be compared with each other.
+with its smallest one on their full sets.  Where the links found leave members
+of a bucket in several components, all pairs across components are compared
+too: small buckets list their pairs, large ones are compared block by block
+inside tasks.  No pair whose link could join two components is left out.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import likely_in
-from strata.llm.components import components
+from strata.llm.components import components, extended
 from strata.llm.shingles import mix, shingle_set
 from strata.session import lookup_join, written
 
@@ -31,6 +33,11 @@ BANDS = 64
 ROWS = 6
 PERCENT = 75
 
+# Members of a bucket up to which its pairs are listed: at most half as many pairs per member.
+# Larger buckets are compared in blocks of BLOCK texts.
+DIRECT_MEMBERS = 32
+BLOCK = 512
+
 CELL_BITS = 20
 _SLICE = 512
 
@@ -101,23 +108,31 @@ def _sets(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     )
 
 
-def _may_link(coordinates: int, percent: int) -> Column:
-    """Whether sizes and sketches of ``a`` and ``b`` allow the similarity.
+def _least_agreeing(coordinates: int, percent: int) -> float:
+    """Sketch bits that two texts of the least similarity share, less six standard deviations.
 
-    Unrelated coordinates agree in half of their last bits.  The bound lies six
-    standard deviations below the agreement expected at the threshold.
+    Unrelated coordinates agree in half of their last bits.
     """
     agreeing = (1 + percent / 100) / 2
-    least = coordinates * agreeing - 6 * (coordinates * agreeing * (1 - agreeing)) ** 0.5
+    return coordinates * agreeing - 6 * (coordinates * agreeing * (1 - agreeing)) ** 0.5
+
+
+def _similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    both = np.intersect1d(one, other, assume_unique=True).size
+    return 0 < both and 100 * both >= percent * (one.size + other.size - both)
+
+
+def _may_link(coordinates: int, percent: int) -> Column:
+    """Whether sizes and sketches of ``a`` and ``b`` allow the similarity."""
     words = -(-coordinates // 64)
     differing = sum(F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(words))
     small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    return (small * 100 >= large * percent) & (F.lit(coordinates) - differing >= F.lit(least))
+    return (small * 100 >= large * percent) & (F.lit(coordinates) - differing >= F.lit(_least_agreeing(coordinates, percent)))
 
 
 def _described(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Add sizes and sketches of both ends."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
     known = likely_in(sets.where("n_shingles > 0"), "doc_id", ends).select("doc_id", "n_shingles", "sketch")
     for end in ("a", "b"):
         side = known.select(
@@ -134,7 +149,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
     comes last, so it is not shuffled once per pair.  Where a doc_id has several
     texts, any of them may make the link.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
     texts = likely_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", ends)
     right = texts.select(F.col("doc_id").alias("__b"), F.col("text").alias("b_text"))
     left = texts.select(F.col("doc_id").alias("__a"), F.col("text").alias("a_text"))
@@ -150,22 +165,119 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
                 if own is None or a_text != last:
                     last, own = a_text, shingle_set(a_text)
                 other = shingle_set(b_text.as_py())
-                both = np.intersect1d(own, other, assume_unique=True).size
-                keep.append(0 < both and 100 * both >= percent * (own.size + other.size - both))
+                keep.append(_similar(own, other, percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(linked, "a long, b long")
 
 
+def _open_members(crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (``key``, ``rep``, ``root``) of the buckets whose members lie in several components."""
+    placed = crowd.select("key", "rep").join(roots, F.col("rep") == F.col("vertex"), "left")
+    placed = placed.select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    spread = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return written(placed.join(spread.select("key"), "key", "left_semi"), "minhash-open")
+
+
+def _across(crowd: DataFrame, sets: DataFrame, coordinates: int, percent: int) -> DataFrame:
+    """All pairs of a bucket's members in different components that sizes and sketches allow."""
+    known = likely_in(sets.where("n_shingles > 0"), "doc_id", crowd.select("rep")).select("doc_id", "n_shingles", "sketch")
+    inside = written(crowd.join(known, F.col("rep") == F.col("doc_id")).drop("doc_id"), "minhash-open")
+    one = inside.select("key", *[F.col(c).alias(f"a{n}") for c, n in _SIDES])
+    two = inside.select(F.col("key").alias("__key"), *[F.col(c).alias(f"b{n}") for c, n in _SIDES])
+    apart = (F.col("key") == F.col("__key")) & (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root"))
+    pairs = one.join(two, apart & _may_link(coordinates, percent)).select("a", "b").distinct()
+    return written(pairs, "minhash-across")
+
+
+def _blocks(many: DataFrame, block: int) -> DataFrame:
+    """Members (``rep``, ``root``) of connected large buckets, once for every pair of blocks they belong to.
+
+    Buckets that share members form a crowd, and a crowd is cut into blocks by a
+    hash, so a pair of texts is compared once, in however many buckets it lies.
+    """
+    first = many.groupBy(F.col("key").alias("__key")).agg(F.min("rep").alias("first"))
+    star = many.join(first, F.col("key") == F.col("__key")).select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    crowds = components(star).select(F.col("vertex").alias("__v"), F.col("root").alias("__crowd"))
+    reps = many.select("rep", "root").distinct().join(crowds, F.col("rep") == F.col("__v"), "left")
+    reps = written(reps.select("rep", "root", F.coalesce("__crowd", "rep").alias("crowd")), "minhash-crowds")
+    sizes = reps.groupBy(F.col("crowd").alias("__c")).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("n"))
+    placed = reps.join(sizes, F.col("crowd") == F.col("__c")).drop("__c")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+    others = placed.select("rep", "root", "crowd", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    return others.select(
+        "rep", "root", "crowd", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        (F.col("own") > F.col("other")).alias("second"),
+    )
+
+
+def _linked_in_blocks(
+    many: DataFrame, sets: DataFrame, docs: DataFrame, coordinates: int, percent: int, block: int = BLOCK
+) -> DataFrame:
+    """Links between members of large buckets that lie in different components.
+
+    A task holds the shingle sets of one block and passes the other block's
+    texts by them, so its memory does not depend on the size of the crowd, and
+    only links leave it.
+    """
+    parts = _blocks(many, block)
+    reps = parts.select("rep").distinct()
+    texts = likely_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", reps)
+    known = likely_in(sets.where("n_shingles > 0"), "doc_id", reps).select(F.col("doc_id").alias("__d"), "n_shingles", "sketch")
+    carried = texts.join(known, F.col("doc_id") == F.col("__d")).select("doc_id", "text", "n_shingles", "sketch")
+    rows = parts.join(carried, F.col("rep") == F.col("doc_id")).drop("doc_id")
+    order = ["crowd", "low", "high"]
+    dealt = rows.repartition(*order).sortWithinPartitions(*order, "second", "rep")
+    least_bits, width = _least_agreeing(coordinates, percent), -(-coordinates // 64)
+
+    def linked(batches):
+        at, ids, held_roots, held_sizes, held_sets = None, [], [], [], []
+        held_bits = np.empty((0, width), np.uint64)
+        for batch in batches:
+            out_a, out_b = [], []
+            columns = [batch.column(c) for c in (*order, "second", "rep", "root", "n_shingles", "sketch", "text")]
+            for crowd, low, high, second, rep, root, size, bits, text in zip(*columns):
+                group = (crowd.as_py(), low.as_py(), high.as_py())
+                if group != at:
+                    at, ids, held_roots, held_sizes, held_sets = group, [], [], [], []
+                    held_bits = np.empty((64, width), np.uint64)
+                rep, root, size, n = rep.as_py(), root.as_py(), size.as_py(), len(ids)
+                bits = np.array(bits.as_py(), np.int64).view(np.uint64)
+                own = shingle_set(text.as_py())
+                inner = group[1] == group[2]
+                if n and (second.as_py() or inner):
+                    differing = np.bitwise_count(held_bits[:n] ^ bits).sum(axis=1)
+                    sizes = np.array(held_sizes)
+                    likely = (coordinates - differing.astype(np.int64) >= least_bits) & (np.array(held_roots) != root)
+                    likely &= np.minimum(sizes, size) * 100 >= np.maximum(sizes, size) * percent
+                    for i in np.flatnonzero(likely):
+                        if _similar(held_sets[i], own, percent):
+                            out_a.append(ids[i])
+                            out_b.append(rep)
+                if not second.as_py():
+                    if n == len(held_bits):
+                        held_bits = np.concatenate([held_bits, np.empty_like(held_bits)])
+                    held_bits[n] = bits
+                    ids.append(rep)
+                    held_roots.append(root)
+                    held_sizes.append(size)
+                    held_sets.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(linked, "a long, b long")
+
+
+_SIDES = (("rep", ""), ("root", "_root"), ("n_shingles", "_n"), ("sketch", "_sketch"))
+
+
 def near_duplicates(
     docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT
 ) -> DataFrame:
     """Components of near-duplicate texts: one row per row of ``docs`` (doc_id, text).
 
-    Returns doc_id, n_shingles, component_id, kept, links (how many other classes
-    the text's class was compared with and linked to).  Two texts are linked if
-    100 times the intersection of their shingle sets is at least ``percent``
-    times the union.  component_id is the smallest doc_id that links reach.
+    Returns doc_id, n_shingles, component_id, kept.  Two texts are linked if 100
+    times the intersection of their shingle sets is at least ``percent`` times
+    the union.  component_id is the smallest doc_id that links reach.
     Null and empty texts have no shingles and are linked with nothing; neither
     are rows without doc_id, which are kept and have no component_id.  Rows that
     repeat a doc_id are compared like others, and their component is the smallest
@@ -184,37 +296,28 @@ def near_duplicates(
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size"))
     buckets = written(buckets.where("size > 1"), "minhash-buckets")
     near = likely_in(keyed, "key", buckets.select("key"))
-    members = written(near.join(buckets, "key").where("rep <> leader"), "minhash-members")
-
-    star = members.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    star = written(_described(star, sets).where(_may_link(coordinates, percent)).select("a", "b").distinct(), "minhash-star")
-    links = written(verified(star, docs, percent), "minhash-links")
-
-    # Members of one bucket that are not yet in one component, apart from its leader.
-    roots = components(links)
-    inside = members.where("size > 2").join(roots, F.col("rep") == F.col("vertex"), "left")
-    inside = inside.select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    open_keys = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    inside = inside.join(open_keys.select("key"), "key", "left_semi")
-    known = likely_in(named, "doc_id", inside.select("rep")).select("doc_id", "n_shingles", "sketch")
-    inside = written(inside.join(known, F.col("rep") == F.col("doc_id")).drop("doc_id"), "minhash-open")
-    one = inside.select("key", F.col("rep").alias("a"), F.col("root").alias("a_root"), F.col("n_shingles").alias("a_n"), F.col("sketch").alias("a_sketch"))
-    two = inside.select(F.col("key").alias("__key"), F.col("rep").alias("b"), F.col("root").alias("b_root"), F.col("n_shingles").alias("b_n"), F.col("sketch").alias("b_sketch"))
-    across = one.join(
-        two,
-        (F.col("key") == F.col("__key")) & (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & _may_link(coordinates, percent),
-    ).select("a", "b").distinct()
-    across = written(across, "minhash-across")
-    more = written(verified(across, docs, percent), "minhash-more-links")
-
-    links = links.unionByName(more).distinct()
-    roots = components(links)
-    degrees = links.select(F.explode(F.array("a", "b")).alias("__d")).groupBy("__d").agg(F.count(F.lit(1)).alias("links"))
+    members = written(near.join(buckets, "key").select("key", "rep", "leader", "size"), "minhash-members")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        likely = _described(pairs.distinct(), sets).where(_may_link(coordinates, percent))
+        return written(verified(written(likely.select("a", "b").distinct(), "minhash-pairs"), docs, percent), "minhash-links")
+
+    star = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+    roots = components(confirmed(star))
+    crowd = _open_members(members.where("size > 2"), roots)
+    counts = written(crowd.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "minhash-open-sizes")
+    few = crowd.join(counts.where(F.col("n") <= DIRECT_MEMBERS).select("key"), "key", "left_semi")
+    roots = extended(roots, written(verified(_across(few, sets, coordinates, percent), docs, percent), "minhash-links"))
+    many = crowd.join(counts.where(F.col("n") > DIRECT_MEMBERS).select("key"), "key", "left_semi")
+    many = _open_members(many, roots)
+    if many.limit(1).count():
+        roots = extended(roots, written(_linked_in_blocks(many, sets, docs, coordinates, percent), "minhash-links"))
+
     dim = (
         classes.join(roots, F.col("rep") == F.col("vertex"), "left")
-        .join(degrees, F.col("rep") == F.col("__d"), "left")
-        .select("digest", "copies", F.coalesce("root", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
-        .where("copies > 1 or links > 0")
+        .select("digest", "copies", F.coalesce("root", "rep").alias("component_id"), F.col("root").isNotNull().alias("moved"))
+        .where("copies > 1 or moved")
+        .drop("moved")
     )
     dim = written(dim, "minhash-components")
     facts = sets.select("doc_id", "n_shingles", "digest")
@@ -225,7 +328,6 @@ def near_duplicates(
         "n_shingles",
         component.alias("component_id"),
         component.eqNullSafe(F.col("doc_id")).alias("kept"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("links"),
     )
 
 

@@ -106,6 +106,24 @@ def test_equals_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(int(c) for c in {c for _, _, c in brute(rows)})
 
 
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for place in rng.integers(0, 150, int(rng.integers(0, 14))):
+            copy[int(place)] = f"x{rng.integers(1000)}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows)
+    assert len({c for _, _, c in want}) > 5
+    assert result(minhash.near_duplicates(docs)) == want
+    monkeypatch.setattr(minhash, "DIRECT_MEMBERS", 3)
+    monkeypatch.setattr(minhash._linked_in_blocks, "__defaults__", (16,))
+    assert result(minhash.near_duplicates(docs)) == want
+
+
 def test_odd_rows(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (3, "x"), (9, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
