@@ -78,10 +78,10 @@ def op7_bpe(spark, sf_dir):
     return bpe.round_trips(_table(spark, sf_dir, "documents"), *vocabulary())
 
 
-@query("op8_pii")
+@query("op8_pii", pii.report_sql())
 def op8_pii(spark, sf_dir):
     """Personal data in every text."""
-    return pii.report(_table(spark, sf_dir, "documents"))
+    return pii.report(_table(spark, sf_dir, "documents")).drop("scores")
 
 
 @query("op9_quality")
