@@ -71,7 +71,8 @@ def directory(cells: DataFrame, capacity: int = BUCKET_KEYS) -> DataFrame:
     children = split.select(
         (F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix")
     )
-    root = cells.sparkSession.range(1).select(F.lit(0).alias("depth"), F.lit(0).alias("prefix"))
+    zero = F.col("id").cast("int")
+    root = cells.sparkSession.range(1).select(zero.alias("depth"), zero.alias("prefix"))
     buckets = children.unionByName(root).join(split.select("depth", "prefix"), ["depth", "prefix"], "left_anti")
     first = F.expr(f"shiftleft(prefix, {DIRECTORY_BITS} - depth)")
     last = F.expr(f"shiftleft(prefix + 1, {DIRECTORY_BITS} - depth) - 1")
