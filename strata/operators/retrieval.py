@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from strata.functions import text as X
 from strata.functions.vectors import let
 from strata.operators.ranking import top_k, unnest
-from strata.session import MAX_BROADCAST_ROWS, fits, spread_join
+from strata.session import MAX_BROADCAST_ROWS, fits, likely_in, spread_join
 
 K1 = 0.9
 B = 0.4
@@ -354,8 +354,10 @@ def candidates(run: DataFrame, docs: DataFrame, queries: DataFrame, how: str = "
     with an empty text.  ``docs`` must hold one row per (date, docid).
     """
     posed = queries.groupBy("date", "qid").agg(F.min("query").alias("query"))
+    # Texts that no query found are dropped before texts are moved.
+    found = likely_in(docs.select("date", "docid", "contents"), ["date", "docid"], run)
     # A few documents can be found by very many queries.
-    rows = spread_join(run, docs.select("date", "docid", "contents"), ["date", "docid"], how)
+    rows = spread_join(run, found, ["date", "docid"], how)
     rows = rows.join(posed, ["date", "qid"], how)
     rows = rows.select("date", "qid", "docid", "query", "contents", "score")
     return rows if how == "left" else rows.where(F.length("contents") > 0)

@@ -48,6 +48,11 @@ def tokens(spark, sf) -> DataFrame:
     )
 
 
+def stored_tokens(spark, sf) -> DataFrame:
+    """The tokens written once: what reads them more than once does not tokenize again."""
+    return T.once(spark, sf, "tokens", lambda: written(tokens(spark, sf), "tokens"))
+
+
 def mined(rows: DataFrame) -> DataFrame:
     return phrases.mine(
         rows, min_count=MIN_COUNT, threshold=THRESHOLD, ceiling=CEILING, percentile=PERCENTILE
@@ -55,7 +60,7 @@ def mined(rows: DataFrame) -> DataFrame:
 
 
 def stored_phrases(spark, sf) -> DataFrame:
-    return T.once(spark, sf, "phrases", lambda: written(mined(tokens(spark, sf)), "phrases"))
+    return T.once(spark, sf, "phrases", lambda: written(mined(stored_tokens(spark, sf)), "phrases"))
 
 
 @query(
@@ -144,7 +149,7 @@ def bigrams(spark, sf):
     f"WITH {TOKENS}, {UNIGRAMS}, {BIGRAMS}, {SCORED} SELECT a, b, round(npmi, 6) AS npmi, count FROM scored",
 )
 def npmi_phrases(spark, sf):
-    scored = phrases.score_pairs(tokens(spark, sf), min_count=MIN_COUNT, threshold=THRESHOLD)
+    scored = phrases.score_pairs(stored_tokens(spark, sf), min_count=MIN_COUNT, threshold=THRESHOLD)
     return scored.withColumn("npmi", F.round("npmi", 6)).orderBy(F.desc("npmi"), "a", "b")
 
 
@@ -154,7 +159,7 @@ def npmi_phrases(spark, sf):
     f"WITH {TOKENS}, {UNIGRAMS}, {BIGRAMS}, {SCORED}, {SCREENED} SELECT a, b, round(npmi, 6) AS npmi, count FROM kept",
 )
 def phrase_screen(spark, sf):
-    return mined(tokens(spark, sf)).withColumn("npmi", F.round("npmi", 6))
+    return mined(stored_tokens(spark, sf)).withColumn("npmi", F.round("npmi", 6))
 
 
 @query(
@@ -168,7 +173,7 @@ def phrase_screen(spark, sf):
     FROM toks LEFT JOIN hit USING (date, docid) WHERE len(tokens) > 0""",
 )
 def apply_phrases(spark, sf):
-    rows = phrases.append_phrases(tokens(spark, sf), stored_phrases(spark, sf), ["date", "docid"])
+    rows = phrases.append_phrases(stored_tokens(spark, sf), stored_phrases(spark, sf), ["date", "docid"])
     return rows.where(F.size("tokens") > 0).select(
         "date",
         "docid",
@@ -238,7 +243,7 @@ per_topic AS (SELECT topic, avg(npmi) AS npmi FROM npmis GROUP BY topic)"""
     f"WITH {PAIRED} SELECT topic, round(npmi, 6) AS npmi, total AS n_docs FROM per_topic, nd",
 )
 def topic_coherence(spark, sf):
-    rows = coherence.topic_npmi(tokens(spark, sf), stored_topic_words(spark, sf, TOP_N), tokens="tokens", n=TOP_N)
+    rows = coherence.topic_npmi(stored_tokens(spark, sf), stored_topic_words(spark, sf, TOP_N), tokens="tokens", n=TOP_N)
     return rows.withColumn("npmi", F.round("npmi", 6))
 
 
@@ -262,7 +267,7 @@ def topic_diversity(spark, sf):
     (SELECT string_agg(word, ' ' ORDER BY topic, pos) FROM tw) AS top_words FROM m, d, nd""",
 )
 def coherence_table(spark, sf):
-    rows = coherence.coherence_table(tokens(spark, sf), stored_topic_words(spark, sf, TOP_N), "tokens", TOP_N)
+    rows = coherence.coherence_table(stored_tokens(spark, sf), stored_topic_words(spark, sf, TOP_N), "tokens", TOP_N)
     scores = F.transform("per_topic_npmi", lambda v: F.format_string("%.4f", v))
     return rows.select(
         "k",

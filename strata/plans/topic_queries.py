@@ -352,7 +352,7 @@ def phrased(spark, sf) -> DataFrame:
     """Stored phrased tokens: written once, read by every model of the application."""
 
     def build():
-        rows = phrases.append_phrases(Q.tokens(spark, sf), Q.stored_phrases(spark, sf), DOC)
+        rows = phrases.append_phrases(Q.stored_tokens(spark, sf), Q.stored_phrases(spark, sf), DOC)
         return written(rows.select("date", "docid", "language", "tokens_phrased"), "phrased")
 
     return T.once(spark, sf, "phrased", build)
@@ -362,7 +362,7 @@ def phrased_by_train(spark, sf) -> DataFrame:
     """Tokens of all slices with the phrases of the train slices."""
 
     def build():
-        tokens = Q.tokens(spark, sf)
+        tokens = Q.stored_tokens(spark, sf)
         mined = Q.mined(tokens.where(F.col("date") <= T.LAST_TRAIN))
         rows = phrases.append_phrases(tokens, written(mined, "train-phrases"), DOC)
         return written(rows.select("date", "docid", "language", "tokens_phrased"), "train-phrased")

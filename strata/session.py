@@ -14,6 +14,9 @@ MAX_BROADCAST_ROWS = 1_000_000
 # The same for rows of a topic vector each (about 1 kB).
 MAX_BROADCAST_VECTORS = 20_000
 
+# Rows of a broadcast table of key bits: 16 bytes each.
+FILTER_CELLS = 1 << 16
+
 # Share of a weighted key set above which a key counts as hot.  At most
 # HOT_PARTS keys can each hold 1/HOT_PARTS of the total weight, so a table of
 # hot keys has a proven size bound.
@@ -73,6 +76,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
+def likely_in(df: DataFrame, on: list[str], keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose columns ``on`` occur in ``keys``, and a few others.
+
+    ``keys`` becomes a table of bits with at most FILTER_CELLS rows, however many
+    keys there are, so it can be broadcast: rows that match nothing are dropped
+    before a shuffle.  No row whose key occurs is lost; with many keys the
+    filter lets more rows through.
+    """
+    cell = F.expr(f"pmod(__h, {FILTER_CELLS}L)")
+    bit = F.expr("shiftleft(1L, cast(pmod(shiftright(__h, 32), 64L) as int))")
+    hashed = keys.select(F.xxhash64(*on).alias("__h"))
+    bits = hashed.groupBy(cell.alias("__cell")).agg(F.bit_or(bit).alias("__bits"))
+    marked = df.withColumn("__h", F.xxhash64(*on)).withColumn("__cell", cell)
+    kept = marked.join(F.broadcast(bits), "__cell").where(F.col("__bits").bitwiseAND(bit) != 0)
+    return kept.select(*df.columns)
+
+
 def lookup_join(
     facts: DataFrame,
     dim: DataFrame,

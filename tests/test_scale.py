@@ -218,6 +218,17 @@ def test_large_query_sets_are_not_broadcast(spark):
     assert small.exceptAll(salted).isEmpty() and small.count() == salted.count()
 
 
+def test_candidates_drop_unfound_texts_before_the_shuffle(spark):
+    docs = spark.range(3000).select(F.lit("m").alias("date"), F.concat(F.lit("d"), "id").alias("docid"), F.lit("text").alias("contents"))
+    run = docs.where("docid < 'd11'").select("date", "docid", F.lit("q").alias("qid"), F.lit(1.0).alias("score"))
+    kept = session.likely_in(docs, ["date", "docid"], run)
+    wanted = {r["docid"] for r in run.collect()}
+    got = {r["docid"] for r in kept.collect()}
+    assert wanted <= got and len(got) < 1.2 * len(wanted) and kept.columns == docs.columns
+    queries = spark.createDataFrame([("m", "q", "text")], "date string, qid string, query string")
+    assert retrieval.candidates(run, docs, queries).count() == len(wanted)
+
+
 def test_size_check(spark):
     assert session.fits(spark.range(10), 10) and not session.fits(spark.range(11), 10)
 
