@@ -1,17 +1,16 @@
-"""What several operators share: words, row numbers of sources, bounded key filters."""
+"""What several operators share: words, white space, bounded key filters."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata import session
+
 # White space that separates words, and a word (fixed values of the data contract).
 WHITE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
-# Cells of a key filter: a broadcast table of at most this many rows of 16 bytes.
-FILTER_CELLS = 1 << 16
-
 
 def text_of(column: str = "text") -> Column:
     """The text, null as the empty text."""
@@ -25,25 +24,6 @@ def without_white(text: Column) -> Column:
     return text
 
 
-def _cell(hashed: str) -> Column:
-    return F.expr(f"pmod({hashed}, {FILTER_CELLS}L)")
-
-
-def _bit(hashed: str) -> Column:
-    return F.expr(f"shiftleft(1L, cast(pmod(shiftright({hashed}, 32), 64L) as int))")
-
-
 def likely_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``key`` occurs in the one column of ``keys``, and a few others.
-
-    ``keys`` becomes a table of bits with at most ``FILTER_CELLS`` rows, however
-    many keys there are, so it can be broadcast.  No row whose key occurs is
-    lost; with many keys the filter lets more rows through.
-    """
-    named = keys.select(F.xxhash64(F.col(keys.columns[0])).alias("__h"))
-    bits = named.groupBy(_cell("__h").alias("__cell")).agg(F.bit_or(_bit("__h")).alias("__bits"))
-    marked = df.withColumn("__h", F.xxhash64(F.col(key))).withColumn("__cell", _cell("__h"))
-    kept = marked.join(F.broadcast(bits), "__cell").where(
-        F.col("__bits").bitwiseAND(_bit("__h")) != 0
-    )
-    return kept.select(*df.columns)
+    """Rows of ``df`` whose ``key`` occurs in the one column of ``keys``, and a few others."""
+    return session.likely_in(df, [key], keys.select(F.col(keys.columns[0]).alias(key)))
