@@ -10,7 +10,7 @@ from strata.functions import text as X
 from strata.operators import clean, models
 from strata.plans import jobs
 from strata.sources import readers
-from strata.sources.collections import TestCollection, TrainCollection, TrecCollection
+from strata.sources.collections import ParquetCollection, TestCollection, TrainCollection, TrecCollection
 
 ANALYZERS = {"french": X.french_tokens, "light": X.light_tokens, "simple": X.simple_tokens}
 
@@ -42,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--dates", type=names)
     c.add_argument("--qrels-root")
     command("tokens", "token and word statistics", "roots", "output")
+    command("diagnostics", "lengths, uniqueness and English density, one pass", "roots", "output")
     c = command("embedding", "embeddings by hashed words, as a stand-in for a model", "roots", "output")
     c.add_argument("--shards", type=int, default=8)
     c.add_argument("--dims", type=int, default=64)
@@ -66,6 +67,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--k", type=int, default=20)
     c.add_argument("--iterations", type=numbers(int), default=[10, 50])
     c.add_argument("--offsets", type=numbers(float), default=[64.0, 1024.0])
+    c = command("lda-query-topics", "topics of the queries with trained models", "prepared", "trained", "roots", "output")
+    c.add_argument("--k", type=int, default=20)
+    c.add_argument("--analyzer", choices=ANALYZERS, default="french")
     c = command("nmf", "TF-IDF and non-negative factors", "roots", "output")
     c.add_argument("--k", type=int, default=20)
     c.add_argument("--date", default=clean.POOLED)
@@ -75,6 +79,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--shards", type=int, default=8)
     c.add_argument("--expansions")
     c.add_argument("--analyzer", choices=ANALYZERS, default="french")
+    c = command("rerank", "score candidates by word overlap, as a stand-in for a model", "roots", "run", "output")
+    c.add_argument("--seeds", type=numbers(int), default=[42])
+    c.add_argument("--queries", type=int, default=0)
     c = command("evaluate", "score stored runs (experiment, date, qid, docid, score)", "run", "qrels", "output")
     return p
 
@@ -90,6 +97,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         TrecCollection(spark, a.input, a.dates, a.split).to_parquet(a.output, a.qrels_root)
     elif a.command == "tokens":
         jobs.token_statistics(spark, a.roots, a.output)
+    elif a.command == "diagnostics":
+        jobs.diagnostics(spark, a.roots, a.output)
     elif a.command == "embedding":
         jobs.embeddings(spark, a.roots, a.output, models.hashing_model(a.dims), a.shards)
     elif a.command == "lda-preprocess":
@@ -114,10 +123,15 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         jobs.heldout_drift(spark, a.prepared, a.trained, a.roots, a.output, a.ks, analyzer)
     elif a.command == "lda-conv-probe":
         jobs.convergence(spark, a.prepared, a.output, a.k, a.iterations, a.offsets)
+    elif a.command == "lda-query-topics":
+        queries = clean.union_all([ParquetCollection(spark, r).queries for r in a.roots], True)
+        jobs.query_topics(spark, a.prepared, a.trained, queries, a.k, a.output, analyzer)
     elif a.command == "nmf":
         jobs.nmf(spark, a.roots, a.output, a.k, a.date, a.sample)
     elif a.command == "bm25":
         jobs.bm25(spark, a.roots, a.output, a.k, a.shards, a.expansions, analyzer)
+    elif a.command == "rerank":
+        jobs.rerank(spark, a.roots, a.run, a.output, models.overlap_scorer(), tuple(a.seeds), a.queries)
     elif a.command == "evaluate":
         jobs.evaluation(spark, spark.read.parquet(a.run), spark.read.parquet(a.qrels), a.output)
 

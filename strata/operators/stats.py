@@ -126,6 +126,31 @@ def exact_uniqueness(docs: DataFrame, by: list[str], column: str = "contents") -
     return rows.withColumn("unique_frac", _r(F.col("n_unique") / F.col("n_docs")))
 
 
+def thin_rows(docs: DataFrame, by: list[str], column: str = "contents") -> DataFrame:
+    """What the corpus diagnostics need of every text: one pass over the texts, a few numbers a row."""
+    return docs.select(
+        *by,
+        F.length(column).cast("bigint").alias("chars"),
+        F.sha2(F.col(column), 256).alias("text_hash"),
+        _r(X.english_density(column), 9).alias("density"),
+    )
+
+
+def diagnostics(thin: DataFrame, by: list[str]) -> DataFrame:
+    """Lengths, uniqueness and English density per group, from stored :func:`thin_rows`."""
+    means = thin.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        _r(F.avg("chars")).alias("mean_chars"),
+        F.max("chars").alias("max_chars"),
+        _r(F.avg("density")).alias("density_mean"),
+        _r(F.avg((F.col("density") > 0.05).cast("int"))).alias("frac_above_05"),
+    )
+    texts = thin.groupBy(*by, "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    unique = texts.groupBy(*by).agg(F.count(F.lit(1)).alias("n_unique"))
+    halves = medians(thin, by, "chars", "median_chars").join(medians(thin, by, "density", "density_p50"), by)
+    return means.join(unique, by).join(halves, by)
+
+
 def english_density(docs: DataFrame, by: list[str], column: str = "contents") -> DataFrame:
     """Distribution of the English-marker share of documents."""
     thin = docs.select(*by, _r(X.english_density(column), 9).alias("d"))

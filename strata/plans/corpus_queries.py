@@ -9,6 +9,7 @@ from strata.functions import text as X
 from strata.operators import clean, ranking, stats
 from strata.plans import tables as T
 from strata.plans.registry import query
+from strata.session import written
 
 COUNTS = f"""{T.DOCS},
 counts AS (SELECT date, split, language, docid, len({T.WORDS.format('contents')}) AS tokens,
@@ -216,6 +217,23 @@ def en_density(spark, sf):
     return stats.english_density(T.documents(spark, sf), ["date"])
 
 
+@query(
+    "fused_diagnostics",
+    "A2 A18 A21",
+    rf"""WITH {T.DOCS}, thin AS (
+    SELECT date, length(contents) AS chars, sha256(contents) AS h,
+           round(len(list_filter(regexp_extract_all(lower(contents), '[\p{{L}}\p{{N}}_]+'), lambda w: w IN ({MARKERS})))
+           / len(list_filter(regexp_split_to_array(contents, '\s+'), lambda w: w <> '')), 9) AS d FROM docs)
+    SELECT date, count(*) AS n_docs, round(avg(chars), 6) AS mean_chars, max(chars) AS max_chars, round(avg(d), 6) AS density_mean,
+    round(avg(CASE WHEN d > 0.05 THEN 1 ELSE 0 END), 6) AS frac_above_05, count(DISTINCT h) AS n_unique,
+    quantile_cont(chars, 0.5) AS median_chars, round(quantile_cont(d, 0.5), 6) AS density_p50 FROM thin GROUP BY date""",
+)
+def fused_diagnostics(spark, sf):
+    """Lengths, uniqueness and English density from one pass over the texts."""
+    thin = written(stats.thin_rows(T.documents(spark, sf), ["date"]), "thin")
+    return stats.diagnostics(thin, ["date"]).withColumn("density_p50", F.round("density_p50", 6))
+
+
 # --- samples, shards, unions -------------------------------------------------------
 
 

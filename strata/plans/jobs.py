@@ -7,12 +7,14 @@ folder, so that jobs can be run one after another by any scheduler.
 from __future__ import annotations
 
 import hashlib
+import time
 
 from pyspark.ml.clustering import LocalLDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions import keys as K
 from strata.functions import text as X
 from strata.functions import vectors as V
 from strata.operators import clean, coherence, drift, evaluate, models, phrases, retrieval, stats, topics
@@ -43,6 +45,15 @@ def token_statistics(spark: SparkSession, roots: list[str], out: str, analyzer:
     sinks.write_summary(stats.length_sets(counts), f"{out}/summary_sets")
 
 
+def diagnostics(spark: SparkSession, roots: list[str], out: str) -> None:
+    """Lengths, uniqueness and English density per slice and over all slices: texts are read once."""
+    _save(stats.thin_rows(documents(spark, roots), ["date"]), f"{out}/thin")
+    thin = spark.read.schema("date string, chars bigint, text_hash string, density double").parquet(f"{out}/thin")
+    sinks.write_summary(stats.diagnostics(thin, ["date"]), f"{out}/by_date")
+    pooled = thin.withColumn("date", F.lit(clean.POOLED))
+    sinks.write_summary(stats.diagnostics(pooled, ["date"]), f"{out}/pooled")
+
+
 def embeddings(
     spark: SparkSession, roots: list[str], out: str, make_predict: models.MakePredict, shards: int = 8, **options
 ) -> None:
@@ -242,6 +253,46 @@ def bm25(
         evaluation(spark, stored.withColumnRenamed("arm", "experiment"), clean.union_all(judged, True), out)
 
 
+def rerank(
+    spark: SparkSession,
+    roots: list[str],
+    run_path: str,
+    out: str,
+    make_predict: models.MakePredict,
+    seeds: tuple[int, ...] = (42,),
+    n_queries: int = 0,
+    batch_size: int = 64,
+) -> None:
+    """Score the candidates of drawn queries with an injected model; runs, scores, throughput, seeds.
+
+    ``n_queries`` of 0 takes every query.  A seed whose run is stored is not scored again.
+    """
+    collections = [ParquetCollection(spark, r) for r in roots]
+    docs = clean.keep_longest(documents(spark, roots).select(*DOC, "contents"), DOC)
+    queries = clean.with_query(clean.union_all([c.queries for c in collections], True)).select("date", "qid", "query")
+    judged = clean.union_all([c.qrels for c in collections if c.qrels is not None], True)
+    judged = judged.select(F.col("date").cast("string").alias("date"), "qid", "docid", "rel")
+    run = spark.read.parquet(run_path).withColumn("date", F.col("date").cast("string"))
+    tables = []
+    for seed in seeds:
+        path = f"{out}/seed{seed}"
+        drawn = clean.draw_queries(run.select(*DOC, "qid", "score"), n_queries, seed)
+        if not readers.exists(spark, f"{path}/seconds/_SUCCESS"):
+            began = time.monotonic()
+            _save(models.rerank(retrieval.candidates(drawn, docs, queries), make_predict, batch_size).drop("contents", "query"), f"{path}/run")
+            _save(spark.createDataFrame([(time.monotonic() - began,)], "seconds double"), f"{path}/seconds")
+        seconds = spark.read.parquet(f"{path}/seconds").first()["seconds"]
+        for arm, rows, took in (("bm25", drawn, None), ("rerank", spark.read.parquet(f"{path}/run"), seconds)):
+            scores = evaluate.evaluate(rows, judged, ["date", "qid"], ["date", "qid", "docid"])
+            table = evaluate.run_summary(scores, rows, ["date"], took)
+            tables.append(table.withColumn("arm", F.lit(arm)).withColumn("seed", F.lit(seed)))
+    _save(clean.union_all(tables, True).withColumn("split", K.split_of(F.col("date"))), f"{out}/results")
+    results = spark.read.parquet(f"{out}/results")
+    sinks.write_summary(results, f"{out}/summary")
+    sinks.write_summary(stats.seed_cells(results), f"{out}/by_seed")
+    sinks.write_summary(stats.throughput(results), f"{out}/throughput")
+
+
 def evaluation(spark: SparkSession, run: DataFrame, qrels: DataFrame, out: str) -> None:
     """Scores of every (experiment, date, query) and their means, in one job."""
     run = run.withColumn("date", F.col("date").cast("string"))

@@ -58,11 +58,7 @@ def test_topic_jobs(spark, roots, tmp_path):
     assert spark.read.parquet(str(tmp_path / "again/drift")).count() == 2
     call(spark, "lda-conv-probe", prepared, tmp_path / "probe", "--k", 2, "--iterations", "1,2", "--offsets", "16")
     assert spark.read.csv(str(tmp_path / "probe"), header=True).count() == 2
-    from strata.plans import jobs
-    from strata.sources.collections import ParquetCollection
-
-    queries = ParquetCollection(spark, str(roots / "train")).queries
-    jobs.query_topics(spark, str(prepared), str(trained), queries, 2, str(tmp_path))
+    call(spark, "lda-query-topics", prepared, trained, roots / "train", tmp_path, "--k", 2)
     assert spark.read.parquet(str(tmp_path / "query_topics_k2")).count() == 2
 
 
@@ -120,7 +116,21 @@ def test_retrieval_job(spark, roots, tmp_path):
     assert spark.read.csv(str(tmp_path / "ev/summary"), header=True).count() == 1
 
 
+def test_rerank_job(spark, roots, tmp_path):
+    call(spark, "bm25", roots / "train", tmp_path / "ix", "--k", 5)
+    run = tmp_path / "ix/retrieval/arm=original"
+    call(spark, "rerank", roots / "train", run, tmp_path / "rr", "--seeds", "1,2", "--queries", 1)
+    results = spark.read.parquet(str(tmp_path / "rr/results"))
+    assert {(r["arm"], r["seed"]) for r in results.collect()} == {(a, s) for a in ("bm25", "rerank") for s in (1, 2)}
+    assert results.where("arm = 'rerank' and pairs_per_s > 0").count() == results.where("arm = 'rerank'").count() > 0
+    assert spark.read.csv(str(tmp_path / "rr/throughput"), header=True).count() == 1
+    assert spark.read.csv(str(tmp_path / "rr/by_seed"), header=True).where("n_seeds = 2").count() > 0
+
+
 def test_corpus_jobs(spark, roots, tmp_path):
+    call(spark, "diagnostics", f"{roots}/train,{roots}/test", tmp_path / "d")
+    pooled = spark.read.csv(str(tmp_path / "d/pooled"), header=True).first()
+    assert pooled["n_docs"] == "75" and spark.read.csv(str(tmp_path / "d/by_date"), header=True).count() == 3
     call(spark, "tokens", f"{roots}/train,{roots}/test", tmp_path / "t")
     assert spark.read.csv(str(tmp_path / "t/summary"), header=True).count() == 2
     call(spark, "embedding", roots / "train", tmp_path / "e", "--shards", 3, "--dims", 8)
