@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators import clean, evaluate, retrieval, stats
+from strata.operators import clean, evaluate, stats
 from strata.plans import retrieval_queries as R
 from strata.plans import tables as T
 from strata.plans.registry import query
@@ -83,6 +83,25 @@ def ndcg_strict(spark, sf):
     return scores(spark, sf, "judged")
 
 
+# Lists cut at ten: judged documents lie below the cut.
+CUT = "cut AS (SELECT * FROM run WHERE rank < 10)"
+
+
+def cut_scores(spark, sf, ideal: str) -> DataFrame:
+    run = T.run(spark, sf).where(F.col("rank") < 10)
+    return evaluate.evaluate(run, T.stored_qrels(spark, sf), KEYS, ON, ideal)
+
+
+@query("ndcg_of_cut_lists", "E1", f"WITH {JUDGED}, {CUT}, {metric_sql('cut', 'scores', 'date, qid')} SELECT * FROM scores")
+def ndcg_of_cut_lists(spark, sf):
+    return cut_scores(spark, sf, "retrieved")
+
+
+@query("strict_ndcg_of_cut_lists", "E2", f"WITH {JUDGED}, {CUT}, {metric_sql('cut', 'strict', 'date, qid', 'judged')} SELECT * FROM strict")
+def strict_ndcg_of_cut_lists(spark, sf):
+    return cut_scores(spark, sf, "judged")
+
+
 @query("retrieval_quality", "R2 E1 A6", f"WITH {SCORES} {summary_sql('scores', 'date')}")
 def retrieval_quality(spark, sf):
     """Flagship: search, judge and evaluate, summarised per slice."""
