@@ -344,3 +344,21 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     once = rows.where("not coalesce(__repeated, false)").select(*docs.columns)
     again = rows.where("__repeated").dropDuplicates(["__id"]).select(*docs.columns)
     return once.unionByName(again)
+
+
+def near_sql(table: str = "documents") -> str:
+    """The rows of the query in DuckDB SQL, by counting the shingles that any two documents share."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE told AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM {table}),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM told),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+held AS (SELECT doc_id, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM held a JOIN held b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * shared >= {PERCENT} * (p.n + q.n - shared)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM sizes UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON w.a = r.other)
+SELECT s.doc_id, any_value(s.n) AS n_shingles, min(other) AS component_id, min(other) = s.doc_id AS kept
+FROM sizes s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id"""

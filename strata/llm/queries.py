@@ -28,7 +28,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_minhash")
+@query("op1_minhash", minhash.near_sql())
 def op1_minhash(spark, sf_dir):
     """Components of texts that share three quarters of their word shingles."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -59,7 +59,7 @@ def op5_html(spark, sf_dir):
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
-@query("op6_sharding")
+@query("op6_sharding", sharding.shards_sql())
 def op6_sharding(spark, sf_dir):
     """24 contiguous shards of near equal bytes."""
     return sharding.shards(_table(spark, sf_dir, "documents"))

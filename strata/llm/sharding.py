@@ -70,3 +70,22 @@ def shards(docs: DataFrame, n_shards: int = 24, partitions: int | None = None) -
         (F.col("place") - F.col("first")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def shards_sql(table: str = "documents", n_shards: int = 24) -> str:
+    """The rows of the query in DuckDB SQL; the checksum is computed bit by bit."""
+    step = "CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+    return f"""
+WITH told AS (SELECT doc_id, coalesce(text, '') AS text FROM {table}),
+codes AS (SELECT doc_id, octet_length(encode(text)) AS n, flatten(list_transform(string_split(text, ''), lambda s: CASE
+    WHEN unicode(s) < 0 THEN []
+    WHEN unicode(s) < 128 THEN [unicode(s)]
+    WHEN unicode(s) < 2048 THEN [192 + (unicode(s) >> 6), 128 + (unicode(s) & 63)]
+    WHEN unicode(s) < 65536 THEN [224 + (unicode(s) >> 12), 128 + ((unicode(s) >> 6) & 63), 128 + (unicode(s) & 63)]
+    ELSE [240 + (unicode(s) >> 18), 128 + ((unicode(s) >> 12) & 63), 128 + ((unicode(s) >> 6) & 63), 128 + (unicode(s) & 63)] END)) AS b FROM told),
+sized AS (SELECT doc_id, n + {OVERHEAD} AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(b, lambda x: x::BIGINT)),
+    lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, w: {step})), 4294967295::BIGINT) AS text_crc32 FROM codes),
+placed AS (SELECT *, sum(size) OVER w AS upto, row_number() OVER w - 1 AS place, sum(size) OVER () AS total FROM sized
+    WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)),
+cut AS (SELECT *, (((2 * upto - size) * {n_shards}) // (2 * total))::INTEGER AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, NULL::INTEGER AS grown_shard FROM cut"""
