@@ -383,7 +383,10 @@ def fuse(df: DataFrame, keys: list[str], weights: list[float], a: str = "bm25",
 
 
 def submission(run: DataFrame, keys: list[str], tag: str) -> DataFrame:
-    """Run-file rows: rank from 1 by score, ties by docid."""
+    """Run-file rows: rank from 1 by score, ties by docid.
+
+    The column names and the constant Q0 are fixed values of the run file format.
+    """
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "docid")
     return run.select(
         *keys,

@@ -1,4 +1,8 @@
-"""Coherence, proportions and drift on hand-computed inputs."""
+"""Coherence, proportions and drift on hand-computed inputs.
+
+Inputs and results marked as golden are fixed values that any implementation
+must reproduce; the tests against plain Python counts have inputs of their own.
+"""
 
 import math
 
@@ -142,3 +146,23 @@ def test_vector_functions(spark):
     assert row["hell"] == pytest.approx(want)
     assert row["n"] == [0.75, 0.25] and row["nz"] == [0.0, 0.0]
     assert row["first"] == 0 and row["none"] is None
+
+
+def test_coherence_equals_a_count_in_plain_python(spark):
+    import itertools
+    import random
+
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(12)]
+    bags = [rng.choices(vocabulary, k=rng.randrange(1, 9)) for _ in range(80)]
+    topics = [rng.sample(vocabulary, 4) for _ in range(3)]
+    sets, n = [set(b) for b in bags], len(bags)
+
+    def npmi(a, b):
+        both = sum(a in s and b in s for s in sets) / n + coherence.EPSILON
+        pa, pb = (sum(w in s for s in sets) / n for w in (a, b))
+        return math.log(both / (pa * pb)) / -math.log(both)
+
+    want = {t: sum(npmi(a, b) for a, b in itertools.combinations(ws, 2)) / 6 for t, ws in enumerate(topics)}
+    got = coherence.topic_npmi(docs(spark, bags), words(spark, topics), ["k"], n=4).collect()
+    assert {r["topic"]: round(r["npmi"], 9) for r in got} == {t: round(v, 9) for t, v in want.items()}
