@@ -17,6 +17,7 @@ that the field was not trained on.
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from strata.llm.labelled import held_out, sample
 
 BUCKETS = 1 << 18
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 6000
 EPOCHS = 24
 RATE = 0.5
 ROUNDS = 2
@@ -141,15 +142,21 @@ class _Corpus:
 
     def __init__(self, rows: list[tuple[int, str, int]]):
         self.labels = np.array([label for _, _, label in rows], np.int64)
-        words = [text.split() for _, text, _ in rows]
-        self.lengths = np.fromiter(map(len, words), np.int64, len(words))
         place: dict[str, int] = {}
-        self.tokens = np.fromiter((place.setdefault(w, len(place)) for d in words for w in d), np.int64, int(self.lengths.sum()))
-        lists = [[_bucket(f) for f in token_features(w)] for w in place]
-        self.counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.buckets = np.fromiter((b for row in lists for b in row), np.int64, int(self.counts.sum()))
-        self.owner = np.repeat(np.arange(len(lists)), self.counts)
-        self.document = np.repeat(np.arange(len(words)), self.lengths)
+        found = []  # one document after another, so that only one is split at a time
+        for _, text, _ in rows:
+            found.append(np.array([place.setdefault(w, len(place)) for w in text.split()], np.int32))
+        self.lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.tokens = np.concatenate(found) if found else np.empty(0, np.int32)
+        buckets, counts = array("i"), array("i")
+        for word in place:
+            own = [_bucket(f) for f in token_features(word)]
+            buckets.extend(own)
+            counts.append(len(own))
+        self.buckets = np.frombuffer(buckets, np.int32) if buckets else np.empty(0, np.int32)
+        self.counts = np.frombuffer(counts, np.int32) if counts else np.empty(0, np.int32)
+        self.owner = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
+        self.document = np.repeat(np.arange(len(found), dtype=np.int32), self.lengths)
 
     def emissions(self, field: Field) -> np.ndarray:
         per_word = np.bincount(self.owner, weights=field.weights[self.buckets], minlength=len(self.counts))
@@ -157,15 +164,16 @@ class _Corpus:
 
     def leaning(self) -> np.ndarray:
         """For every distinct token the strongest lean of its features to toxic documents, in log odds."""
-        pairs = np.unique(np.stack([self.document, self.tokens]), axis=1)
-        counts = self.counts[pairs[1]]
         first = np.cumsum(self.counts) - self.counts
-        at = np.repeat(first[pairs[1]], counts) + (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
-        seen = np.unique(np.stack([np.repeat(pairs[0], counts), self.buckets[at]]), axis=1)
-        toxic = self.labels[seen[0]] == 1
+        seen = np.zeros((2, BUCKETS), np.int64)  # clean and toxic documents that hold a feature
+        for label, own in zip(self.labels, np.split(self.tokens, np.cumsum(self.lengths)[:-1])):
+            words = np.unique(own)
+            if len(words):
+                n = self.counts[words]
+                at = np.repeat(first[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                seen[label][np.unique(self.buckets[at])] += 1
+        in_clean, in_toxic = seen
         n_toxic, n_clean = max(int((self.labels == 1).sum()), 1), max(int((self.labels == 0).sum()), 1)
-        in_toxic = np.bincount(seen[1][toxic], minlength=BUCKETS)
-        in_clean = np.bincount(seen[1][~toxic], minlength=BUCKETS)
         lean = np.log((in_toxic + 0.1) / n_toxic) - np.log((in_clean + 0.5) / n_clean)
         lean[in_toxic < 3] = -np.inf
         best = np.full(len(self.counts), -np.inf)
