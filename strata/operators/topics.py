@@ -49,7 +49,8 @@ def fit_vocabulary(
 def vectorise(docs: DataFrame, vocabulary: CountVectorizerModel) -> DataFrame:
     """Add ``features`` and ``vocab_hits``, the number of known tokens."""
     out = vocabulary.transform(docs)
-    return out.withColumn("vocab_hits", V.total(vector_to_array("features")))
+    # The model makes sparse vectors: only their non-zero cells are summed.
+    return out.withColumn("vocab_hits", V.total(F.unwrap_udt("features")["values"]))
 
 
 def vocabulary_table(vocabulary: CountVectorizerModel, spark) -> DataFrame:
@@ -213,11 +214,11 @@ def fit_tfidf(docs: DataFrame, tokens: str, size: int = 20_000, min_df: float =
 
 def sparse_rows(df: DataFrame, keys: list[str], column: str = "features") -> DataFrame:
     """Indices and L2-normalised values of the non-zero cells of a vector column."""
-    dense = vector_to_array(column)
-    cells = F.filter(
-        F.transform(dense, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda c: c["x"] != 0
-    )
-    held = df.select(*keys, F.transform(cells, lambda c: c["i"]).alias("idx"), F.transform(cells, lambda c: c["x"]).alias("val"))
+    vector = F.unwrap_udt(column)
+    # Sparse vectors list their cells; dense ones are numbered first.
+    places = F.coalesce(vector["indices"], F.transform(vector["values"], lambda _, i: i))
+    cells = F.filter(F.arrays_zip(places.alias("i"), vector["values"].alias("x")), lambda c: c["x"] != 0)
+    held = df.select(*keys, cells.alias("c")).select(*keys, F.col("c.i").alias("idx"), F.col("c.x").alias("val"))
     sized = held.withColumn("size", F.greatest(V.norm(F.col("val")), F.lit(1e-12)))
     return sized.select(*keys, "idx", F.transform("val", lambda x: x / F.col("size")).alias("val"))
 

@@ -146,3 +146,11 @@ def test_rerank_scores_every_pair(spark):
     pairs = spark.createDataFrame([("q", "d1", "red car", "a red car"), ("q", "d2", "red car", "a car")], "qid string, docid string, query string, contents string")
     got = {r["docid"]: r["score"] for r in models.rerank(pairs, models.overlap_scorer()).collect()}
     assert got == {"d1": 1.0, "d2": 0.5}
+
+
+def test_sparse_rows_of_sparse_and_dense_vectors(spark):
+    from pyspark.ml.linalg import Vectors
+
+    data = [(1, Vectors.sparse(6, [1, 4], [3.0, 4.0])), (2, Vectors.dense([0.0, 0.0, 5.0, 0.0, 12.0, 0.0])), (3, Vectors.sparse(6, [], []))]
+    got = {r["id"]: (r["idx"], r["val"]) for r in topics.sparse_rows(spark.createDataFrame(data, ["id", "features"]), ["id"]).collect()}
+    assert got == {1: ([1, 4], [0.6, 0.8]), 2: ([2, 4], [5 / 13, 12 / 13]), 3: ([], [])}
