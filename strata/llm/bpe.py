@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.worker import held
+
 # Chunks whose ids a worker keeps; the oldest knowledge is dropped as a whole.
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 250_000
 # Characters of unseen chunks that are passed to the library at once.
 BATCH_CHARS = 1_000_000
 
@@ -140,16 +142,9 @@ class Codec:
         return character[ends - lengths], character[ends - 1] + 1
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def codec(stored: str) -> Codec:
     """The worker's codec for a stored tokenizer."""
-    key = hash(stored)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(stored)
-    return _CODECS[key]
+    return held("bpe", stored, lambda: Codec(stored))
 
 
 def _texts(column: pa.Array) -> Iterator[str]:
@@ -189,30 +184,42 @@ def round_trips(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     )
 
 
-def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> DataFrame:
-    """Add ``token_ids`` (and ``token_starts``, ``token_ends`` in code points) to ``docs``.
+def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False, checked: bool = False) -> DataFrame:
+    """Add ``token_ids`` to ``docs``, and on request more.
 
-    Columns of these names are replaced.  Null texts get no tokens.
+    ``offsets`` adds ``token_starts`` and ``token_ends`` in code points, ``checked``
+    adds ``round_trip``: whether the ids decode to the text.  Columns of these
+    names are replaced.  Null texts are empty and get no tokens.
     """
     stored = _stored(docs, path, pattern)
-    added = ["token_ids", *(["token_starts", "token_ends"] if offsets else [])]
+    kinds = {"token_ids": "array<int>"}
+    if offsets:
+        kinds |= {"token_starts": "array<int>", "token_ends": "array<int>"}
+    if checked:
+        kinds |= {"round_trip": "boolean"}
+    added = list(kinds)
     docs = docs.drop(*added)
     names = docs.columns
 
     def encoded(batches):
         own = codec(stored.value)
         for batch in batches:
-            ids, starts, ends = [], [], []
-            for packed in own.encode(_texts(batch.column("text"))):
+            ids, starts, ends, same = [], [], [], []
+            column = batch.column("text")
+            for text, packed in zip(_texts(column), own.encode(_texts(column))):
+                if checked:
+                    same.append(own.decode_bytes(packed) == text.encode("utf-8"))
                 ids.append(np.frombuffer(packed, dtype="<u4").astype(np.int32))
                 if offsets:
                     first, last = own.offsets(packed)
                     starts.append(first.astype(np.int32))
                     ends.append(last.astype(np.int32))
             lists = [pa.array(x, pa.list_(pa.int32())) for x in ([ids, starts, ends] if offsets else [ids])]
+            if checked:
+                lists.append(pa.array(same, pa.bool_()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists], [*names, *added])
 
-    schema = docs.select("*", *[F.lit(None).cast("array<int>").alias(c) for c in added]).schema
+    schema = docs.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()]).schema
     return docs.mapInArrow(encoded, schema)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.labelled import SAMPLE_ROWS, held_out, sample
+from strata.llm.worker import held
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
@@ -25,7 +26,7 @@ EPOCHS = 6
 RATE = 0.4
 KEEP_SCORE = 0.3
 
-CACHED_WORDS = 200_000
+CACHED_WORDS = 150_000
 BATCH_WORDS = 200_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -174,28 +175,18 @@ class Scorer:
         return self.model.score(means)
 
     def scores(self, texts) -> np.ndarray:
-        found, held, n = [np.empty(0)], [], 0
+        found, waiting, n = [np.empty(0)], [], 0
         for text in texts:
-            held.append(text.split())
-            n += len(held[-1])
+            waiting.append(text.split())
+            n += len(waiting[-1])
             if n >= BATCH_WORDS:
-                found.append(self._score(held))
-                held, n = [], 0
-        if held:
-            found.append(self._score(held))
+                found.append(self._score(waiting))
+                waiting, n = [], 0
+        if waiting:
+            found.append(self._score(waiting))
         return np.concatenate(found)
 
 
-_SCORERS: list[Scorer] = []
-
-
-def scorer(model: Model) -> Scorer:
-    """The worker's scorer for a model."""
-    if not _SCORERS or _SCORERS[0].model is not model:
-        _SCORERS[:] = [Scorer(model)]
-    return _SCORERS[0]
-
-
 def with_scores(docs: DataFrame, model: Model, into: str = "quality_score") -> DataFrame:
     """Add the probability of label 1 to every row; a null text is scored as an empty one.
 
@@ -206,7 +197,8 @@ def with_scores(docs: DataFrame, model: Model, into: str = "quality_score") -> D
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
-        own = scorer(shared.value)
+        model = shared.value
+        own = held("quality", model, lambda: Scorer(model))
         for batch in batches:
             values = own.scores(v.as_py() or "" for v in batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*names, into])

@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from strata.llm.worker import held
+
 WORDS = 5
 # Words whose hash a worker keeps; all are forgotten when there are more.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 # A to Z in lower case; the white space of the data contract is what bytes.split() splits at.
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -23,7 +25,6 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -42,7 +43,7 @@ def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
     found = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
     if not found:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+    hashes = np.fromiter(map(held("words", None, _WordHashes).__getitem__, found), np.uint64, len(found))
     size = min(words, len(hashes))
     n = len(hashes) - size + 1
     total = np.full(n, size, np.uint64) * _ODD

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.labelled import held_out, sample
+from strata.llm.worker import held
 
 BUCKETS = 1 << 18
 SAMPLE_ROWS = 6000
@@ -35,7 +36,7 @@ RATE = 0.5
 ROUNDS = 2
 TOLERANCE = 1e-7
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 BATCH_TOKENS = 200_000
 
 
@@ -300,14 +301,14 @@ class Tagger:
 
     def tag(self, texts):
         """The marginals of every text's tokens."""
-        held, n = [], 0
+        waiting, n = [], 0
         for text in texts:
-            held.append(text.split())
-            n += len(held[-1])
+            waiting.append(text.split())
+            n += len(waiting[-1])
             if n >= BATCH_TOKENS:
-                yield from self._marginals(held)
-                held, n = [], 0
-        yield from self._marginals(held)
+                yield from self._marginals(waiting)
+                waiting, n = [], 0
+        yield from self._marginals(waiting)
 
     def summaries(self, texts) -> np.ndarray:
         found = [summary(own) for own in self.tag(texts)]
@@ -333,16 +334,6 @@ def spans(text: str, own: np.ndarray, least: float = 0.5) -> list[dict]:
     return found
 
 
-_TAGGERS: list[Tagger] = []
-
-
-def tagger_of(model: Model) -> Tagger:
-    """The worker's tagger for a model."""
-    if not _TAGGERS or _TAGGERS[0].model is not model:
-        _TAGGERS[:] = [Tagger(model)]
-    return _TAGGERS[0]
-
-
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
 _SPANS_DDL = "array<struct<start:int,end:int,marginal:double>>"
 
@@ -358,7 +349,8 @@ def tagged(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
-        tagger = tagger_of(shared.value)
+        model = shared.value
+        tagger = held("toxicity", model, lambda: Tagger(model))
         for batch in batches:
             column = batch.column("text")
             summaries, found = [], []
