@@ -172,11 +172,13 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
 
 
 def _open_members(crowd: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (``key``, ``rep``, ``root``) of the buckets whose members lie in several components."""
+    """Rows (``key``, ``rep``, ``root``, ``n``) of the buckets whose ``n`` members lie in several components."""
     placed = crowd.select("key", "rep").join(roots, F.col("rep") == F.col("vertex"), "left")
     placed = placed.select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    spread = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    return written(placed.join(spread.select("key"), "key", "left_semi"), "minhash-open")
+    placed = written(placed, "minhash-placed")
+    spread = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+    spread = spread.where("low < high").select("key", "n")
+    return written(placed.join(spread, "key").select("key", "rep", "root", "n"), "minhash-open")
 
 
 def _across(crowd: DataFrame, sets: DataFrame, coordinates: int, percent: int) -> DataFrame:
@@ -305,11 +307,9 @@ def near_duplicates(
     star = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     roots = components(confirmed(star))
     crowd = _open_members(members.where("size > 2"), roots)
-    counts = written(crowd.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "minhash-open-sizes")
-    few = crowd.join(counts.where(F.col("n") <= DIRECT_MEMBERS).select("key"), "key", "left_semi")
+    few = crowd.where(F.col("n") <= DIRECT_MEMBERS).drop("n")
     roots = extended(roots, written(verified(_across(few, sets, coordinates, percent), docs, percent), "minhash-links"))
-    many = crowd.join(counts.where(F.col("n") > DIRECT_MEMBERS).select("key"), "key", "left_semi")
-    many = _open_members(many, roots)
+    many = _open_members(crowd.where(F.col("n") > DIRECT_MEMBERS), roots).drop("n")
     if many.limit(1).count():
         roots = extended(roots, written(_linked_in_blocks(many, sets, docs, coordinates, percent), "minhash-links"))
 
