@@ -41,19 +41,25 @@ AWAY_ROLES = frozenset(
     "navigation banner complementary contentinfo search form alert alertdialog dialog menu menubar toolbar".split()
 )
 AWAY_NAMES = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|adsbygoogle|ad(?:box|slot|unit|space|banner|container|wrap\w*)|sponsor\w*|promo\w*|"
-    r"nav\w*|topnav|subnav|sidenav|menu\w*|submenu|breadcrumbs?|skip|toc|side|sidebar\w*|rail|widgets?|"
-    r"footer\w*|foot|copyright|legal|colophon|cookies?|consent|gdpr|notice\w*|alert|warning|announcement|popup|modal|"
-    r"overlay|toast|paywall|banner|newsletter|subscri\w*|sign(?:up|in)|login|register|search\w*|form|share|sharing|"
-    r"social\w*|follow|related|recommend\w*|trending|popular|more|tags|taglist|pagination|pager|pages|toolbar|hidden)(?![a-z])"
+    r"(?<![a-z])(?:ads?|adverts?|advertise(?:ments?)?|advertising|advertorial|adsbygoogle|"
+    r"ad(?:box|slot|unit|space|banner|container|wrap|wrapper)|sponsor(?:s|ed)?|promo(?:s|box|tions?)?|"
+    r"nav|navs|navi|navbar|navbox|navmenu|navlinks|navigation|topnav|subnav|sidenav|menus?|menubar|submenu|breadcrumbs?|"
+    r"skip|toc|side|sidebars?|rail|widgets?|footers?|foot|copyright|legal|colophon|cookies?|cookie(?:bar|banner|notice|consent)|"
+    r"consent|gdpr|notices?|alert|warning|announcement|popup|modal|overlay|toast|paywall|banner|newsletter|"
+    r"subscribe|subscribers?|subscriptions?|sign(?:up|in)|login|register|search|search(?:bar|box|form)|form|share|sharing|"
+    r"socials?|socialmedia|follow|related|recommend(?:ed|ations?)?|trending|popular|more|tags|taglist|pagination|pager|pages|"
+    r"toolbar|hidden)(?![a-z])"
 )
 COMMENT_NAMES = re.compile(
-    r"(?<![a-z])(?:comment\w*|usercomments?|disqus\w*|discussion|replies|reply|respond|responses?|reactions?|guestbook)(?![a-z])"
+    r"(?<![a-z])(?:comments?|comment(?:er|ers|ing|list|form|box|area|body|text|section)|usercomments?|disqus(?:thread)?|discussion|"
+    r"replies|reply|respond|responses?|reactions?|guestbook)(?![a-z])"
 )
 HEADER_NAMES = re.compile(r"(?<![a-z])(?:header|masthead|topbar|siteheader|hero|logo|branding)(?![a-z])")
 CONTENT_NAMES = re.compile(
     r"(?<![a-z])(?:article\w*|content|post|entry|story|main|maintext|text|body|articlebody|blogpost|prose)(?![a-z])"
 )
+# What a name says after these words is said of the layout, not of the element.
+LAYOUT_NAMES = re.compile(r"(?<![a-z])(?:has|have|no|non|not|with|without|show|hide|overflow)(?![a-z]).*")
 AWAY_WORDS = re.compile(r"©|\bcopyright\b|\ball rights reserved\b|\bcookies?\b|\bprivacy policy\b|\bsubscribe\b|\blog ?in\b|\bsign up\b", re.I)
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<!--|<[!?/]|<(?=[a-zA-Z])""")
@@ -63,16 +69,34 @@ _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 BIAS = -0.4
 INSIDE = {"content": 3.0, "maybe": 1.5, "none": 0.0, "header": -1.5, "away": -6.0, "comments": -9.0}
 LENGTH, SENTENCE, HEADING, LINKS, WORDING, HEADER_HEADING = 2.6, 0.5, 0.4, -3.5, -1.5, 2.0
+# A box with a boilerplate name, one that has a content name too, and what words beyond 20 (up to 100) say in a box.
+NAMED, MIXED, LONG = -5.0, -3.0, 3.0
+# A box with a share of the page's words above these bounds is more and more, then wholly, taken for a wrapper of
+# the page, whose names say nothing.  Words of marked content outside boxes count as several, those of other boxes as half.
+WRAPPER, MARKED = (0.4, 0.6), 10
 # Capacities of edges between blocks of one parent, of near and of far elements, and within a container.
 SAME, NEAR, DISTANT, CONTAINER = 0.6, 0.3, 0.1, 0.2
 
 
+@dataclass
+class Box:
+    """An element whose names tell of boilerplate, with all below it but articles."""
+
+    cost: float
+    outside: str  # the place around the box
+    above: Box | None
+    words: float = 0.0
+    trust: float = 0.0  # how far the box is taken for a wrapper of the page
+    around: float = 0.0  # what the place around the box says
+
+
 @dataclass
 class Element:
     tag: str
     depth: int
-    place: str  # what the element's ancestors and names say: a key of INSIDE
+    place: str  # what the element's ancestors and names say within its box: a key of INSIDE
     parent: Element | None
+    box: Box | None = None
 
 
 @dataclass
@@ -83,41 +107,49 @@ class Block:
     text: str = ""
 
 
-def _place(tag: str, attributes: str, parent: Element | None) -> str:
-    above = parent.place if parent else "none"
+def _place(tag: str, attributes: str, parent: Element | None) -> tuple[str, Box | None]:
+    above, box = (parent.place, parent.box) if parent else ("none", None)
     if above in ("comments",) or tag in ("html", "body"):
-        return above
-    names = role = ""
+        return above, box
+    names: list[str] = []
+    role = ""
     if attributes:
         values = {}
         for name, double, single, plain, hidden in _ATTRIBUTE.findall(attributes):
             values[(name or hidden).lower()] = (double or single or plain or "").lower()
-        names = f"{values.get('class', '')} {values.get('id', '')} {values.get('itemprop', '')}"
-        names = names.replace("_", " ").replace("-", " ")
+        words = f"{values.get('class', '')} {values.get('id', '')} {values.get('itemprop', '')}".split()
+        names = [LAYOUT_NAMES.sub("", word.replace("_", " ").replace("-", " ")) for word in words]
         role = values.get("role", "")
         if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", ""):
-            return "away"
-    if COMMENT_NAMES.search(names):
-        return "comments"
-    if tag in ("article", "main") or role in ("main", "article"):
+            return "away", box
+    named = any(AWAY_NAMES.search(name) for name in names)
+    told = [name for name in names if not AWAY_NAMES.search(name) and not COMMENT_NAMES.search(name)]
+    content = any(CONTENT_NAMES.search(name) for name in told)
+    article = tag in ("article", "main") or role in ("main", "article")
+    if any(COMMENT_NAMES.search(name) for name in names) and not (article and (content or tag == "main" or role == "main")):
+        return "comments", box
+    if article:
         # An article in a box that only a name calls boilerplate is still an article.
         sticky = parent
         while sticky is not None:
             if sticky.tag in AWAY_TAGS:
-                return above
+                return above, box
             sticky = sticky.parent
-        return "away" if AWAY_NAMES.search(names) else "content"
+        return "maybe" if named and not content and tag != "main" and role != "main" else "content", None
     if tag in AWAY_TAGS or role in AWAY_ROLES:
-        return "away"
+        return "away", box
     if above == "away":
-        return above
-    if AWAY_NAMES.search(names):
-        return "away"
-    if tag == "header" or HEADER_NAMES.search(names):
-        return "header"
-    if above in ("none", "maybe") and CONTENT_NAMES.search(names):
-        return "maybe"
-    return above
+        return above, box
+    if named:
+        # "text" beside a boilerplate name is mostly a matter of looks, as in text-center.
+        content = content and any(found != "text" for name in told for found in CONTENT_NAMES.findall(name))
+        box = Box(MIXED if content else NAMED, above, box)
+        above = "none"
+    if tag == "header" or any(HEADER_NAMES.search(name) for name in names):
+        return "header", box
+    if above in ("none", "maybe") and content:
+        return "maybe", box
+    return above, box
 
 
 def blocks(page: str) -> list[Block]:
@@ -125,6 +157,7 @@ def blocks(page: str) -> list[Block]:
     done: list[Block] = []
     stack: list[Element] = []
     current: Block | None = None
+    boxes: list[Box] = []
     links = 0
     head = 0
 
@@ -202,13 +235,50 @@ def blocks(page: str) -> list[Block]:
         if tag in ENDS:
             _imply(stack, close, set(ENDS[tag]))
         parent = stack[-1] if stack else None
-        stack.append(Element(tag, len(stack), _place(tag, attributes, parent), parent))
+        place, box = _place(tag, attributes, parent)
+        if box is not None and (parent is None or box is not parent.box):
+            boxes.append(box)
+        stack.append(Element(tag, len(stack), place, parent, box))
         links += tag == "a"
         head += tag == "head"
     finish()
+    _weigh(done, boxes)
     return done
 
 
+def _weigh(found: list[Block], boxes: list[Box]) -> None:
+    """Tell boxes from wrappers of the page by their share of its words; outer boxes come first in ``boxes``."""
+    free = boxed = 0.0
+    for block in found:
+        element = block.element
+        if element.place in ("away", "comments"):
+            continue
+        words = (block.text.count(" ") + 1) * (1.0 - min(1.0, block.linked / len(block.text)))
+        if element.box is None:
+            free += words * (MARKED if element.place in ("content", "maybe") else 1)
+        else:
+            boxed += words
+            element.box.words += words
+    for box in reversed(boxes):
+        if box.above is not None:
+            box.above.words += box.words
+    least, most = WRAPPER
+    for box in boxes:
+        others = free + (boxed - box.words) / 2
+        share = box.words / (box.words + others) if box.words else 0.0
+        box.trust = min(1.0, max(0.0, (share - least) / (most - least)))
+        box.around = _inside(box.outside, box.above)
+
+
+def _inside(place: str, box: Box | None) -> float:
+    """What a place within a box says."""
+    inner = INSIDE[place]
+    if box is None or place in ("away", "comments"):
+        return inner
+    free = box.around if place == "none" else min(box.around, inner) if inner < 0 else max(box.around, inner)
+    return box.trust * free + (1.0 - box.trust) * (min(box.around, box.cost) + inner)
+
+
 _RAW_ENDS: dict[str, re.Pattern] = {}
 
 
@@ -232,8 +302,10 @@ def log_odds(block: Block) -> float:
     """The classifier: log odds that a block is content."""
     words = block.text.count(" ") + 1
     element = block.element
-    total = BIAS + INSIDE[element.place]
+    total = BIAS + _inside(element.place, element.box)
     total += LENGTH * min(words, 20) / 20
+    if element.box is not None and element.place not in ("away", "comments"):
+        total += LONG * (1.0 - element.box.trust) * min(max(words - 20, 0), 80) / 80
     total += SENTENCE * block.text.endswith((".", "!", "?", ":", "”", '"'))
     total += LINKS * min(1.0, block.linked / len(block.text))
     heading = element.tag in ("h1", "h2", "h3", "h4", "h5", "h6")

@@ -79,3 +79,24 @@ def test_odd_rows(spark):
     got = h.extract(pages).collect()
     assert sorted((str(r.page_id), r.n_chars) for r in got) == [("1", 0), ("2", 0), ("2", 0), ("None", len("Hello there, this is a text of some length."))]
     assert h.extract(pages.limit(0)).count() == 0
+
+
+WRAPPERS = [
+    "main class='main-content no-sidebar'", "article class='post has-sidebar'", "main class=sidebar", "article class=related",
+    "article class='post has-comments'", "div class='content-area has-sidebar'", "div class='page-content two-columns right-rail'",
+    "div class='post-entry with-toc'", "div class='story-body naval'", "div class='sidebar-layout'", "div id=overlay",
+    "div class='widget content'",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_a_name_does_not_decide_for_the_page(wrapper):
+    box = f"<div class=sidebar><p>{P}</p></div>"
+    page = (f"<body>{box}<{wrapper}><h2>Title here</h2><p>{P}</p><p>Then more.</p><p>{P}</p><div class=ad>{P}</div><p>{P}</p>"
+            f"</{wrapper.split()[0]}>{box}<div class='ad text-center'><p>{P}</p></div><div class='post-nav'><p>{P}</p></div>")
+    assert h.main_text(page) == "\n\n".join(["Title here", P, "Then more.", P, P])
+
+
+def test_many_open_boxes_end():
+    assert h.main_text(f"<article><p>{P}</p></article>" + f"<div class=ad>{P}" * 5) == P
+    assert P in h.main_text(f"<div class=ad><p>{P}</p>" * 5000)
