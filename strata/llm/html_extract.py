@@ -33,20 +33,24 @@ ENDS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "option": ("option",), "body": ("head",),
 }
+# Elements that a head can hold; anything else ends it.
+HEAD_TAGS = VOID & {"base", "link", "meta"} | frozenset("html head title style script template noscript noframes basefont bgsound".split())
 SCOPES = frozenset("article aside body div dl fieldset footer form header html li main nav ol section table td th ul blockquote".split())
 
 # Elements and roles that never hold content, and names that tell of it.
-AWAY_TAGS = frozenset("nav aside footer form menu select button dialog label fieldset".split())
-AWAY_ROLES = frozenset(
-    "navigation banner complementary contentinfo search form alert alertdialog dialog menu menubar toolbar".split()
-)
+AWAY_TAGS = frozenset("nav aside footer menu".split())
+AWAY_ROLES = frozenset("navigation banner complementary contentinfo search alert menu menubar toolbar".split())
+# Form controls, and elements and roles around them, whose text is judged by itself.
+CONTROLS = frozenset("select button label legend option optgroup".split())
+FORMS = frozenset("form fieldset".split())
+DIALOGS = frozenset("dialog alertdialog".split())
 AWAY_NAMES = re.compile(
     r"(?<![a-z])(?:ads?|adverts?|advertise(?:ments?)?|advertising|advertorial|adsbygoogle|"
     r"ad(?:box|slot|unit|space|banner|container|wrap|wrapper)|sponsor(?:s|ed)?|promo(?:s|box|tions?)?|"
     r"nav|navs|navi|navbar|navbox|navmenu|navlinks|navigation|topnav|subnav|sidenav|menus?|menubar|submenu|breadcrumbs?|"
     r"skip|toc|side|sidebars?|rail|widgets?|footers?|foot|copyright|legal|colophon|cookies?|cookie(?:bar|banner|notice|consent)|"
     r"consent|gdpr|notices?|alert|warning|announcement|popup|modal|overlay|toast|paywall|banner|newsletter|"
-    r"subscribe|subscribers?|subscriptions?|sign(?:up|in)|login|register|search|search(?:bar|box|form)|form|share|sharing|"
+    r"subscribe|subscribers?|subscriptions?|sign(?:up|in)|login|register|search|search(?:bar|box|form)|share|sharing|"
     r"socials?|socialmedia|follow|related|recommend(?:ed|ations?)?|trending|popular|more|tags|taglist|pagination|pager|pages|"
     r"toolbar|hidden)(?![a-z])"
 )
@@ -54,6 +58,7 @@ COMMENT_NAMES = re.compile(
     r"(?<![a-z])(?:comments?|comment(?:er|ers|ing|list|form|box|area|body|text|section)|usercomments?|disqus(?:thread)?|discussion|"
     r"replies|reply|respond|responses?|reactions?|guestbook)(?![a-z])"
 )
+FORM_NAMES = re.compile(r"(?<![a-z])form(?![a-z])")
 HEADER_NAMES = re.compile(r"(?<![a-z])(?:header|masthead|topbar|siteheader|hero|logo|branding)(?![a-z])")
 CONTENT_NAMES = re.compile(
     r"(?<![a-z])(?:article\w*|content|post|entry|story|main|maintext|text|body|articlebody|blogpost|prose)(?![a-z])"
@@ -71,6 +76,8 @@ INSIDE = {"content": 3.0, "maybe": 1.5, "none": 0.0, "header": -1.5, "away": -6.
 LENGTH, SENTENCE, HEADING, LINKS, WORDING, HEADER_HEADING = 2.6, 0.5, 0.4, -3.5, -1.5, 2.0
 # A box with a boilerplate name, one that has a content name too, and what words beyond 20 (up to 100) say in a box.
 NAMED, MIXED, LONG = -5.0, -3.0, 3.0
+# A form, and what words short of 20 say in it.
+FORM, SHORT = -1.0, -5.0
 # A box with a share of the page's words above these bounds is more and more, then wholly, taken for a wrapper of
 # the page, whose names say nothing.  Words of marked content outside boxes count as several, those of other boxes as half.
 WRAPPER, MARKED = (0.4, 0.6), 10
@@ -80,9 +87,10 @@ SAME, NEAR, DISTANT, CONTAINER = 0.6, 0.3, 0.1, 0.2
 
 @dataclass
 class Box:
-    """An element whose names tell of boilerplate, with all below it but articles."""
+    """A form, a dialog or an element whose names tell of boilerplate, with all below it but articles."""
 
     cost: float
+    form: bool
     outside: str  # the place around the box
     above: Box | None
     words: float = 0.0
@@ -136,14 +144,17 @@ def _place(tag: str, attributes: str, parent: Element | None) -> tuple[str, Box
                 return above, box
             sticky = sticky.parent
         return "maybe" if named and not content and tag != "main" and role != "main" else "content", None
-    if tag in AWAY_TAGS or role in AWAY_ROLES:
+    if tag in AWAY_TAGS or role in AWAY_ROLES or tag in CONTROLS:
         return "away", box
     if above == "away":
         return above, box
-    if named:
+    if tag in FORMS or role == "form" or any(FORM_NAMES.search(name) for name in names):
+        box = Box(FORM, True, above, box)
+        above = "none"
+    if named or tag in DIALOGS or role in DIALOGS:
         # "text" beside a boilerplate name is mostly a matter of looks, as in text-center.
         content = content and any(found != "text" for name in told for found in CONTENT_NAMES.findall(name))
-        box = Box(MIXED if content else NAMED, above, box)
+        box = Box(MIXED if content else NAMED, False, above, box)
         above = "none"
     if tag == "header" or any(HEADER_NAMES.search(name) for name in names):
         return "header", box
@@ -171,11 +182,13 @@ def blocks(page: str) -> list[Block]:
 
     def add(raw: str):
         nonlocal current
-        if head or not raw:
+        if not raw:
             return
         if current is None:
             if raw.isspace():
                 return
+            if head:
+                end_head()
             current = Block(stack[-1] if stack else Element("body", 0, "none", None))
         text = html.unescape(raw) if "&" in raw else raw
         current.parts.append(text)
@@ -189,6 +202,9 @@ def blocks(page: str) -> list[Block]:
             head -= element.tag == "head"
         del stack[place:]
 
+    def end_head():
+        close(next(place for place, element in enumerate(stack) if element.tag == "head"))
+
     at, end = 0, len(page)
     while at < end:
         found = _TAG.search(page, at)
@@ -222,13 +238,15 @@ def blocks(page: str) -> list[Block]:
                 if tag not in BLOCKS and stack[place].tag in SCOPES:
                     break
             continue
+        if head and tag not in HEAD_TAGS:
+            end_head()
         if tag in RAW:
             if attributes.endswith("/"):
                 continue
             stop = _raw_end(tag).search(page, at)
             at = end if stop is None else stop.end()
             continue
-        if tag in VOID:
+        if tag in VOID or (tag == "head" and head):
             continue
         if tag in BLOCKS and tag not in ("html", "body"):
             _imply(stack, close, {"p"})
@@ -237,6 +255,8 @@ def blocks(page: str) -> list[Block]:
         parent = stack[-1] if stack else None
         place, box = _place(tag, attributes, parent)
         if box is not None and (parent is None or box is not parent.box):
+            if box.above is not None and (parent is None or box.above is not parent.box):
+                boxes.append(box.above)  # a form with a boilerplate name
             boxes.append(box)
         stack.append(Element(tag, len(stack), place, parent, box))
         links += tag == "a"
@@ -305,7 +325,10 @@ def log_odds(block: Block) -> float:
     total = BIAS + _inside(element.place, element.box)
     total += LENGTH * min(words, 20) / 20
     if element.box is not None and element.place not in ("away", "comments"):
-        total += LONG * (1.0 - element.box.trust) * min(max(words - 20, 0), 80) / 80
+        weight = LONG * min(max(words - 20, 0), 80) / 80
+        if element.box.form:
+            weight = SHORT * (1 - min(words, 20) / 20)
+        total += (1.0 - element.box.trust) * weight
     total += SENTENCE * block.text.endswith((".", "!", "?", ":", "”", '"'))
     total += LINKS * min(1.0, block.linked / len(block.text))
     heading = element.tag in ("h1", "h2", "h3", "h4", "h5", "h6")

@@ -100,3 +100,35 @@ def test_a_name_does_not_decide_for_the_page(wrapper):
 def test_many_open_boxes_end():
     assert h.main_text(f"<article><p>{P}</p></article>" + f"<div class=ad>{P}" * 5) == P
     assert P in h.main_text(f"<div class=ad><p>{P}</p>" * 5000)
+
+
+TITLED = ["Title here", P, "Then more.", P]
+TEXT = f"<h2>Title here</h2><p>{P}</p><p>Then more.</p><p>{P}</p>"
+CONTROL = "<label>Your mail <input></label><select><option>one</select><button>Send it</button>"
+FORM_PAGES = [
+    f"<body><form id=aspnetForm><nav><a href=x>Home</a></nav>{TEXT}{CONTROL}<div class=sidebar><p>{P}</p></div></form>",
+    f"<body><form id=form1 class=form><fieldset><div><main>{TEXT}</main>{CONTROL}</div></fieldset></form>",
+    f"<form><article>{TEXT}{CONTROL}</article></form><form><p>Your mail <input></p></form>",
+    f"<form>{TEXT}<form class=search><p>Search this site</p></form></form>",
+    f"<dialog open><article>{TEXT}</article></dialog><dialog><p>{P}</p></dialog>",
+    f"<div id=content>{TEXT}</div><form><p>Your mail <input></p><p>Your name <input></p></form>",
+    f"<div id=content>{TEXT}</div><div class=sidebar><form><p>{P}</p></form></div><form class=newsletter><p>{P}</p></form>",
+]
+HEAD_PAGES = [
+    f"<html><head><title>T</title><meta charset=x><style>p{{}}</style><h2>Title here</h2><p>{P}</p><p>Then more.</p><p>{P}</p>",
+    f"<head><link rel=x> <script>var a = '<p>no</p>';</script>\n<div>{TEXT}</div></head>",
+    f"<head><title>T</title><head><article>{TEXT}</article>",
+    f"<head><meta charset=x><noscript>no</noscript><br>{TEXT}",
+    f"<head><title>T</title></head>{TEXT}",
+]
+
+
+@pytest.mark.parametrize("page", FORM_PAGES + HEAD_PAGES)
+def test_forms_and_open_heads_hold_text(page):
+    assert h.main_text(page) == "\n\n".join(TITLED)
+
+
+def test_text_ends_an_open_head():
+    assert h.main_text(f"<head><title>T</title> {P}<p>{P}") == f"{P}\n\n{P}"
+    long = f"{P} {P} {P}"
+    assert h.main_text(f"<div id=content><p>{P}</p></div><form><p>{long}</p>{CONTROL}</form>") == f"{P}\n\n{long}"
