@@ -84,6 +84,12 @@ def op8_pii(spark, sf_dir):
     return pii.report(_table(spark, sf_dir, "documents")).drop("scores")
 
 
+@query("op8_pii_scores")
+def op8_pii_scores(spark, sf_dir):
+    """Personal data in every text, with the scores that the context words adjust."""
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 @query("op9_quality")
 def op9_quality(spark, sf_dir):
     """Quality of every text."""

@@ -124,3 +124,28 @@ def test_account_numbers_equal_brute_force(spark):
     got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("iban")] for r in pii.report(docs).collect()}
     assert {texts[i]: spans for i, spans in got.items()} == {t: brute_accounts(t) for t in texts}
     assert [len(got[i]) for i in range(10)] == [1, 1, 1, 1, 3, 1, 1, 1, 1, 0]
+
+
+def brute_scores(text, spans):
+    scores = []
+    for span in filter(None, spans.split(",")):
+        kind, start, end = span.split(":")
+        near = text[max(0, int(start) - 40) : int(start)] + "\n" + text[int(end) : int(end) + 40]
+        score = {"email": 0.8, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9}[kind]
+        score += 0.1 * bool(re.search(pii.SUPPORTING[kind], near.lower(), re.ASCII))
+        scores.append(round(score - 0.1 * bool(re.search(pii.DOUBTING, near.lower())), 2))
+    return scores
+
+
+def test_scores_are_in_a_query(spark):
+    from strata.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    plain = {r.doc_id: r for r in queries.QUERIES["op8_pii"](spark, sf).collect()}
+    got = queries.QUERIES["op8_pii_scores"](spark, sf).collect()
+    assert len(got) == len(plain) == len(texts)
+    for r in got:
+        assert r.spans == plain[r.doc_id].spans and r.base_sha256 == plain[r.doc_id].base_sha256
+        assert r.scores == pytest.approx(brute_scores(texts[r.doc_id], r.spans))
+    assert len({s for r in got for s in r.scores}) > 3
