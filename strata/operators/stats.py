@@ -380,6 +380,31 @@ def medians(df: DataFrame, by: list[str], value: str, into: str, width: int = 40
     return placed.groupBy(*by).agg(((at(low) + at(high)) / 2).alias(into))
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float], width: int = 4096) -> DataFrame:
+    """The smallest values that at least each of ``shares`` of all values do not exceed: share, value.
+
+    Equal values are counted and the counts summed by coarse cells, as for
+    ``medians``.  Nulls do not count; without any value all are null.
+    """
+    named = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("__v"))
+    counts = named.groupBy("__v").agg(F.count(F.lit(1)).alias("__n"))
+    ends = counts.agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("__all"))
+    span = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300))
+    celled = counts.crossJoin(F.broadcast(ends)).withColumn("__cell", F.floor((F.col("__v") - F.col("__lo")) / span * width))
+    # One row per cell: width + 1 at most.
+    cells = celled.groupBy("__cell", "__all").agg(F.sum("__n").alias("__in"))
+    upto = Window.partitionBy("__all").orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = F.array(*[F.struct(F.lit(q).alias("share"), F.ceil(F.col("__all") * q).alias("__place")) for q in shares])
+    middle = cells.withColumn("__end", F.sum("__in").over(upto)).withColumn("__before", F.col("__end") - F.col("__in"))
+    middle = middle.select("__cell", "__before", "__end", F.inline(wanted))
+    middle = middle.where((F.col("__end") >= F.col("__place")) & (F.col("__before") < F.col("__place"))).drop("__end")
+    inside = Window.partitionBy("share", "__cell").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = celled.join(F.broadcast(middle), "__cell").withColumn("__last", F.col("__before") + F.sum("__n").over(inside))
+    hit = (F.col("__last") >= F.col("__place")) & (F.col("__last") - F.col("__n") < F.col("__place"))
+    asked = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(q) for q in shares])).alias("share"))
+    return asked.join(placed.where(hit).select("share", F.col("__v").alias("value")), "share", "left")
+
+
 def grade_histogram(df: DataFrame) -> DataFrame:
     return df.groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
 

@@ -493,6 +493,21 @@ def summary_table(spark, sf):
     return rows.select("summary", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
+@query(
+    "summary_percentiles",
+    "A9",
+    """SELECT unnest(['25%', '50%', '75%']) AS summary,
+    round(unnest(quantile_disc(value, [0.25, 0.5, 0.75])), 6)::DOUBLE AS value FROM events""",
+)
+def summary_percentiles(spark, sf):
+    """The percentile rows of the summary, exact."""
+    rows = stats.quantiles(T.table(spark, sf, "events"), "value", [0.25, 0.5, 0.75])
+    return rows.select(
+        F.concat((F.col("share") * 100).cast("int").cast("string"), F.lit("%")).alias("summary"),
+        F.round("value", 6).alias("value"),
+    )
+
+
 @query(
     "ordered_lists",
     "A17 W6",

@@ -253,3 +253,13 @@ def test_samples_do_not_depend_on_layout(spark):
 
 def test_spark_sampler_is_offered(spark):
     assert 0 < clean.bernoulli_sample(spark.range(1000), 0.5).count() < 1000
+
+
+def test_quantiles_are_exact(spark):
+    rng = random.Random(3)
+    for values in ([1.0], [2.0, 1.0], [5.0] * 7, [1.0, 2.0, 3.0, 4.0], [round(rng.gauss(0, 1), 2) for _ in range(501)], [1e9, *range(99)]):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        got = {r.share: r.value for r in stats.quantiles(df, "v", [0.25, 0.5, 0.75], width=16).collect()}
+        order = sorted(float(v) for v in values)
+        assert got == {q: order[-int(-len(order) * q // 1) - 1] for q in (0.25, 0.5, 0.75)}
+    assert {r.value for r in stats.quantiles(df.limit(0), "v", [0.25, 0.5]).collect()} == {None}
