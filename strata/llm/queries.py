@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import bpe, exact_dedup, fingerprints, html_extract, minhash, mixing, pii, quality, sharding, toxicity
+from strata.llm import bpe, exact_dedup, fill_middle, fingerprints, html_extract, minhash, mixing, pii, quality, sharding, toxicity
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -101,3 +101,9 @@ def op10_exact_dedup(spark, sf_dir):
     """Groups of texts that are equal without white space."""
     groups = exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op13_fill_middle", fill_middle.report_sql())
+def op13_fill_middle(spark, sf_dir):
+    """Every text with its middle moved to the end, and restored from that, as digests."""
+    return fill_middle.report(_table(spark, sf_dir, "documents"))
