@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import bpe, exact_dedup, fill_middle, fingerprints, html_extract, minhash, mixing, pii, quality, sharding, toxicity
+from strata.llm import align_tokens, bpe, exact_dedup, fill_middle, fingerprints, html_extract, minhash, mixing, pii, quality, sharding, toxicity
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -103,6 +103,15 @@ def op10_exact_dedup(spark, sf_dir):
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op12_align_tokens")
+def op12_align_tokens(spark, sf_dir):
+    """Groups and links of two tokenizers over every text, with corpus-wide counts of linked ids."""
+    import public_tokenizers
+
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align_tokens.report(_table(spark, sf_dir, "documents"), align_tokens.tokenizers(*paths))
+
+
 @query("op13_fill_middle", fill_middle.report_sql())
 def op13_fill_middle(spark, sf_dir):
     """Every text with its middle moved to the end, and restored from that, as digests."""
