@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import align_tokens, bpe, exact_dedup, fill_middle, fingerprints, html_extract, minhash, mixing, pii, quality, sharding, toxicity
+from strata.llm import (
+    align_tokens,
+    bpe,
+    exact_dedup,
+    fill_middle,
+    fingerprints,
+    html_extract,
+    minhash,
+    mixing,
+    pii,
+    quality,
+    sharding,
+    toxicity,
+    url_filter,
+)
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -103,6 +117,16 @@ def op10_exact_dedup(spark, sf_dir):
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+# Rules of the data contract (fixed values).
+URL_RULES = ["allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/"]
+
+
+@query("op11_url_filter")
+def op11_url_filter(spark, sf_dir):
+    """Verdict on every page's URL, by rules and by trees that learn from what the rules decide."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.rules(URL_RULES))
+
+
 @query("op12_align_tokens")
 def op12_align_tokens(spark, sf_dir):
     """Groups and links of two tokenizers over every text, with corpus-wide counts of linked ids."""
