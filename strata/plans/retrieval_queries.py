@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators import clean, models, retrieval, stats
+from strata.functions import text as X
+from strata.operators import clean, models, pruned, retrieval, segments, stats
 from strata.plans import tables as T
 from strata.plans.registry import query
 
@@ -95,6 +96,66 @@ def bm25_topk(spark, sf):
     return retrieval.search(T.index(spark, sf), T.queries(spark, sf), ["date", "qid"], k=10)
 
 
+@query(
+    "bm25_pruned",
+    "R2 O2 J13 R1",
+    f"WITH {T.RUN} SELECT date, qid, CAST(rank AS INTEGER) AS rank, docid, score FROM run WHERE rank < 10",
+)
+def bm25_pruned(spark, sf):
+    """The rows of ``bm25_topk``, by bounds of blocks over an index that has replaced and compacted documents."""
+    return pruned.search(T.store(spark, sf), T.queries(spark, sf), ["date", "qid"], k=10)
+
+
+def tokens_sql(column: str) -> str:
+    return f"list_filter({T.WORDS.format(column)}, lambda w: w NOT IN ({T.STOP}))"
+
+
+@query(
+    "phrase_matches",
+    "R1",
+    f"""WITH {T.DOCS}, {T.POSED},
+    told AS (SELECT date, docid, {tokens_sql('contents')} AS t FROM docs),
+    phrases AS (SELECT qid, t[1] AS a, t[2] AS b FROM (SELECT qid, {tokens_sql('query')} AS t FROM posed) WHERE len(t) > 1),
+    pairs AS (SELECT date, docid, t[i] AS a, t[i + 1] AS b FROM (SELECT *, unnest(range(1, len(t))) AS i FROM told WHERE len(t) > 1))
+    SELECT qid, date, docid, count(*) AS n FROM pairs JOIN phrases USING (a, b) GROUP BY qid, date, docid""",
+)
+def phrase_matches(spark, sf):
+    """Documents that hold the first two terms of a query one after the other."""
+    terms = T.queries(spark, sf).select("qid", X.light_tokens("query").alias("t")).where(F.size("t") > 1)
+    phrases = terms.select("qid", F.array_join(F.slice("t", 1, 2), " ").alias("phrase"))
+    return segments.phrase_matches(T.store(spark, sf), phrases, ["qid"])
+
+
+@query(
+    "document_vectors",
+    "R1",
+    f"""WITH {T.INDEXED} SELECT date, docid, CAST(any_value(dl) AS INTEGER) AS dl, count(*) AS n_terms,
+    md5(string_agg(term || ':' || tf, ' ' ORDER BY term)) AS terms_hash FROM postings GROUP BY date, docid""",
+)
+def document_vectors(spark, sf):
+    vectors = segments.document_vectors(T.store(spark, sf))
+    told = F.transform("terms", lambda t: F.concat_ws(":", t["term"], t["tf"].cast("string")))
+    return vectors.select(
+        "date", "docid", "dl", F.size("terms").cast("long").alias("n_terms"), F.md5(F.array_join(told, " ")).alias("terms_hash")
+    )
+
+
+@query(
+    "feedback_terms",
+    "R1 R3",
+    f"""WITH {T.RUN}, shares AS (SELECT date, qid, term, sum(CAST(tf AS DOUBLE) / dl) / 10 AS share
+      FROM run JOIN postings USING (date, docid) WHERE rank < 10 GROUP BY date, qid, term),
+    weighed AS (SELECT date, qid, term, round(share * ln(1 + (n_docs - df + 0.5) / (df + 0.5)), 6) AS weight
+      FROM shares JOIN dfs USING (date, term) JOIN slices USING (date))
+    SELECT date, qid, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY date, qid ORDER BY weight DESC, term) AS r FROM weighed)
+    WHERE r <= 5""",
+)
+def feedback_terms(spark, sf):
+    """Terms of the first ten documents that weigh most."""
+    first = T.run(spark, sf).where(F.col("rank") < 10)
+    return segments.feedback_terms(T.store(spark, sf), first, ["date", "qid"], n_docs=10, n_terms=5)
+
+
 @query(
     "search_response",
     "D15 J11",

@@ -19,7 +19,7 @@ from strata.functions import keys as K
 from strata.functions import text as X
 from strata.functions import vectors as V
 from strata.functions.words import FRENCH_STOPWORDS
-from strata.operators import retrieval
+from strata.operators import retrieval, segments
 from strata.operators.ranking import unnest
 from strata.session import MAX_BROADCAST_VECTORS, broadcast_if_small, scratch_path, spread_join, written
 
@@ -149,6 +149,20 @@ def index(spark: SparkSession, sf: str) -> retrieval.Index:
     return once(spark, sf, "index", build)
 
 
+def store(spark: SparkSession, sf: str) -> segments.Store:
+    """The documents as a segmented index: half of them with other texts first, then all, then some slices compacted."""
+
+    def build():
+        docs = documents(spark, sf).select("date", "docid", "contents")
+        path = scratch_path(spark, "segments")
+        stale = docs.where(F.crc32("docid") % 2 == 0).withColumn("contents", F.concat_ws(" ", "docid", F.lit("stale stale words")))
+        segments.append(stale, path)
+        grown = segments.append(docs, path)
+        return segments.compact(grown, [d for _, d, _ in grown.parts if d <= CHANGE])
+
+    return once(spark, sf, "store", build)
+
+
 def stored_qrels(spark: SparkSession, sf: str) -> DataFrame:
     return once(spark, sf, "qrels", lambda: written(qrels(spark, sf), "qrels"))
 
