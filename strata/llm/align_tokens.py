@@ -2,14 +2,14 @@
 
 Both token lists of a text cover the same bytes, so a list is its token ends, in
 ascending order.  An interval of both lists is divided at an end that both have:
-starting from the middle token and going outwards, each end is looked up in the
+starting from the middle token and going outwards, ends are looked up in the
 other list by bisection.  Both halves are divided in the same way; an interval
 without a shared inner end is a leaf, a group of tokens that belong together.
+All intervals of some texts are divided in step, level by level.
 
-Both tokenizers end a token where a space follows a character that is no white
-space, whatever stands around.  These shared cuts are known without looking, so
-the division starts from the pieces between them, and a worker keeps the groups
-of a bounded number of pieces.
+The first tokenizer is a byte-level vocabulary whose ids follow the order of its
+merges; such a one is its ranks, so whole texts are encoded by the faster of two
+libraries that give the same ids.
 
 How many documents hold a linked pair of ids is counted over all documents.
 The counts reach the documents in two ways: pairs with a fixed share of all
@@ -23,12 +23,9 @@ import hashlib
 import json
 import os
 import re
-from array import array
-from bisect import bisect_left
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +36,10 @@ from strata.llm.bpe import WHITE_SPACE, byte_characters
 from strata.llm.worker import held
 from strata.session import written
 
-# Pieces whose groups a worker keeps, and the longest piece that is kept.
-CACHED_PIECES = 250_000
-CACHED_CHARS = 64
-# Characters of unseen pieces that are passed to a tokenizer at once.
-BATCH_CHARS = 1_000_000
+# Characters of the texts that are aligned at once; a longer text is by itself.
+BATCH_CHARS = 500_000
 # Links of a group that are listed one by one; larger groups are counted by id.
-LISTED_LINKS = 64
+LISTED_LINKS = 4096
 # Different pairs that a task counts before it hands them on.
 COUNTED_PAIRS = 1 << 20
 # A pair with 1/HOT_PARTS of all (document, pair) rows is broadcast: at most HOT_PARTS pairs.
@@ -53,47 +47,66 @@ HOT_PARTS = 1 << 18
 
 # The sign that stands for a space in a piece vocabulary (fixed value).
 SPACE_SIGN = "▁"
-# A piece: from a space to before the next space that follows no white space.
-_PIECE = re.compile(f" [^ ]*+(?:(?<=[{WHITE_SPACE}{SPACE_SIGN}]) [^ ]*+)*+")
-
-Group = tuple[int, int, int, int]  # first and last (exclusive) token of both lists
-
-
-def shared_end(a: Sequence[int], b: Sequence[int], group: Group) -> tuple[int, int] | None:
-    """Tokens after the shared inner end that is nearest to the middle token of the first list."""
-    a0, a1, b0, b1 = group
-    middle = (a0 + a1 - 1) // 2
-    # The last token's end is the end of the interval, so it is no inner end.
-    for distance in range(max(a1 - 1 - middle, middle - a0 + 1)):
-        for i in (middle + distance, middle - distance) if distance else (middle,):
-            if a0 <= i < a1 - 1:
-                j = bisect_left(b, a[i], b0, b1 - 1)
-                if j < b1 - 1 and b[j] == a[i]:
-                    return i + 1, j + 1
-    return None
-
-
-def leaves(a: Sequence[int], b: Sequence[int]) -> Iterator[Group]:
-    """The groups of two lists of token ends over the same bytes, in order."""
-    if not a or not b:
-        return
-    waiting = [(0, len(a), 0, len(b))]
-    while waiting:
-        group = waiting.pop()
-        a0, a1, b0, b1 = group
-        cut = shared_end(a, b, group) if a1 - a0 > 1 and b1 - b0 > 1 else None
-        if cut is None:
-            yield group
-        else:
-            waiting += [(cut[0], a1, cut[1], b1), (a0, cut[0], b0, cut[1])]
+# White space that is too long for a backtracking pattern; the other library has no such limit.
+_LONG_BLANK = re.compile(r"\s{10000}")
+
+
+def shared_cuts(
+    a: np.ndarray, b: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a token is the last of its group, for both lists of token ends.
+
+    ``a`` and ``b`` ascend; interval n holds the tokens ``a0[n] .. a1[n] - 1`` and
+    ``b0[n] .. b1[n] - 1``, which end at the same byte.  All intervals are divided
+    at once.  Those whose middle token ends at no shared place look further in
+    steps that double, so an interval without cuts is read through once.
+    """
+    last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    last_a[a1 - 1] = last_b[b1 - 1] = True
+    step = np.zeros(len(a0), np.int64)
+    while True:
+        open_ = (a1 - a0 > 1) & (b1 - b0 > 1)
+        a0, a1, b0, b1, step = (v[open_] for v in (a0, a1, b0, b1, step))
+        if not len(a0):
+            return last_a, last_b
+        middle = (a0 + a1 - 1) >> 1
+        # Tokens at distances 2^step - 1 to 2^(step+1) - 2 from the middle, the nearest first.
+        width = 2 << step
+        of = np.repeat(np.arange(len(a0)), width)
+        within = np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width)
+        away = (1 << step)[of] - 1 + (within >> 1)
+        i = middle[of] + np.where(within & 1, -away, away)
+        # The last token's end is the end of the interval, so it is no inner end.
+        inside = (i >= a0[of]) & (i < a1[of] - 1)
+        of, i = of[inside], i[inside]
+        j = np.searchsorted(b, a[i])
+        same = (j < b1[of] - 1) & (b[np.minimum(j, len(b) - 1)] == a[i])
+        found, first = np.unique(of[same], return_index=True)
+        i, j = i[same][first], j[same][first]
+        last_a[i] = last_b[j] = True
+        on = np.ones(len(a0), bool)
+        on[found] = False
+        on &= (2 << step) - 1 <= np.maximum(a1 - 1 - middle, middle - a0)  # else it is a leaf
+        new = np.zeros(len(found), np.int64)
+        a0, a1, b0, b1, step = (
+            np.concatenate(parts)
+            for parts in (
+                (a0[on], a0[found], i + 1),
+                (a1[on], i + 1, a1[found]),
+                (b0[on], b0[found], j + 1),
+                (b1[on], j + 1, b1[found]),
+                (step[on] + 1, new, new),
+            )
+        )
 
 
 @dataclass(frozen=True)
 class Tokenizers:
-    """A byte-level tokenizer as the tokenizers library stores it, and a piece model of sentencepiece."""
+    """A byte-level tokenizer as the tokenizers library stores it with its pattern, and a piece model of sentencepiece."""
 
     first: str
     second: bytes
+    pattern: str
 
     def width(self) -> int:
         """Size of the second vocabulary."""
@@ -102,21 +115,35 @@ class Tokenizers:
         return SentencePieceProcessor(model_proto=self.second).vocab_size()
 
 
-def tokenizers(first_path: str, second_path: str) -> Tokenizers:
+def tokenizers(first_path: str, second_path: str, pattern: str) -> Tokenizers:
     with open(first_path, encoding="utf-8") as first, open(second_path, "rb") as second:
-        return Tokenizers(first.read(), second.read())
+        return Tokenizers(first.read(), second.read(), pattern)
+
+
+# Ids of a text by both tokenizers; none if it is empty or one of them does not give it back.
+Ids = tuple[list[int], list[int]] | None
 
 
-# What is known of one piece of text: numbers of first ids, second ids and groups, the keys of its links in
-# eight bytes each, the links of groups with very many of them by key, and the printed groups.
-Piece = tuple[int, int, int, bytes, dict[int, int] | None, str]
+@dataclass
+class Aligned:
+    """Some texts, one after the other: ids of both tokenizers, and the group of every token."""
+
+    a: np.ndarray
+    b: np.ndarray
+    a_group: np.ndarray
+    b_group: np.ndarray
+    a_start: np.ndarray  # first token of every text, and the end
+    b_start: np.ndarray
+    a_ends: np.ndarray  # in bytes, counted from the first text
+    b_ends: np.ndarray
 
 
 class Aligner:
-    """Both tokenizers and the pieces seen so far; one per worker."""
+    """Both tokenizers; one per worker."""
 
     def __init__(self, stored: Tokenizers):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -124,102 +151,103 @@ class Aligner:
         self.first.encode_special_tokens = True  # their strings in a text are plain text
         self.second = SentencePieceProcessor(model_proto=stored.second)
         back = {c: b for b, c in enumerate(byte_characters())}
-        self.first_bytes = {i: bytes(back[c] for c in t) for t, i in json.loads(stored.first)["model"]["vocab"].items()}
+        model = json.loads(stored.first)["model"]
+        self.first_bytes = {i: bytes(back[c] for c in t) for t, i in model["vocab"].items()}
         self.second_bytes = [self._second_bytes(i) for i in range(self.second.vocab_size())]
-        self.first_told = {i: str(i) for i in self.first_bytes}
-        self.second_told = [str(i) for i in range(len(self.second_bytes))]
-        self.space = self.second.piece_to_id(SPACE_SIGN)
-        self.known: dict[str, Piece | None] = {}
+        self.first_sizes = np.zeros(max(self.first_bytes) + 1, np.int64)
+        for i, told in self.first_bytes.items():
+            self.first_sizes[i] = len(told)
+        self.second_sizes = np.array(list(map(len, self.second_bytes)), np.int64)
+        ids = range(len(self.first_sizes)), range(len(self.second_sizes))
+        self.signs = [b"%d%c" % (i, mark) for own, marks in zip(ids, (b",|", b",;")) for i in own for mark in marks]
+        merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        self.ranked = None
+        if merged == sorted(merged) and not model.get("ignore_merges"):  # ids follow the order of the merges
+            ranks = {told: i for i, told in self.first_bytes.items()}
+            self.ranked = tiktoken.Encoding("first", pat_str=stored.pattern, mergeable_ranks=ranks, special_tokens={})
 
     def _second_bytes(self, i: int) -> bytes:
         piece = self.second.id_to_piece(i)
         return bytes([int(piece[1:-1], 16)]) if self.second.is_byte(i) else piece.replace(SPACE_SIGN, " ").encode()
 
-    def tokens(self, pieces: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of both tokenizers; the second one adds the space that every piece starts with."""
-        start = 0
-        while start < len(pieces):
-            end, chars = start, 0
-            while end < len(pieces) and (end == start or chars < BATCH_CHARS):
-                chars += len(pieces[end])
-                end += 1
-            some = pieces[start:end]
-            found = self.first.encode_batch_fast(some, add_special_tokens=False)
-            others = self.second.encode([p[1:] for p in some], num_threads=1)
-            # No space is added to an empty text: a piece that is one space, at a text's end, is the sign alone.
-            yield from ((e.ids, b if p != " " else [self.space]) for p, e, b in zip(some, found, others))
-            start = end
-
-    def ends(self, piece: str, a: list[int], b: list[int]) -> tuple[list[int], list[int]] | None:
-        """Ends of the tokens in bytes; none if one of the lists is not the piece."""
-        a_bytes, b_bytes = [self.first_bytes[i] for i in a], [self.second_bytes[i] for i in b]
-        told = piece.encode()
-        if b"".join(a_bytes) != told or b"".join(b_bytes) != told:
-            return None
-        return list(accumulate(map(len, a_bytes))), list(accumulate(map(len, b_bytes)))
+    def _first_ids(self, text: str) -> list[int]:
+        if self.ranked is None or _LONG_BLANK.search(text):
+            return self.first.encode(text, add_special_tokens=False).ids
+        return self.ranked.encode_ordinary(text)
 
-    def _piece(self, piece: str, a: list[int], b: list[int]) -> Piece | None:
-        ends = self.ends(piece, a, b)
-        if ends is None:
-            return None
-        width, a_told, b_told = len(self.second_bytes), self.first_told, self.second_told
-        links: list[int] = []
-        many: dict[int, int] = {}
-        shown = []
-        for a0, a1, b0, b1 in leaves(*ends):
-            left, right = a[a0:a1], b[b0:b1]
-            if len(left) * len(right) <= LISTED_LINKS:
-                links += [x * width + y for x in left for y in right]
-            else:
-                others = Counter(right)
-                for x, n in Counter(left).items():
-                    for y, m in others.items():
-                        many[x * width + y] = many.get(x * width + y, 0) + n * m
-            shown.append(",".join([a_told[x] for x in left]) + "|" + ",".join([b_told[y] for y in right]))
-        packed = array("q", links).tobytes()
-        return len(a), len(b), len(shown), packed, many or None, ";".join(shown)
-
-    def pieces(self, text: str) -> list[Piece] | None:
-        """The pieces of a space and ``text``; none if the text is empty or a tokenizer does not give it back."""
+    def ids(self, text: str) -> Ids:
+        """Ids of a space and ``text``; the second tokenizer adds the space."""
         if not text:
             return None
-        spelt = _PIECE.findall(" " + text)
-        if len(self.known) > CACHED_PIECES:
-            self.known.clear()
-        unseen = list({p for p in spelt if p not in self.known})
-        for piece, (a, b) in zip(unseen, self.tokens(unseen)):
-            self.known[piece] = self._piece(piece, a, b)
-        found = list(map(self.known.__getitem__, spelt))
-        for piece in unseen:
-            if len(piece) > CACHED_CHARS:
-                del self.known[piece]
-        return None if None in found else found
+        a, b = self._first_ids(" " + text), self.second.encode(text, num_threads=1)
+        told = (" " + text).encode()
+        whole = b"".join(map(self.first_bytes.__getitem__, a)) == told == b"".join(map(self.second_bytes.__getitem__, b))
+        return (a, b) if whole else None
+
+    def align(self, texts: list[tuple[list[int], list[int]]]) -> Aligned:
+        """Groups of texts given by their ids."""
+        a_lists, b_lists = zip(*texts) if texts else ((), ())
+        a_start, b_start = (np.cumsum([0, *map(len, v)]) for v in (a_lists, b_lists))
+        a = np.fromiter(chain.from_iterable(a_lists), np.int64, a_start[-1])
+        b = np.fromiter(chain.from_iterable(b_lists), np.int64, b_start[-1])
+        a_ends, b_ends = np.cumsum(self.first_sizes[a]), np.cumsum(self.second_sizes[b])
+        last_a, last_b = shared_cuts(a_ends, b_ends, a_start[:-1], a_start[1:], b_start[:-1], b_start[1:])
+        return Aligned(a, b, np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b, a_start, b_start, a_ends, b_ends)
 
     def groups(self, text: str) -> list[tuple[int, int, list[int], list[int]]]:
         """Groups of a space and ``text``: first and last (exclusive) byte, ids of both tokenizers."""
-        found, at = [], 0
-        spelt = _PIECE.findall(" " + text) if text else []
-        for piece, (a, b) in zip(spelt, self.tokens(spelt)):
-            ends = self.ends(piece, a, b)
-            if ends is None:
-                return []
-            for a0, a1, b0, b1 in leaves(*ends):
-                start = at + (ends[0][a0 - 1] if a0 else 0)
-                found.append((start, at + ends[0][a1 - 1], a[a0:a1], b[b0:b1]))
-            at += ends[0][-1]
-        return found
-
-
-def links_of(pieces: list[Piece]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the different links of a document, ascending, and how often each occurs."""
-    keys, times = np.unique(np.frombuffer(b"".join([p[3] for p in pieces]), np.int64), return_counts=True)
-    if any(p[4] for p in pieces):
-        total = Counter(dict(zip(keys.tolist(), times.tolist())))
-        for p in pieces:
-            total.update(p[4] or {})
-        keys = np.array(sorted(total), np.int64)
-        times = np.array([total[k] for k in keys.tolist()], np.int64)
-    return keys, times
+        ids = self.ids(text)
+        if ids is None:
+            return []
+        found = self.align([ids])
+        n = np.arange(found.a_group[-1] + 2)
+        a_at, b_at = np.searchsorted(found.a_group, n), np.searchsorted(found.b_group, n)
+        ends = np.concatenate([[0], found.a_ends[a_at[1:] - 1]])
+        return [
+            (int(ends[g]), int(ends[g + 1]), found.a[a_at[g] : a_at[g + 1]].tolist(), found.b[b_at[g] : b_at[g + 1]].tolist())
+            for g in n[:-1]
+        ]
+
+    def shown(self, found: Aligned) -> list[bytes]:
+        """The groups of every text in digits, as the data contract prints them."""
+        groups = int(found.a_group[-1]) + 1 if len(found.a_group) else 0
+        a_before = np.searchsorted(found.a_group, np.arange(groups + 1))
+        b_before = np.searchsorted(found.b_group, np.arange(groups + 1))
+        # Tokens in printed order, each with the sign after it.
+        codes = np.empty(len(found.a) + len(found.b), np.int64)
+        a_last = np.arange(len(found.a)) == a_before[found.a_group + 1] - 1
+        b_last = np.arange(len(found.b)) == b_before[found.b_group + 1] - 1
+        codes[np.arange(len(found.a)) + b_before[found.a_group]] = 2 * found.a + a_last
+        codes[np.arange(len(found.b)) + a_before[found.b_group + 1]] = 2 * (len(self.first_sizes) + found.b) + b_last
+        told = list(map(self.signs.__getitem__, codes.tolist()))
+        at = (found.a_start + found.b_start).tolist()
+        return [b"".join(told[i:j])[:-1] for i, j in zip(at, at[1:])]
+
+    def links(self, found: Aligned) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Keys of the different links of every text, ascending, and how often each occurs."""
+        width, n_texts = len(self.second_sizes), len(found.a_start) - 1
+        groups = int(found.a_group[-1]) + 1 if len(found.a_group) else 0
+        n_a, n_b = np.bincount(found.a_group, minlength=groups), np.bincount(found.b_group, minlength=groups)
+        b_at = np.cumsum(n_b) - n_b
+        listed = (n_a * n_b <= LISTED_LINKS)[found.a_group]
+        a_group = found.a_group[listed]
+        times = n_b[a_group]
+        text = np.searchsorted(found.a_start, np.flatnonzero(listed), side="right") - 1
+        right = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(b_at[a_group], times)
+        keys = np.repeat(found.a[listed], times) * width + found.b[right]
+        space = width * len(self.first_sizes)
+        distinct, counts = np.unique(np.repeat(text, times) * space + keys, return_counts=True)
+        for g in np.flatnonzero(n_a * n_b > LISTED_LINKS).tolist():  # counted by id
+            at = int(np.searchsorted(found.a_group, g))
+            a_ids, a_n = np.unique(found.a[at : at + n_a[g]], return_counts=True)
+            b_ids, b_n = np.unique(found.b[b_at[g] : b_at[g] + n_b[g]], return_counts=True)
+            base = (int(np.searchsorted(found.a_start, at, side="right")) - 1) * space
+            more = (base + a_ids[:, None] * width + b_ids[None, :]).ravel()
+            distinct, place = np.unique(np.concatenate([distinct, more]), return_inverse=True)
+            weights = np.concatenate([counts, (a_n[:, None] * b_n[None, :]).ravel()])
+            counts = np.bincount(place, weights=weights, minlength=len(distinct)).astype(np.int64)
+        cuts = np.searchsorted(distinct, np.arange(n_texts + 1) * space)
+        return [(distinct[i:j] % space, counts[i:j]) for i, j in zip(cuts, cuts[1:])]
 
 
 def aligner(stored: Tokenizers) -> Aligner:
@@ -269,19 +297,31 @@ def linked(docs: DataFrame, stored: Tokenizers) -> DataFrame:
 
     def rows(batches):
         own = aligner(shared.value)
+        def told(texts):
+            """Rows of some texts, given by their ids."""
+            whole = [t for t in texts if t is not None]
+            found = own.align(whole)
+            full = zip(own.shown(found), own.links(found), np.diff(found.a_start), np.diff(found.b_start))
+            for text in texts:
+                if text is None:
+                    yield 0, 0, 0, 0, "", [], []
+                else:
+                    shown, (keys, times), n_a, n_b = next(full)
+                    yield n_a, n_b, shown.count(b"|"), times.sum(), hashlib.sha256(shown).hexdigest(), keys, times
+
         for batch in batches:
             columns: list[list] = [[] for _ in kinds]
-            for value in batch.column("text"):
-                pieces = own.pieces(value.as_py() or "")
-                if pieces is None:
-                    row = (0, 0, 0, 0, "", [], [])
-                else:
-                    keys, times = links_of(pieces)
-                    n_a, n_b, n_groups, _, _, shown = zip(*pieces)
-                    digest = hashlib.sha256(";".join(shown).encode()).hexdigest()
-                    row = (sum(n_a), sum(n_b), sum(n_groups), int(times.sum()), digest, keys, times)
-                for column, cell in zip(columns, row):
-                    column.append(cell)
+            waiting, n = [], 0
+            for value in chain(batch.column("text"), [None]):
+                if value is not None:
+                    text = value.as_py() or ""
+                    waiting.append(own.ids(text))
+                    n += len(text)
+                if n > BATCH_CHARS or value is None:
+                    for row in told(waiting):
+                        for column, cell in zip(columns, row):
+                            column.append(cell)
+                    waiting, n = [], 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *map(pa.array, columns, kinds)], ["doc_id", *_LINKED]
             )

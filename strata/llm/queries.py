@@ -133,7 +133,7 @@ def op12_align_tokens(spark, sf_dir):
     import public_tokenizers
 
     paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
-    return align_tokens.report(_table(spark, sf_dir, "documents"), align_tokens.tokenizers(*paths))
+    return align_tokens.report(_table(spark, sf_dir, "documents"), align_tokens.tokenizers(*paths, public_tokenizers.PATTERN))
 
 
 @query("op13_fill_middle", fill_middle.report_sql())

@@ -2,13 +2,15 @@ import hashlib
 import random
 import time
 from collections import Counter
+from itertools import accumulate
 
+import numpy as np
 import public_tokenizers as public
 import pytest
 
 from strata.llm import align_tokens as al
 
-STORED = al.tokenizers(public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"))
+STORED = al.tokenizers(public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"), public.PATTERN)
 
 TEXTS = [
     "", " ", "  ", "\n", "a  b", " x", "x ", "a\n b", "a \n b", "a\r b\r\n c", "\t x", "a▁ b", "▁", "a　 b", "don't I'll",
@@ -22,15 +24,22 @@ def own():
     return al.Aligner(STORED)
 
 
-def plainly(own, text):
-    """Groups of a whole text from the set of shared ends."""
-    if not text:
-        return None
+def ends_of(own, text):
+    """Ids and ends in bytes of both tokenizers over a space and a whole text; none if one does not give it back."""
     a = own.first.encode(" " + text, add_special_tokens=False).ids
     b = own.second.encode(text, num_threads=1)
-    ends = own.ends(" " + text, a, b)
-    if ends is None:
+    parts = [own.first_bytes[i] for i in a], [own.second_bytes[i] for i in b]
+    if any(b"".join(p) != (" " + text).encode() for p in parts):
         return None
+    return a, b, *(list(accumulate(map(len, p))) for p in parts)
+
+
+def plainly(own, text):
+    """Groups of a whole text from the set of shared ends."""
+    told = ends_of(own, text) if text else None
+    if told is None:
+        return None
+    a, b, *ends = told
     groups, i, j = [], 0, 0
     for cut in sorted(set(ends[0]) & set(ends[1])):
         i2, j2 = ends[0].index(cut, i) + 1, ends[1].index(cut, j) + 1
@@ -50,43 +59,53 @@ def random_texts(n):
         yield "".join(chr(rng.choice(rng.choice(pools))) for _ in range(rng.randint(1, 40)))
 
 
+def divided(a, b):
+    a, b, zero = np.array(a), np.array(b), np.zeros(1, np.int64)
+    last_a, last_b = al.shared_cuts(a, b, zero, np.array([len(a)]), zero, np.array([len(b)]))
+    return a[last_a].tolist(), b[last_b].tolist()
+
+
 def test_division_finds_every_shared_end():
     rng = random.Random(5)
     for _ in range(500):
         size = rng.randint(1, 60)
         a, b = (sorted({size, *rng.sample(range(1, size + 1), rng.randint(1, size))}) for _ in range(2))
-        found = list(al.leaves(a, b))
-        assert [a[g[1] - 1] for g in found] == sorted(set(a) & set(b)) == [b[g[3] - 1] for g in found]
-        assert [g[0] for g in found] == [0, *[g[1] for g in found[:-1]]]
-    assert list(al.leaves([], [])) == []
+        assert divided(a, b) == (sorted(set(a) & set(b)),) * 2
+    # Several intervals at once.
+    a, b = np.array([2, 3, 7, 9, 10, 14]), np.array([1, 3, 7, 8, 9, 11, 14])
+    cuts = al.shared_cuts(a, b, np.array([0, 2]), np.array([2, 6]), np.array([0, 2]), np.array([2, 7]))
+    assert a[cuts[0]].tolist() == b[cuts[1]].tolist() == [3, 7, 9, 14]
 
 
 def test_long_interval_without_cuts():
-    n = 60_000
-    a, b = [*range(2, 2 * n, 2), 4 * n], [*range(1, 2 * n, 2), 4 * n]
+    n = 600_000
     began = time.time()
-    assert list(al.leaves(a, b)) == [(0, len(a), 0, len(b))]
+    assert divided([*range(2, 2 * n, 2), 4 * n], [*range(1, 2 * n, 2), 4 * n]) == ([4 * n], [4 * n])
     same = list(range(1, n))
-    assert len(list(al.leaves(same, same))) == n - 1
+    assert divided(same, same) == (same, same)
     assert time.time() - began < 20
 
 
 def test_groups_equal_the_whole_text(own):
-    for text in [*TEXTS, *random_texts(800)]:
-        want, got = plainly(own, text), own.pieces(text)
-        assert (want is None) == (got is None), ascii(text)
+    texts = [*TEXTS, *random_texts(800)]
+    known = [own.ids(text) for text in texts]
+    found = iter(own.shown(own.align([p for p in known if p is not None])))
+    for text, pieces in zip(texts, known):
+        want = plainly(own, text)
+        assert (want is None) == (pieces is None), ascii(text)
         if want is not None:
-            assert ";".join(p[5] for p in got) == shown(want), ascii(text)
+            assert next(found).decode() == shown(want), ascii(text)
             assert [(x, y) for _, _, x, y in own.groups(text)] == want
             assert own.groups(text)[-1][1] == len((" " + text).encode())
+            assert [g[0] for g in own.groups(text)] == [0, *[g[1] for g in own.groups(text)[:-1]]]
 
 
-def test_known_pieces_are_bounded(own, monkeypatch):
-    monkeypatch.setattr(al, "CACHED_PIECES", 2)
-    other = al.Aligner(STORED)
-    for text in ["one two three four", "five six one", "w" * 100]:
-        assert [p[5] for p in other.pieces(text)] == [p[5] for p in own.pieces(text)]
-    assert " " + "w" * 100 not in other.known
+def test_both_libraries_give_the_same_ids(own):
+    assert own.ranked is not None
+    for text in [*TEXTS, *random_texts(300), "a" + " " * 30_000 + "b", "\n" * 12_000]:
+        assert own._first_ids(text) == own.first.encode(text, add_special_tokens=False).ids
+    blank = own.ids("x" + " " * 1_500_000)
+    assert blank is None or sum(own.first_sizes[blank[0]]) == 1_500_002
 
 
 def expected(own, texts):
@@ -126,7 +145,7 @@ def test_large_groups_are_counted_by_id(spark, own, monkeypatch):
     texts = ["日本語の文です" * 30, "naïve ﷽﷽﷽ x", "the"]
     other = al.Aligner(STORED)
     for text in texts:
-        keys, times = al.links_of(other.pieces(text))
+        keys, times = other.links(other.align([other.ids(text)]))[0]
         links = Counter(x * STORED.width() + y for left, right in plainly(own, text) for x in left for y in right)
         assert dict(zip(keys.tolist(), times.tolist())) == links
 
