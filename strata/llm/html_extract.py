@@ -14,7 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import defaultdict, deque
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -67,7 +67,8 @@ CONTENT_NAMES = re.compile(
 LAYOUT_NAMES = re.compile(r"(?<![a-z])(?:has|have|no|non|not|with|without|show|hide|overflow)(?![a-z]).*")
 AWAY_WORDS = re.compile(r"©|\bcopyright\b|\ball rights reserved\b|\bcookies?\b|\bprivacy policy\b|\bsubscribe\b|\blog ?in\b|\bsign up\b", re.I)
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<!--|<[!?/]|<(?=[a-zA-Z])""")
+_MARK = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)|<!--|<[!?/]")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(\bhidden\b)""")
 
 # Weights of the classifier: log odds of content.
@@ -169,6 +170,9 @@ def blocks(page: str) -> list[Block]:
     stack: list[Element] = []
     current: Block | None = None
     boxes: list[Box] = []
+    # Places in the stack by tag, and of the containers, so that no search goes through all open elements.
+    places: dict[str, list[int]] = defaultdict(list)
+    scopes: list[int] = []
     links = 0
     head = 0
 
@@ -200,14 +204,18 @@ def blocks(page: str) -> list[Block]:
         for element in stack[place:]:
             links -= element.tag == "a"
             head -= element.tag == "head"
+            places[element.tag].pop()
+            if element.tag in SCOPES:
+                scopes.pop()
         del stack[place:]
 
     def end_head():
-        close(next(place for place, element in enumerate(stack) if element.tag == "head"))
+        close(places["head"][0])
 
     at, end = 0, len(page)
+    open_quotes: set[int] = set()
     while at < end:
-        found = _TAG.search(page, at)
+        found = _MARK.search(page, at)
         if found is None:
             add(page[at:])
             break
@@ -222,21 +230,20 @@ def blocks(page: str) -> list[Block]:
             stop = page.find(">", at)
             at = end if stop < 0 else stop + 1
             continue
-        if whole == "<":  # a tag that the page's end cuts off
+        stop = _tag_end(page, at, open_quotes)
+        if stop < 0:  # a tag that the page's end cuts off
             break
-        closing, tag = found[1] or found[4], (found[2] or found[5]).lower()
-        attributes = found[3] or found[6] or ""
+        closing, tag, attributes = found[1], found[2].lower(), page[at:stop]
+        at = stop + 1
         if tag in BLOCKS:
             finish()
         elif tag == "br":
             add(" ")
         if closing:
-            for place in range(len(stack) - 1, -1, -1):
-                if stack[place].tag == tag:
-                    close(place)
-                    break
-                if tag not in BLOCKS and stack[place].tag in SCOPES:
-                    break
+            # A block's end closes what is open in it, another element's end stays within its container.
+            innermost = places[tag][-1] if places[tag] else -1
+            if innermost >= 0 and (tag in BLOCKS or not scopes or innermost >= scopes[-1]):
+                close(innermost)
             continue
         if head and tag not in HEAD_TAGS:
             end_head()
@@ -249,15 +256,18 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID or (tag == "head" and head):
             continue
         if tag in BLOCKS and tag not in ("html", "body"):
-            _imply(stack, close, {"p"})
+            _imply(places, scopes, close, {"p"})
         if tag in ENDS:
-            _imply(stack, close, set(ENDS[tag]))
+            _imply(places, scopes, close, set(ENDS[tag]))
         parent = stack[-1] if stack else None
         place, box = _place(tag, attributes, parent)
         if box is not None and (parent is None or box is not parent.box):
             if box.above is not None and (parent is None or box.above is not parent.box):
                 boxes.append(box.above)  # a form with a boilerplate name
             boxes.append(box)
+        places[tag].append(len(stack))
+        if tag in SCOPES:
+            scopes.append(len(stack))
         stack.append(Element(tag, len(stack), place, parent, box))
         links += tag == "a"
         head += tag == "head"
@@ -308,14 +318,35 @@ def _raw_end(tag: str) -> re.Pattern:
     return _RAW_ENDS[tag]
 
 
-def _imply(stack: list[Element], close, ended: set[str]) -> None:
+def _tag_end(page: str, at: int, open_quotes: set[int]) -> int:
+    """The place of the ``>`` that ends a tag, reading on after its name at ``at``.
+
+    Quoted values may hold a ``>``.  If a quote is never closed, the next ``>``
+    ends the tag; -1 if there is none.  ``open_quotes`` keeps the quotes from
+    which reading on has failed, so that no part of a page is read again and
+    again.
+    """
+    first, passed = at, []
+    while True:
+        found = _STOP.search(page, at)
+        if found is None or found.start() in open_quotes:
+            break
+        if found.group() == ">":
+            return found.start()
+        passed.append(found.start())
+        closed = page.find(found.group(), found.end())
+        if closed < 0:
+            break
+        at = closed + 1
+    open_quotes.update(passed)
+    return page.find(">", first)
+
+
+def _imply(places: dict[str, list[int]], scopes: list[int], close, ended: set[str]) -> None:
     """Close the innermost open element of a kind in ``ended``, unless a container lies between."""
-    for place in range(len(stack) - 1, -1, -1):
-        if stack[place].tag in ended:
-            close(place)
-            return
-        if stack[place].tag in SCOPES:
-            return
+    place = max((places[tag][-1] for tag in ended if places.get(tag)), default=-1)
+    if place >= 0 and (not scopes or place >= scopes[-1]):
+        close(place)
 
 
 def log_odds(block: Block) -> float:

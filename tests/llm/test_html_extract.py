@@ -1,5 +1,6 @@
 import html
 import re
+import time
 from itertools import product
 
 import numpy as np
@@ -132,3 +133,20 @@ def test_text_ends_an_open_head():
     assert h.main_text(f"<head><title>T</title> {P}<p>{P}") == f"{P}\n\n{P}"
     long = f"{P} {P} {P}"
     assert h.main_text(f"<div id=content><p>{P}</p></div><form><p>{long}</p>{CONTROL}</form>") == f"{P}\n\n{long}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<b>" * 200_000 + "</i>" * 200_000,
+        "<a'" * 200_000,
+        "<a \"'>" * 200_001,
+        "<a href='" + '<b>"x' * 100_000,
+        "<p><div>" + "<b>" * 100_000 + "<li>" * 100_000,
+        "<div>" * 100_000 + "text" + "</div>" * 100_000,
+    ],
+)
+def test_one_hostile_page_takes_linear_time(page):
+    began = time.time()
+    h.main_text(page)
+    assert time.time() - began < 20
