@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions import keys as K
+from strata.sources import ranges
 
 DOCUMENT = "id string, contents string"
 QUERY = "qid string, query string"
@@ -117,22 +118,15 @@ def trec_documents(spark: SparkSession, path, glob: str = "*.trec", dates: list[
     return rows if not dates else rows.where(F.col("date").isin(dates))
 
 
-def trec_documents_misnamed(spark: SparkSession, path, glob: str = "*.jsonl.gz") -> DataFrame:
+def trec_documents_misnamed(
+    spark: SparkSession, path, glob: str = "*.jsonl.gz", range_bytes: int = ranges.RANGE_BYTES
+) -> DataFrame:
     """Plain-text TREC files under a compressed file's name.
 
-    Bytes are read without a codec; a file is one row, so files must stay
-    below about 1 GB."""
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(path)
-    )
-    records = raw.select(
-        F.explode(F.split(F.decode("content", "UTF-8"), "</DOC>")).alias("value"),
-        F.regexp_extract("path", MONTH_FOLDER, 1).alias("date"),
-    )
-    return parse_trec(records)
+    Bytes are read without a codec, by ranges, so one large file is spread over
+    many tasks."""
+    raw = ranges.read_records(spark, path, glob, "</DOC>", range_bytes=range_bytes)
+    return parse_trec(raw.select("value", F.regexp_extract("path", MONTH_FOLDER, 1).alias("date")))
 
 
 def trec_slices(spark: SparkSession, root: str, dates: list[str] | None = None) -> list[str]:
@@ -218,16 +212,28 @@ def parquet_roots(spark: SparkSession, *roots: str) -> DataFrame:
     return spark.read.parquet(*roots)
 
 
+# Where a record of a JSON array starts.  Inside a string the quote would be escaped, so this is no text.
+JSON_RECORD = r'\{\s{0,64}"(?:id|contents)"'
+
+
+def json_array_documents(spark: SparkSession, path, glob: str = "*.json", most: int = 0, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
+    """``file, start, pos, docid, contents`` of files that hold one JSON array of documents.
+
+    The arrays are read by byte ranges, so files may have any size.  ``start``
+    and ``pos`` order the records of a file; with ``most`` only its first records
+    are read.  TREC folders and URL lists are skipped.
+    """
+    raw = ranges.read_records(
+        spark, path, glob, JSON_RECORD, at_match=True, range_bytes=range_bytes, most=most, skip=r"(?i:trec)|urls\.json"
+    )
+    # What stands between two records is cut off.
+    record = F.from_json(F.regexp_replace("value", r"[\s,\]]+$", ""), DOCUMENT)
+    rows = raw.select(F.col("path").alias("file"), "start", "pos", record.alias("r"))
+    return rows.select("file", "start", "pos", F.col("r.id").alias("docid"), "r.contents")
+
+
 def dev_sample(spark: SparkSession, path, n: int = 10) -> DataFrame:
-    """First ``n`` records of every JSON array file, in file order.
+    """First ``n`` records of every JSON array file, in file order; no more of a file is read.
 
     TREC folders and URL lists are skipped."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(
-        path, wholetext=True
-    )
-    file = F.col("_metadata.file_path")
-    records = F.from_json("value", f"array<struct<{DOCUMENT.replace(' string', ':string')}>>")
-    rows = raw.where(~F.lower(file).rlike("trec") & ~file.contains("urls.json")).select(
-        file.alias("file"), F.posexplode(F.slice(records, 1, n)).alias("pos", "r")
-    )
-    return rows.select("file", "pos", F.col("r.id").alias("docid"), "r.contents")
+    return json_array_documents(spark, path, most=n).drop("start")
