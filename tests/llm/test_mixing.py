@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from strata.llm import mixing
 
@@ -64,3 +65,24 @@ def test_small_and_empty_tables(spark):
     assert [(r.target, r.taken) for r in mixing.mix(one).collect()] == [(6.0, 8)]
     skewed = spark.createDataFrame([(1, "a " * 50_000, "x"), (2, "b", "y")], "doc_id long, text string, source string")
     assert sum(r.taken for r in mixing.mix(skewed).collect()) <= 100_002
+
+
+def test_null_repeated_and_equal_ids_come_near_their_targets(spark):
+    rows = [(i, f"text {i} of ten words in all and no more", "a") for i in range(300)]
+    rows += [(None, f"text {i} of ten words in all and no more", "b") for i in range(300)]
+    rows += [(7, f"text {i} of ten words in all and no more", "c") for i in range(300)]
+    rows += [(8, "always the same text of nine words or so", "d")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("__times", F.lit(1)).repartition(6)
+    taken, target = {}, {}
+    for r in mixing.mix(docs).collect():
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+    out = mixing.repeated(docs)
+    assert out.columns == docs.columns
+    kept = {}
+    for r in out.collect():
+        kept[r.source] = kept.get(r.source, 0) + size(r.text)
+    assert kept == taken
+    for source, words in taken.items():
+        assert abs(words - target[source]) <= 10, source
+    assert mixing.repeated(docs.limit(0)).count() == 0
