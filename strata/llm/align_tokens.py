@@ -171,17 +171,20 @@ class Aligner:
         return bytes([int(piece[1:-1], 16)]) if self.second.is_byte(i) else piece.replace(SPACE_SIGN, " ").encode()
 
     def _first_ids(self, text: str) -> list[int]:
-        if self.ranked is None or _LONG_BLANK.search(text):
+        if self.ranked is None or (len(text) > 10_000 and _LONG_BLANK.search(text)):
             return self.first.encode(text, add_special_tokens=False).ids
         return self.ranked.encode_ordinary(text)
 
+    def _first_told(self, ids: list[int]) -> bytes:
+        return self.ranked.decode_bytes(ids) if self.ranked else b"".join(map(self.first_bytes.__getitem__, ids))
+
     def ids(self, text: str) -> Ids:
         """Ids of a space and ``text``; the second tokenizer adds the space."""
         if not text:
             return None
         a, b = self._first_ids(" " + text), self.second.encode(text, num_threads=1)
         told = (" " + text).encode()
-        whole = b"".join(map(self.first_bytes.__getitem__, a)) == told == b"".join(map(self.second_bytes.__getitem__, b))
+        whole = self._first_told(a) == told == b"".join(map(self.second_bytes.__getitem__, b))
         return (a, b) if whole else None
 
     def align(self, texts: list[tuple[list[int], list[int]]]) -> Aligned:
