@@ -94,12 +94,6 @@ def op7_bpe(spark, sf_dir):
 
 @query("op8_pii", pii.report_sql())
 def op8_pii(spark, sf_dir):
-    """Personal data in every text."""
-    return pii.report(_table(spark, sf_dir, "documents")).drop("scores")
-
-
-@query("op8_pii_scores")
-def op8_pii_scores(spark, sf_dir):
     """Personal data in every text, with the scores that the context words adjust."""
     return pii.report(_table(spark, sf_dir, "documents"))
 
