@@ -159,6 +159,18 @@ def metric_change(scores: DataFrame, base: str, other: str, on: list[str], metri
     )
 
 
+def as_maps(judged: DataFrame, keys: list[str]) -> DataFrame:
+    """Judged run rows as two maps per query: ``keys``, scores (docid -> score), rels (docid -> rel).
+
+    A map has at most the rows that the search kept for its query.  A docid that
+    stands twice in a query keeps its highest score."""
+    each = judged.groupBy(*keys, "docid").agg(F.max("score").alias("score"), F.max("rel").alias("rel"))
+    return each.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("docid", "score"))).alias("scores"),
+        F.map_from_entries(F.collect_list(F.struct("docid", "rel"))).alias("rels"),
+    )
+
+
 def recovered(summaries: DataFrame, best: str, worse: str, reranked: str, metric: str) -> DataFrame:
     """Share of the loss between two arms that a third arm wins back."""
     def arm(name: str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import text as X
 from strata.functions import vectors as V
+from strata.session import broadcast_if_small
 
 
 def _r(c, digits: int = 6) -> Column:
@@ -484,3 +485,15 @@ def expansion_coverage(queries: DataFrame, expansions: DataFrame) -> DataFrame:
         _r(F.avg("e")).alias("avg_expanded_words"),
         F.max("e").cast("bigint").alias("max_expanded_words"),
     )
+
+
+# --- logs -----------------------------------------------------------------------------
+
+
+def elapsed_minutes(events: DataFrame, group: list[str], at: str, into: str = "minutes") -> DataFrame:
+    """Add the minutes since the first event of the group; ``at`` is in seconds.
+
+    First events are one row per group, found before events are moved."""
+    first = events.groupBy(*group).agg(F.min(at).alias("__first"))
+    joined = events.join(broadcast_if_small(first), group)
+    return joined.withColumn(into, (F.col(at) - F.col("__first")) / 60).drop("__first")

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from strata.functions import keys as K
 from strata.functions import text as X
-from strata.operators import clean, ranking, stats
+from strata.operators import clean, ranking, sketches, stats
 from strata.plans import tables as T
 from strata.plans.registry import query
-from strata.session import written
+from strata.session import scratch_path, written
+from strata.sources import readers
 
 COUNTS = f"""{T.DOCS},
 counts AS (SELECT date, split, language, docid, len({T.WORDS.format('contents')}) AS tokens,
@@ -540,6 +541,73 @@ def json_events(spark, sf):
     )
 
 
+def _text_sketches(spark, sf):
+    """Stored sketches of the slices' texts; half of the documents arrive later."""
+    path = scratch_path(spark, "sketches")
+    docs = T.documents(spark, sf)
+    for half in (0, 1):
+        part = docs.where(F.crc32("docid") % 2 == half)
+        sketches.add_slices(part, path, ["date"], F.sha2("contents", 256), F.length("contents"))
+    return sketches.merged(sketches.read(spark, path), ["date"])
+
+
+@query(
+    "sketch_quantiles",
+    "A19 A20",
+    f"""WITH {T.DOCS} SELECT date, count(*) AS n, count(DISTINCT contents) AS n_distinct,
+    quantile_disc(length(contents), 0.05)::BIGINT AS p05, quantile_disc(length(contents), 0.5)::BIGINT AS p50,
+    quantile_disc(length(contents), 0.95)::BIGINT AS p95 FROM docs GROUP BY date""",
+)
+def sketch_quantiles(spark, sf):
+    """Exact for slices of up to 200 documents, then within the bounds of the sketches."""
+    return sketches.quantiles(_text_sketches(spark, sf), ["date"], [0.05, 0.5, 0.95])
+
+
+@query(
+    "sketch_overlap",
+    "W10 A20",
+    f"""WITH {T.LOG}, dates AS (SELECT date, lead(date) OVER (ORDER BY date) AS next FROM (SELECT DISTINCT date FROM log)),
+    sides AS (SELECT d.date, d.next, l.qid, l.date = d.date AS own FROM dates d JOIN log l ON l.date IN (d.date, d.next)),
+    keys AS (SELECT date, next, qid, bool_or(own) AS a, bool_or(NOT own) AS b FROM sides WHERE next IS NOT NULL GROUP BY ALL)
+    SELECT date, next, count(*) FILTER (a AND b) AS n_both, count(*) AS n_either, round(count(*) FILTER (a AND b) / count(*), 6) AS jaccard
+    FROM keys GROUP BY date, next""",
+)
+def sketch_overlap(spark, sf):
+    """Queries that neighbouring slices share, from stored sketches; exact for up to 4096 queries."""
+    path = scratch_path(spark, "query-sketches")
+    sketches.add_slices(T.query_log(spark, sf), path, ["date"], F.col("qid"), F.length("query"))
+    return sketches.overlaps(sketches.merged(sketches.read(spark, path), ["date"]), "date")
+
+
+@query(
+    "event_log",
+    "S17 P14 D20",
+    """SELECT event_type AS product_name, count(*) AS n_events, count(user_id) AS n_processes,
+    round(max(s - s0) / 60.0, 6) AS last_minute, round(avg(s - s0) / 60.0, 4) AS mean_minute
+    FROM (SELECT event_type, user_id, floor(epoch(ts))::BIGINT AS s, min(floor(epoch(ts))::BIGINT) OVER (PARTITION BY event_type) AS s0 FROM events)
+    GROUP BY event_type""",
+)
+def event_log(spark, sf):
+    """A nested monitoring log: its processes, and minutes since a product's first event."""
+    path = scratch_path(spark, "event-log")
+    process = F.struct(F.col("user_id").cast("string").alias("pid"), F.lit("job").alias("process_name"))
+    gpu = F.struct(
+        F.col("event_type").alias("product_name"),
+        F.struct(F.col("value").cast("string").alias("gpu_util")).alias("utilization"),
+        F.struct(F.array(process).alias("process_info")).alias("processes"),
+    )
+    log = F.struct(F.date_format("ts", "EEE MMM d HH:mm:ss yyyy").alias("timestamp"), gpu.alias("gpu"))
+    T.table(spark, sf, "events").select(F.to_json(F.struct(log.alias("nvidia_smi_log")))).write.text(path)
+    events = stats.elapsed_minutes(readers.gpu_log(spark, path), ["product_name"], "timestamp")
+    rows = clean.explode_records(events, "process_info")
+    return rows.groupBy("product_name").agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.count("pid").alias("n_processes"),
+        F.round(F.max("minutes"), 6).alias("last_minute"),
+        F.round(F.avg("minutes"), 4).alias("mean_minute"),
+    )
+
+
 @query(
     "longest_documents",
     "O4",

@@ -73,6 +73,29 @@ def judge_run(spark, sf):
     return rows.select("date", "qid", "docid", "score", "rel")
 
 
+@query(
+    "run_maps",
+    "J1 E1",
+    f"""WITH {JUDGED}, judged AS (SELECT date, qid, docid, score, coalesce(rel, 0) AS rel FROM run LEFT JOIN qrels USING (date, qid, docid))
+    SELECT date, qid, count(*) AS n_hits, count(*) FILTER (rel > 0) AS n_relevant, round(coalesce(sum(score) FILTER (rel > 0), 0), 4) AS relevant_score,
+    round(max(score), 6) AS best, min(docid) AS first_docid FROM judged GROUP BY date, qid""",
+)
+def run_maps(spark, sf):
+    """Runs and judgements as maps by docid, asked by key."""
+    judged = evaluate.judge(T.run(spark, sf), T.stored_qrels(spark, sf), ON)
+    maps = evaluate.as_maps(judged.withColumn("docid", F.concat(F.lit("doc"), "docid")), KEYS)
+    relevant = F.map_keys(F.map_filter("rels", lambda _, rel: rel > 0))
+    found = F.aggregate(relevant, F.lit(0.0), lambda total, docid: total + F.element_at("scores", docid))
+    return maps.select(
+        *KEYS,
+        F.size("scores").cast("bigint").alias("n_hits"),
+        F.size(relevant).cast("bigint").alias("n_relevant"),
+        F.round(found, 4).alias("relevant_score"),
+        F.round(F.array_max(F.map_values("scores")), 6).alias("best"),
+        F.array_min(F.map_keys("scores")).alias("first_docid"),
+    )
+
+
 @query("ndcg_map", "E1 D16", f"WITH {SCORES} SELECT * FROM scores")
 def ndcg_map(spark, sf):
     return scores(spark, sf)
@@ -149,6 +172,19 @@ def fusion_scores(spark, sf):
     return evaluate.summary(fused_scores(spark, sf), ["arm"])
 
 
+@query(
+    "recovered_loss",
+    "E9",
+    f"""WITH {FUSED}, means AS ({summary_sql('fscores', 'arm')}), arms AS (SELECT max(ndcg_cut_10) FILTER (arm = 'bm25') AS best,
+    max(ndcg_cut_10) FILTER (arm = 'topic') AS worse, max(ndcg_cut_10) FILTER (arm = 'fusion_0.5') AS again FROM means)
+    SELECT round(best - worse, 6) AS loss, round((again - worse) / nullif(best - worse, 0), 6) AS recovered FROM arms""",
+)
+def recovered_loss(spark, sf):
+    """What topics lose against words, and the share that their fusion wins back."""
+    means = evaluate.summary(fused_scores(spark, sf), ["arm"])
+    return evaluate.recovered(means, "bm25", "topic", "fusion_0.5", "ndcg_cut_10")
+
+
 @query(
     "scores_by_date",
     "A6 E4",

@@ -16,7 +16,7 @@ from strata.plans import tables as T
 from strata.plans.io_queries import HASHED, hashed
 from strata.plans.registry import query
 from strata.session import scratch_path
-from strata.sources import readers, sinks
+from strata.sources import collections, readers, sinks
 from strata.sources.collections import TestCollection, TrainCollection
 
 # Documents whose numbers share all but the last two digits make a file.
@@ -192,3 +192,40 @@ def arm_throughput(spark, sf):
 def seed_cells(spark, sf):
     rows = stats.seed_cells(results(spark, sf), "value")
     return rows.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
+@query(
+    "web_queries",
+    "S12",
+    f"""WITH {T.DOCS}, {T.POSED}, {T.QRELS}, dates AS (SELECT DISTINCT date FROM qrels)
+    SELECT date, qid, docid, rel, md5(regexp_replace(query, '\\s+', ' ', 'g')) AS query_hash
+    FROM qrels JOIN posed USING (qid)""",
+)
+def web_queries(spark, sf):
+    """Queries and judgements below two roots; the month comes from a file's and a folder's name."""
+    queries, judged = scratch_path(spark, "web"), scratch_path(spark, "web-qrels")
+    months = T.stored_qrels(spark, sf).select("date", "qid").distinct()
+    line = F.concat_ws("\t", "qid", F.regexp_replace("query", r"\s+", " "))
+    posed = months.join(T.queries(spark, sf).select("qid", line.alias("value")), "qid")
+    posed.select("value", F.concat("date", F.lit("_queries")).alias("m")).repartition("m").write.partitionBy("m").text(f"{queries}/raw")
+    _month_files(spark, f"{queries}/raw", f"{queries}/queries")
+    rows = T.stored_qrels(spark, sf).select(
+        F.concat("date", F.lit("_fr")).alias("month"),
+        F.concat_ws(" ", "qid", F.lit("0"), "docid", F.col("rel").cast("string")).alias("value"),
+    )
+    rows.repartition("month").write.partitionBy("month").text(judged)
+    collection = collections.TrecCollection(spark, queries)
+    rels = collection.qrels_from(judged, "*.txt").select("date", "qid", "docid", "rel")
+    texts = collection.queries.select("date", "qid", F.md5("query").alias("query_hash"))
+    return rels.join(texts, ["date", "qid"])
+
+
+def _month_files(spark, source: str, target: str) -> None:
+    """Files below folders ``m=<name>`` as files ``<name>.txt`` of one folder, as the collection has them."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    pattern = hadoop(f"{source}/m=*/part-*")
+    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop(target))
+    for status in files.globStatus(pattern):
+        old = status.getPath()
+        files.rename(old, hadoop(f"{target}/{old.getParent().getName()[2:]}.txt"))

@@ -142,9 +142,9 @@ class TrecCollection(Collection):
     def qrels(self) -> DataFrame | None:
         return self.qrels_from(f"{self.path}/qrels")
 
-    def qrels_from(self, root: str) -> DataFrame:
-        """Judgements ``<month>[_fr]/qrels_processed.txt`` below any root."""
-        rows = readers.qrels(self.spark, f"{root}/*/qrels_processed.txt")
+    def qrels_from(self, root: str, name: str = "qrels_processed.txt") -> DataFrame:
+        """Judgements ``<month>[_fr]/<name>`` below any root."""
+        rows = readers.qrels(self.spark, f"{root}/*/{name}")
         return self._tag(rows if not self.dates else rows.where(F.col("date").isin(self.dates)))
 
     def to_parquet(self, path: str, qrels_root: str | None = None) -> None:
