@@ -339,9 +339,14 @@ def hits_per_query(run: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def score_by_rank(run: DataFrame, ranks: list[int] | None = None) -> DataFrame:
-    """Score mean and median by 0-based rank, optionally at fixed ranks only."""
+    """Score mean and median by 0-based rank, optionally at fixed ranks only.
+
+    Scores have six digits; the mean is that of whole millionths, rounded half up,
+    so it does not depend on the order of the rows."""
     rows = run if ranks is None else run.where(F.col("rank").isin(ranks))
-    means = rows.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("score")).alias("mean_score"))
+    millionths = F.sum(F.round(F.col("score") * 1_000_000).cast("bigint"))
+    sums = rows.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), millionths.alias("__sum"))
+    means = sums.select("rank", "n", (F.expr("(2 * __sum + n) div (2 * n)") / 1_000_000).alias("mean_score"))
     middle = medians(rows, ["rank"], "score", "median_score").withColumn("median_score", _r(F.col("median_score")))
     return means.join(middle, "rank")
 
