@@ -5,9 +5,10 @@ space.  Its directory starts with one bucket and doubles while a bucket holds
 more keys than fit: a full bucket is split by the next bit of the key, the
 others keep several directory pointers.  Copies share a key and are counted
 before anything is moved, so a bucket holds a key once, however many copies
-there are.  Owners of bucket ranges then read the texts whose key occurs more
-than once and compare them byte by byte; texts that differ under one key are
-chained below it as groups of their own.
+there are.  Texts whose key occurs more than once are then read again and
+compared byte by byte; texts that differ under one key are chained below it as
+groups of their own.  Spark deals these chains by the hash of bucket, key and
+text; the directory does not place rows.
 """
 
 from __future__ import annotations
@@ -124,7 +125,13 @@ def exact_groups(docs: DataFrame, capacity: int = BUCKET_KEYS) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, capacity: int = BUCKET_KEYS) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group, with all their columns."""
+    """The rows of ``docs`` that stay, one of each group, with all their columns.
+
+    Null texts are empty, and one of all empty texts stays.  Of rows that repeat
+    doc_id and text one stays; a null doc_id counts as one of its own.  Columns
+    of any names are kept but those that begin with two underscores, which are
+    used here.  An empty table stays empty.
+    """
     text = text_of()
     kept = exact_groups(docs, capacity).where("kept")
     names = kept.groupBy("doc_id", "text_sha256", "n_chars").agg((F.count(F.lit(1)) > 1).alias("__repeated"))

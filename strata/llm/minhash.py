@@ -334,7 +334,8 @@ def near_duplicates(
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
-    Of rows that repeat a doc_id one stays; all rows without doc_id stay.
+    Of rows that repeat a doc_id one stays; all rows without doc_id stay, and so
+    do null and empty texts, which are linked with nothing.
     """
     found = near_duplicates(docs, **options)
     found = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(

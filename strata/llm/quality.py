@@ -226,6 +226,11 @@ def predictions(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = KEEP_SCORE, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``least``, with all their columns."""
+    """The rows of ``docs`` whose score is at least ``least``, with all their columns.
+
+    Null and empty texts have the score of a document without words; rows that
+    repeat stay or go together; an empty table stays empty.  The name ``__quality``
+    is used here.
+    """
     scored = with_scores(docs, fit(docs, labels, "quality", rows), "__quality")
     return scored.where(F.col("__quality") >= least).select(*docs.columns)

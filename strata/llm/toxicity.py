@@ -369,7 +369,10 @@ def tagged(docs: DataFrame, model: Model) -> DataFrame:
 def predictions(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """Toxicity of every row of ``docs``: doc_id, held_out, score, predicted, toxic_spans.
 
-    Trained on at most ``rows`` labelled rows outside the held-out fold.
+    Trained on at most ``rows`` labelled rows outside the held-out fold.  Null and
+    empty texts get the score of a text without tokens and no spans; rows that
+    repeat are judged alike; a null doc_id is held out.  Other columns are not
+    read, an empty table gives no rows.
     """
     model = train(sample(docs, labels, "toxic", rows))
     scored = tagged(docs.select("doc_id", "text"), model)
