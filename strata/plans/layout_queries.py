@@ -81,20 +81,10 @@ def dev_sample(spark, sf):
         F.to_json(F.array_sort(F.collect_list(record))).alias("value")
     )
     files.repartition("date", "file").select("date", "value").write.option("maxRecordsPerFile", 1).partitionBy("date").text(path)
-    _json_names(spark, path)
-    rows = readers.dev_sample(spark, path, 3)
+    rows = readers.dev_sample(spark, path, 3, "*.txt")
     return rows.select("pos", "docid", F.md5("contents").alias("text_hash"))
 
 
-def _json_names(spark, root: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    pattern = hadoop(f"{root}/*/*.txt")
-    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in files.globStatus(pattern):
-        old = status.getPath()
-        files.rename(old, hadoop(old.getParent(), old.getName().replace(".txt", ".json")))
-
-
 @query("trec_slices", "S9 S11", f"WITH {T.DOCS} {HASHED} FROM docs WHERE date IN ('2022-07', '2023-01')")
 def trec_slices(spark, sf):
     """Two requested slices of a release; the others are not read."""

@@ -103,7 +103,9 @@ class RangeReader(DataSourceReader):
     def partitions(self):
         # The first records of a file are found from its start; nothing else is read then.
         size = self.size if not self.most else 1 << 62
-        parts = [(p, s, min(s + size, n)) for p, n in self.files for s in range(0, n, size)]
+        # The reader goes into every task: the list of all files stays behind.
+        listed, self.files = self.files, []
+        parts = [(p, s, min(s + size, n)) for p, n in listed for s in range(0, n, size)]
         costs = [OPEN_COST + (0 if self.most else e - s) for _, s, e in parts]
         share = min(self.size, sum(costs) // self.tasks)
         packed, held, cost = [], [], 0
@@ -139,21 +141,19 @@ def files(spark: SparkSession, path: str | list[str], glob: str) -> list[tuple[s
     """Names and sizes of the files below some paths whose name fits ``glob``, in order; hidden ones are left out.
 
     A path may hold wildcards; one that is not there stops the job."""
-    found = []
+    found: dict[str, int] = {}
     for one in [path] if isinstance(path, str) else path:
         root = spark._jvm.org.apache.hadoop.fs.Path(one)
         system = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        there = system.globStatus(root)
-        if not there:
+        if not system.globStatus(root):
             raise FileNotFoundError(one)
-        for top in there:
-            walk = system.listFiles(top.getPath(), True)
-            while walk.hasNext():
-                status = walk.next()
-                name = status.getPath().getName()
-                if fnmatch.fnmatchcase(name, glob) and not name.startswith(("_", ".")) and status.getLen():
-                    found.append((status.getPath().toString(), status.getLen()))
-    return sorted(set(found))
+        # Tasks list the folders; no file is opened for its name and size.
+        told = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(one).select("path", "length").toArrow()
+        for name, size in zip(told["path"].to_pylist(), told["length"].to_pylist()):
+            base = name.rsplit("/", 1)[-1]
+            if fnmatch.fnmatchcase(base, glob) and not base.startswith(("_", ".")) and size:
+                found[name] = size
+    return sorted(found.items())
 
 
 def read_records(

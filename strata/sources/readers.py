@@ -232,8 +232,8 @@ def json_array_documents(spark: SparkSession, path, glob: str = "*.json", most:
     return rows.select("file", "start", "pos", F.col("r.id").alias("docid"), "r.contents")
 
 
-def dev_sample(spark: SparkSession, path, n: int = 10) -> DataFrame:
+def dev_sample(spark: SparkSession, path, n: int = 10, glob: str = "*.json") -> DataFrame:
     """First ``n`` records of every JSON array file, in file order; no more of a file is read.
 
     TREC folders and URL lists are skipped."""
-    return json_array_documents(spark, path, most=n).drop("start")
+    return json_array_documents(spark, path, glob, most=n).drop("start")

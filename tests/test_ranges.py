@@ -79,3 +79,22 @@ def test_arrays_of_any_size(spark, tmp_path):
     assert [(i, c) for _, _, i, c in found] == [(r["id"], r["contents"]) for r in rows]
     first = readers.dev_sample(spark, str(tmp_path), 3).orderBy("pos").collect()
     assert [(r.pos, r.docid) for r in first] == [(0, "d0"), (1, "d1"), (2, "d2")]
+
+
+def test_tasks_do_not_get_the_list_of_files(spark, tmp_path):
+    """A release of very many files: listed without a driver call for each, planned once, left out of the tasks."""
+    import pickle
+
+    (tmp_path / "a").mkdir()
+    for i in range(300):
+        (tmp_path / "a" / f"part-{i:04d}.txt").write_text(json.dumps([{"id": f"d{i}-{j}", "contents": "x"} for j in range(4)]))
+    (tmp_path / "a" / "_SUCCESS").write_text("x")
+    (tmp_path / "a" / "empty.txt").write_text("")
+    found = ranges.files(spark, str(tmp_path), "*.txt")
+    assert [p.rsplit("/", 1)[1] for p, _ in found] == [f"part-{i:04d}.txt" for i in range(300)]
+    options = dict(files=json.dumps(found), pattern="x", at_match="true", range_bytes="1000", most="3", tasks="4")
+    reader = ranges.RangeReader(options)
+    assert sum(len(p.parts) for p in reader.partitions()) == 300
+    assert len(pickle.dumps(reader)) < 1000
+    rows = readers.dev_sample(spark, str(tmp_path), 3, "*.txt")
+    assert rows.count() == 900 and rows.where("pos > 2").isEmpty()
