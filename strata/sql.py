@@ -4,6 +4,10 @@
 index names and creates table functions over them.  Both are plain SQL, so the
 optimizer sees through them: a call costs what the expression costs.
 
+A search adds up scores by blocks of documents: ``attach`` writes the postings once
+more, a row for each term of a block, and a query has one row of sums for each block
+in which it finds something, not one for each document.
+
     strata_tokens(text), strata_index_tokens(text), strata_words(text),
     strata_docid(docid), strata_idf(n_docs, df), strata_bm25(weight, tf, dl, avgdl),
     strata_cosine(a, b), strata_hellinger(a, b), strata_npmi(ab, a, b, total)
@@ -18,7 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strata.functions import text as X
 from strata.functions.words import FRENCH_STOPWORDS
-from strata.operators.retrieval import K1, B, Index
+from strata.operators import scoring
+from strata.operators.retrieval import K1, B, Index, block_postings
+from strata.session import written
 
 
 def _quoted(words: list[str]) -> str:
@@ -60,15 +66,28 @@ def attach(spark: SparkSession, index: Index, documents: DataFrame | None = None
     # Spelt out: a function inside a table function is not resolved where its argument is a column.
     tokens = _scalar()["strata_tokens(t STRING) RETURNS ARRAY<STRING>"]
     asked = f"filter({tokens.replace('coalesce(t,', 'coalesce(query,')}, w -> w NOT IN ({_quoted(FRENCH_STOPWORDS)}))"
-    part = f"qtf * ln(1 + (n_docs - df + 0.5D) / (df + 0.5D)) * tf / (tf + {K1}D * ({1 - B}D + {B}D * dl / avgdl))"
+    blocks = written(block_postings(index), "sql-blocks")
+    blocks.where("term IS NOT NULL").drop("docids").createOrReplaceTempView("strata_blocks")
+    blocks.where("term IS NULL").select("date", "block", "docids").createOrReplaceTempView("strata_block_docs")
+    places = range(scoring.BLOCK_DOCS)
+    sums = ", ".join(f"sum(weight * get(parts{i // scoring.PIECE_DOCS}, {i % scoring.PIECE_DOCS})) AS s{i}" for i in places)
+    pieces = ", ".join(f"b.parts{i}" for i in range(scoring.BLOCK_DOCS // scoring.PIECE_DOCS))
+    found = ", ".join(f"CASE WHEN s{i} > 0 THEN named_struct('s', -round(s{i}, 6), 'place', {i}) END" for i in places)
+    # The best n documents are in the n blocks with the best documents; blocks that are equal in these stay until
+    # their docids are known.  What is broadcast has a row for each query and term, with a weight for each slice.
     spark.sql(
         f"""CREATE OR REPLACE TEMPORARY FUNCTION strata_search(query STRING, n INT)
         RETURNS TABLE(date STRING, docid STRING, score DOUBLE) RETURN
         WITH terms AS (SELECT term, count(*) AS qtf FROM (SELECT explode(t) AS term FROM (SELECT {asked} AS t)) GROUP BY term),
-        scored AS (SELECT p.date, p.docid, round(sum({part}), 6) AS score
-          FROM terms JOIN strata_term_stats t USING (term) JOIN strata_slice_stats s ON s.date = t.date
-          JOIN strata_postings p ON p.date = t.date AND p.term = terms.term GROUP BY p.date, p.docid)
-        SELECT date, docid, score FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, docid) AS r FROM scored) WHERE r <= n"""
+        weighed AS (SELECT t.term, map_from_entries(collect_list(struct(t.date, qtf * ln(1 + (n_docs - df + 0.5D) / (df + 0.5D))))) AS weights
+          FROM terms JOIN strata_term_stats t USING (term) JOIN strata_slice_stats s ON s.date = t.date GROUP BY t.term),
+        held AS (SELECT /*+ BROADCAST(w) */ b.date, b.block, w.weights[b.date] AS weight, {pieces} FROM strata_blocks b JOIN weighed w ON b.term = w.term),
+        summed AS (SELECT date, block, {sums} FROM held GROUP BY date, block),
+        best AS (SELECT date, block, slice(sort_array(array_compact(array({found}))), 1, n) AS hits FROM summed),
+        near AS (SELECT date, block, hits FROM (SELECT *, rank() OVER (PARTITION BY date ORDER BY hits[0].s) AS r FROM best) WHERE r <= n),
+        hit AS (SELECT date, block, inline(hits) FROM near),
+        named AS (SELECT h.date, d.docids[h.place] AS docid, 0.0D - h.s AS score FROM hit h JOIN strata_block_docs d ON h.date = d.date AND h.block = d.block)
+        SELECT date, docid, score FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, docid) AS r FROM named) WHERE r <= n"""
     )
     if documents is not None:
         told = tokens.replace("coalesce(t,", "coalesce(contents,")

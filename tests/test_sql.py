@@ -48,3 +48,27 @@ def test_search_from_sql(spark, docs):
     assert [r.docid for r in one] == ["d4"]
     phrases = {(r.a, r.b): r.n for r in spark.sql("SELECT * FROM strata_phrases(2)").collect()}
     assert phrases == {("red", "apple"): 3}
+
+
+def test_search_from_sql_has_no_row_for_each_pair(spark):
+    """Slices of more documents than a block, with many equal scores, as the search by columns finds them."""
+    words = ["red", "pie", "chat", "lune", "ciel", "soleil", "mer"]
+    rows = [
+        (f"m{i % 2}", f"d{i}", " ".join(w for j, w in enumerate(words) if (i * 7 + j * j) % (j + 2) == 0) + " x" * (i % 3 if i > 250 else 0))
+        for i in range(400)
+    ]
+    many = spark.createDataFrame(rows, "date string, docid string, contents string")
+    index = retrieval.index_of(many)
+    sql.attach(spark, index)
+    blocks = spark.table("strata_blocks")
+    assert blocks.groupBy("date", "term").count().agg(F.max("count")).first()[0] >= 4
+    asked = spark.createDataFrame([("q1", "red pie lune"), ("q2", "chat chat mer"), ("q3", "ciel x"), ("q4", "none")], "qid string, query string")
+    asked.createOrReplaceTempView("many_queries")
+    for n in (3, 70):
+        found = spark.sql(f"SELECT h.date, qid, docid, score FROM many_queries q, LATERAL strata_search(q.query, {n}) h")
+        want = retrieval.search(index, asked, ["date", "qid"], n).select("date", "qid", "docid", "score")
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    # Scores are summed for blocks: no grouping has a query and a document among its keys.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line.split("Aggregate [")[1].split("]")[0] for line in plan.splitlines() if "Aggregate [" in line]
+    assert any("query#" in k and "block#" in k for k in keys) and not any("query#" in k and "docid#" in k for k in keys)
