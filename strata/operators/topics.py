@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import LDA, LocalLDAModel
 from pyspark.ml.feature import (
@@ -18,6 +19,8 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.storagelevel import StorageLevel
 
 from strata.functions import vectors as V
@@ -218,28 +221,40 @@ def sparse_rows(df: DataFrame, keys: list[str], column: str = "features") -> Dat
     # Sparse vectors list their cells; dense ones are numbered first.
     places = F.coalesce(vector["indices"], F.transform(vector["values"], lambda _, i: i))
     cells = F.filter(F.arrays_zip(places.alias("i"), vector["values"].alias("x")), lambda c: c["x"] != 0)
-    held = df.select(*keys, cells.alias("c")).select(*keys, F.col("c.i").alias("idx"), F.col("c.x").alias("val"))
-    sized = held.withColumn("size", F.greatest(V.norm(F.col("val")), F.lit(1e-12)))
-    return sized.select(*keys, "idx", F.transform("val", lambda x: x / F.col("size")).alias("val"))
 
+    def scaled(v):
+        return F.struct(v["c"]["i"].alias("idx"), F.transform(v["c"]["x"], lambda x: x / v["size"]).alias("val"))
 
-def _row_solver():
-    """Function that solves the non-negative weights of one row for a fixed matrix."""
+    def sized(c):
+        return V.let(F.struct(c.alias("c"), F.greatest(V.norm(c["x"]), F.lit(1e-12)).alias("size")), scaled)
 
-    def solve(idx, val, h, gram, steps: int):
-        target = h[:, idx] @ val
-        w = np.full(h.shape[0], 1.0 / h.shape[0])
-        for _ in range(steps):
-            w *= target / (gram @ w + 1e-12)
-        return w
+    # The length is bound to a name: as a column it would move into the lambda, and be summed again for every cell.
+    return df.select(*keys, V.let(cells, sized).alias("r")).select(*keys, "r.idx", "r.val")
+
+
+# Rows whose weights are solved side by side.
+SOLVED = 1024
 
-    return solve
+
+def _solved(idx: pa.ListArray, val: pa.ListArray, h: np.ndarray, gram: np.ndarray, steps: int):
+    """Non-negative weights of the rows of a batch for a fixed matrix, some rows at a time:
+    row of every cell, its term and value, weights, and products with the matrix."""
+    for first in range(0, len(idx), SOLVED):
+        some = idx.slice(first, SOLVED)
+        n, at = len(some), some.flatten().to_numpy()
+        x = val.slice(first, SOLVED).flatten().to_numpy()
+        row = np.repeat(np.arange(n), np.diff(some.offsets.to_numpy()))
+        target = np.stack([np.bincount(row, topic[at] * x, n) for topic in h], axis=1)
+        w = np.full(target.shape, 1.0 / len(h))
+        for _ in range(steps):
+            w *= target / (w @ gram + 1e-12)
+        yield row, at, x, w, target
 
 
 def fit_nmf(rows: DataFrame, k: int, n_terms: int, iterations: int = 20, steps: int = 20, seed: int = 42):
     """Topic-term matrix (k by n_terms) of non-negative weights.
 
-    Each round is one Spark job: tasks solve their rows for the current matrix
+    Each round is one Spark job: tasks solve their rows, many side by side, for the current matrix
     and return the sums that its update needs, reduced per term.  The matrix is
     bounded by ``k`` times the vocabulary size and is shipped with the task.
     """
@@ -248,33 +263,28 @@ def fit_nmf(rows: DataFrame, k: int, n_terms: int, iterations: int = 20, steps:
     h = rng.random((k, n_terms)) + 1e-3
     names = [f"c{i}" for i in range(k)]
     schema = "id int, " + ", ".join(f"{n} double" for n in names)
-    solve = _row_solver()
     cells = rows.select("idx", "val").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for _ in range(iterations):
             shared = spark.sparkContext.broadcast(h)
 
             def partial_sums(batches):
-                import pandas as pd
-
                 matrix = shared.value
                 gram = matrix @ matrix.T
                 top = np.zeros_like(matrix)
                 square = np.zeros((k, k))
                 for batch in batches:
-                    for idx, val in zip(batch["idx"], batch["val"]):
-                        at, x = np.asarray(idx, dtype=int), np.asarray(val, dtype=float)
-                        w = solve(at, x, matrix, gram, steps)
-                        top[:, at] += np.outer(w, x)
-                        square += np.outer(w, w)
+                    for row, at, x, w, _ in _solved(batch.column("idx"), batch.column("val"), matrix, gram, steps):
+                        for topic in range(k):
+                            top[topic] += np.bincount(at, w[row, topic] * x, n_terms)
+                        square += w.T @ w
                 used = np.flatnonzero(top.any(axis=0))
                 ids = np.concatenate([used, -1 - np.arange(k)])
                 block = np.concatenate([top[:, used].T, square])
-                out = pd.DataFrame(block, columns=names)
-                out.insert(0, "id", ids.astype("int32"))
-                yield out
+                columns = [pa.array(ids.astype(np.int32)), *[pa.array(c.copy()) for c in block.T]]
+                yield pa.RecordBatch.from_arrays(columns, ["id", *names])
 
-            sums = cells.mapInPandas(partial_sums, schema).groupBy("id").agg(
+            sums = cells.mapInArrow(partial_sums, schema).groupBy("id").agg(
                 *[F.sum(n).alias(n) for n in names]
             )
             top, square = np.zeros_like(h), np.zeros((k, k))
@@ -294,25 +304,23 @@ def infer_nmf(rows: DataFrame, keys: list[str], h, steps: int = 50) -> DataFrame
     """``keys, highest_topic, theta, error``: row weights for a fitted matrix,
     with the squared reconstruction error of the row."""
     shared = rows.sparkSession.sparkContext.broadcast(np.asarray(h))
-    fields = [f for f in rows.schema.fields if f.name in keys]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    row_weights = _row_solver()
+    told = StructType([*[rows.schema[c] for c in keys], *StructType.fromDDL("theta array<double>, error double").fields])
+    schema = to_arrow_schema(told)
 
     def solve(batches):
         matrix = shared.value
         gram = matrix @ matrix.T
         for batch in batches:
-            thetas, errors = [], []
-            for idx, val in zip(batch["idx"], batch["val"]):
-                at, x = np.asarray(idx, dtype=int), np.asarray(val, dtype=float)
-                w = row_weights(at, x, matrix, gram, steps)
-                thetas.append(w.tolist())
-                errors.append(float(x @ x - 2 * w @ (matrix[:, at] @ x) + w @ gram @ w))
-            out = batch[keys].copy()
-            out["theta"], out["error"] = thetas, errors
-            yield out
-
-    solved = rows.mapInPandas(solve, f"{schema}, theta array<double>, error double")
+            first = 0
+            for row, _, x, w, target in _solved(batch.column("idx"), batch.column("val"), matrix, gram, steps):
+                errors = np.bincount(row, x * x, len(w)) - 2 * (w * target).sum(axis=1) + ((w @ gram) * w).sum(axis=1)
+                ends = pa.array(np.arange(len(w) + 1, dtype=np.int32) * len(matrix))
+                theta = pa.ListArray.from_arrays(ends, pa.array(w.ravel()), type=schema.field("theta").type)
+                held = [batch.column(c).slice(first, len(w)) for c in keys]
+                yield pa.RecordBatch.from_arrays([*held, theta, pa.array(errors)], schema=schema)
+                first += len(w)
+
+    solved = rows.select(*keys, "idx", "val").mapInArrow(solve, told)
     hits = F.aggregate("theta", F.lit(0.0), lambda a, x: a + x)
     return solved.select(*keys, V.dominant(F.col("theta"), hits).alias("highest_topic"), "theta", "error")
 

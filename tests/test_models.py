@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -154,3 +155,33 @@ def test_sparse_rows_of_sparse_and_dense_vectors(spark):
     data = [(1, Vectors.sparse(6, [1, 4], [3.0, 4.0])), (2, Vectors.dense([0.0, 0.0, 5.0, 0.0, 12.0, 0.0])), (3, Vectors.sparse(6, [], []))]
     got = {r["id"]: (r["idx"], r["val"]) for r in topics.sparse_rows(spark.createDataFrame(data, ["id", "features"]), ["id"]).collect()}
     assert got == {1: ([1, 4], [0.6, 0.8]), 2: ([2, 4], [5 / 13, 12 / 13]), 3: ([], [])}
+
+
+def test_long_rows_are_scaled_in_linear_time(spark):
+    """A length that is summed for every cell takes minutes for so many."""
+    n = 40_000
+    data = spark.createDataFrame([(1, Vectors.sparse(n, list(range(n)), [2.0] * n))], ["id", "features"]).localCheckpoint()
+    start = time.monotonic()
+    row = topics.sparse_rows(data, ["id"]).select(F.size("idx"), F.array_max("val")).first()
+    assert row[0] == n and row[1] == pytest.approx(1 / math.sqrt(n))
+    assert time.monotonic() - start < 20
+
+
+def test_nmf_weights_equal_those_of_single_rows(spark):
+    """More rows than are solved side by side, some without cells, against the update of one row."""
+    rng = np.random.default_rng(3)
+    h = rng.random((3, 9))
+    data = []
+    for i in range(topics.SOLVED + 50):
+        at = sorted(rng.choice(9, int(rng.integers(0, 6)), replace=False).tolist())
+        data.append((i, at, rng.random(len(at)).tolist()))
+    rows = spark.createDataFrame(data, "id int, idx array<int>, val array<double>").coalesce(1)
+    got = {r["id"]: r for r in topics.infer_nmf(rows, ["id"], h, steps=7).collect()}
+    assert len(got) == len(data)
+    for i, at, x in data:
+        w = np.full(3, 1 / 3)
+        for _ in range(7):
+            w = w * (h[:, at] @ x) / (h @ h.T @ w + 1e-12)
+        whole = np.zeros(9)
+        whole[at] = x
+        assert np.allclose(got[i]["theta"], w, rtol=1e-9) and got[i]["error"] == pytest.approx(float(((whole - w @ h) ** 2).sum()), abs=1e-9)
