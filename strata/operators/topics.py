@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import LDA, LocalLDAModel
 from pyspark.ml.feature import (
@@ -29,6 +30,18 @@ from strata.operators import clean
 # --- features ----------------------------------------------------------------------
 
 
+def _term_counts(batches):
+    """Rows (term, occurrences, rows that have it) of each batch."""
+    for batch in batches:
+        lists = batch.column(0)
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        coded = lists.flatten().dictionary_encode(null_encoding="encode")
+        code, size = coded.indices.to_numpy(zero_copy_only=False), max(1, len(coded.dictionary))
+        held = np.unique(np.repeat(np.arange(len(lists)), lengths) * size + code) % size
+        counts = [pa.array(np.bincount(c, minlength=len(coded.dictionary))) for c in (code, held)]
+        yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), *counts], ["term", "n", "df"])
+
+
 def fit_vocabulary(
     docs: DataFrame,
     tokens: str = "tokens_phrased",
@@ -42,9 +55,8 @@ def fit_vocabulary(
     of the documents.  ``size`` bounds what reaches the driver."""
     n_docs = docs.count() if min_df < 1 or max_df < 1 else 0
     low, high = (bound if bound >= 1 else bound * n_docs for bound in (min_df, max_df))
-    uses = docs.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("count"))
-    holders = docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = uses.join(holders, "term")
+    counted = docs.select(tokens).mapInArrow(_term_counts, "term string, n bigint, df bigint")
+    terms = counted.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("n").alias("count"), F.sum("df").alias("df"))
     best = terms.where(F.col("df").between(low, high)).orderBy(F.desc("count"), "term").limit(size)
     return CountVectorizerModel.from_vocabulary([r["term"] for r in best.collect()], tokens, "features")
 

@@ -131,3 +131,41 @@ def test_phrases_stay_in_their_slice(spark, bound):
 def test_empty_phrase_table(spark):
     out = phrases.append_phrases(corpus(spark), scored_table(spark, []), ["date", "docid"])
     assert all(r["tokens"] == r["tokens_phrased"] for r in out.collect())
+
+
+def test_known_phrases_are_appended_inside_the_rows(spark):
+    """No row for each pair and no gathering by key: rows without a key keep their phrases, rows without tokens stay."""
+    schema = "date string, docid string, tokens array<string>, n int"
+    data = [("m1", None, ["a", "b"], 1), (None, "d", ["b", "a", "b", "c"], 2), ("m1", "d", None, 3), ("m1", "e", ["c", "a"], 4), ("m1", "f", ["b", None, "c"], 5)]
+    rows = spark.createDataFrame(data, schema).coalesce(1)
+    table = scored_table(spark, [("a", "b", 0.9, 5), ("b", "c", 0.9, 9), ("c", "c", 0.9, 2)])
+    out = phrases.append_phrases(rows, table, ["date", "docid"])
+    assert out.columns == [*rows.columns, "tokens_phrased"]
+    assert {r["n"]: r["tokens_phrased"] for r in out.collect()} == {
+        1: ["a", "b", "a_b"], 2: ["b", "a", "b", "c", "a_b", "b_c"], 3: None, 4: ["c", "a"], 5: ["b", None, "c"],
+    }
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan and "Join" not in plan
+
+
+def test_pairs_and_terms_of_many_batches(spark):
+    """Counts over batches and partitions against brute force; no row for each pair before the counts."""
+    from collections import Counter
+
+    from strata.operators import topics
+
+    words = ["red", "pie", "chat", "lune", "ciel"]
+    data = [[words[(i * j + i) % 5] for j in range(i % 7)] for i in range(2000)]
+    rows = spark.createDataFrame([(d,) for d in [*data, None]], "tokens array<string>").repartition(3)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        counts = phrases.bigram_counts(rows, min_count=2)
+        got = {(r["a"], r["b"]): r["count"] for r in counts.collect()}
+        vocabulary = topics.fit_vocabulary(rows, "tokens", size=3, min_df=2, max_df=5000).vocabulary
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == {p: n for p, n in Counter(p for d in data for p in zip(d, d[1:])).items() if n >= 2}
+    uses = Counter(w for d in data for w in d)
+    assert vocabulary == sorted(uses, key=lambda w: (-uses[w], w))[:3]
+    assert "Generate" not in counts._jdf.queryExecution().optimizedPlan().toString()
