@@ -9,62 +9,86 @@ are dropped that cannot reach it with all that their block still promises.  Late
 tiers look at postings of the remaining documents only, so frequent terms with
 small weights, which have most postings, are scored for few documents.
 
+All this happens bucket by bucket, in one task each (``bounded``); only the best k
+rows of a query and bucket leave it.  A bucket's lower bounds are its own.
+
 The result is the same as that of a search over all matches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from itertools import accumulate
+
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from strata.functions import text as X
+from strata.operators import bounded, scoring
 from strata.operators.ranking import top_k
 from strata.operators.retrieval import K1, B, idf, query_terms
 from strata.operators.segments import Store
-from strata.session import MAX_BROADCAST_ROWS, fits, written
-
-# More than rounded scores and sums in another order can differ.
-SLACK = 1e-5
+from strata.session import MAX_BROADCAST_ROWS, written
 
-# The first pass scores blocks with so many times k documents.
-SEEDS = 4
+SCHEMA = "__bucket int, date string, block int, number int, peak_tfs array<int>, peak_dls array<int>, ats array<int>, tfs array<int>, docid string, dl int, at int"
 
-PLACE = ["segment", "date", "bucket", "block"]
 
+def _bucketed(store: Store, posed: DataFrame, on: list[str], dates: list[str] | None) -> DataFrame:
+    """Living documents, and posting rows of the ``posed`` terms (on, number): a partition for each bucket."""
+    parts = [p for p in store.parts if dates is None or p[1] in dates]
+    first = [0, *accumulate(n for _, _, n in parts)]
+    # One row for each segment and slice.
+    places = store.spark.createDataFrame([(s, d, f) for (s, d, _), f in zip(parts, first)], "segment string, date string, __first int")
+    of = (F.col("__first") + F.col("bucket")).alias("__bucket")
+    rows = store.table("postings", dates).join(F.broadcast(posed), on).join(F.broadcast(places), ["segment", "date"])
+    rows = rows.select(of, "date", "block", "number", F.col("peaks.tf").alias("peak_tfs"), F.col("peaks.dl").alias("peak_dls"), "ats", "tfs")
+    docs = store.documents(dates).join(F.broadcast(places), ["segment", "date"]).select(of, "date", "block", "at", "docid", "dl")
+    both = rows.unionByName(docs, allowMissingColumns=True).select(*StructType.fromDDL(SCHEMA).names)
+    return both.repartitionById(max(1, first[-1]), "__bucket")
 
-def _part(posting: Column, k1: float, b: float) -> Column:
-    """Share of one posting (tf, dl) in a score; it grows with ``tf`` and falls with ``dl``."""
-    length = (1 - b) + F.lit(b) * posting["dl"] / F.col("avgdl")
-    return F.col("weight") * posting["tf"] / (posting["tf"] + F.lit(k1) * length)
 
-
-def _bounds(store: Store, queries: DataFrame, keys: list[str], analyzer, k1, b, dates, max_broadcast) -> DataFrame:
-    """Upper bound and number of documents of every posting row of the queries' terms."""
-    own = [c for c in keys if c != "date" or "date" in queries.columns]
-    terms = query_terms(queries, own, analyzer)
-    stats = store.term_stats(dates).join(F.broadcast(store.slice_stats(dates)), "date")  # one row per slice
-    dated = stats.select("date", "term", "avgdl", idf(F.col("n_docs"), F.col("df")).alias("__idf"))
+def _found(store: Store, terms: DataFrame, own: list[str], rules: bounded.Rules, dates, sums: list) -> DataFrame | None:
+    """The best rows of every query and bucket; ``terms`` of queries fit the driver.  ``sums``, if not None, receives the rows that count postings."""
+    spark = store.spark
     on = ["date", "term"] if "date" in own else ["term"]
-    weighed = dated.join(terms, on).select(*keys, "term", "avgdl", (F.col("qtf") * F.col("__idf")).alias("weight"))
-    weighed = written(weighed, "query-weights")
-    rows = store.table("postings", dates).select(*PLACE, "term", "n", "peaks")
-    small = fits(weighed, max_broadcast)
-    joined = rows.join(F.broadcast(weighed) if small else weighed, ["date", "term"])
-    bound = F.array_max(F.transform("peaks", lambda p: _part(p, k1, b))).alias("bound")
-    return joined.select(*_spot(keys), "term", "n", "weight", "avgdl", bound)
-
-
-def _spot(keys: list[str]) -> list[str]:
-    """Columns of a query and a block."""
-    return [*keys, *[c for c in PLACE if c not in keys]]
-
-
-def _parts(store: Store, wanted: DataFrame, keys: list[str], k1, b, dates, more: list[str]) -> DataFrame:
-    """One row for each posting of the wanted rows (query, block, term): docid, part."""
-    rows = store.table("postings", dates).select(*PLACE, "term", F.transform("docs", lambda d: F.struct(d["docid"], d["tf"], d["dl"])).alias("docs"))
-    joined = rows.join(wanted, [*PLACE, "term"])
-    docs = joined.select(*_spot(keys), *more, "weight", "avgdl", F.explode("docs").alias("d"))
-    return docs.select(*_spot(keys), "d.docid", *more, _part(F.col("d"), k1, b).alias("part"))
+    rows = terms.select(*own, "term", "qtf").toArrow().to_pylist()
+    wanted = terms.select(*on).distinct()
+    stats = store.term_stats(dates, wanted).join(F.broadcast(store.slice_stats(dates)), "date")  # one row per slice
+    weights = stats.select("date", "term", "avgdl", idf(F.col("n_docs"), F.col("df")).alias("idf")).toArrow()
+    if not rows or not len(weights):
+        return None
+    # Queries are numbered within their slice, or within all.
+    numbers: dict = {}
+    asked: dict = {}
+    for row in rows:
+        of = row["date"] if "date" in own else None
+        seen = numbers.setdefault(of, {})
+        number = seen.setdefault(tuple(row[c] for c in own), len(seen))
+        asked.setdefault(of, []).append((number, row["term"], row["qtf"]))
+    posed = {of: scoring.posed_queries(*zip(*told)) for of, told in asked.items()}
+    places = {of: {t: i for i, t in enumerate(p.terms.to_pylist())} for of, p in posed.items()}
+    slices: dict = {}
+    for date, term, avgdl, weight in zip(*[weights[c].to_pylist() for c in weights.column_names]):
+        of = date if "date" in own else None
+        if date not in slices:
+            slices[date] = scoring.Slice(posed[of], np.zeros(len(places[of])), avgdl)
+        slices[date].idf[places[of][term]] = weight
+
+    numbered = [(*([of] if "date" in own else []), t, i) for of, seen in places.items() for t, i in seen.items()]
+    numbered = spark.createDataFrame(numbered, ", ".join([*[f"{c} string" for c in on], "number int"]))
+    schema = StructType.fromDDL("date string, __query int, docid string, score double, all bigint, scored bigint")
+    best = _bucketed(store, numbered, on, dates).mapInArrow(bounded.best_of_bucket(slices, rules, to_arrow_schema(schema)), schema)
+    if sums is not None:
+        best = written(best, "pruned")
+        sums.append(best.agg(F.sum("all").alias("all"), F.sum("scored").alias("scored")).first())
+    # One row for each query.
+    told = [(*row, i) for seen in numbers.values() for row, i in seen.items()]
+    named = spark.createDataFrame(told, StructType([*terms.select(*own).schema.fields, schema["__query"]]))
+    found = best.where(F.col("__query") >= 0)
+    return found.join(F.broadcast(named), [c for c in ("date", "__query") if c in named.columns])
 
 
 def search(
@@ -84,63 +108,29 @@ def search(
     """Best ``k`` documents per query: ``keys, rank (from 0), docid, score``.
 
     ``keys`` identify a query and contain ``date``; queries without a ``date``
-    column are posed to every slice.  ``cost``, if given, receives the postings
-    of all query terms (``all``) and those that were scored (``scored``).
+    column are posed to every slice, those with a null in their keys to none.
+    Queries with more than ``max_broadcast`` terms and slices are searched in
+    groups.  ``cost``, if given, receives the postings of all query terms
+    (``all``) and those that were scored (``scored``).
     """
-    spot = _spot(keys)
-    bounds = written(_bounds(store, queries, keys, analyzer, k1, b, dates, max_broadcast), "bounds")
-
-    # The most promising blocks hold a document each at least, so so many are enough; fewer are if they hold more.
-    sums = bounds.groupBy(*spot).agg(F.sum("bound").alias("bound"), F.max("n").alias("n"))
-    best = top_k(sums, keys, [F.desc("bound"), *[F.asc(c) for c in PLACE]], SEEDS * k)
-    before = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    seeds = best.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < SEEDS * k)
-    seeded = bounds.join(seeds.select(*spot), spot, "left_semi").select(*spot, "term", "weight", "avgdl")
-    seed_parts = _parts(store, seeded, keys, k1, b, dates, [])
-    seed_scores = seed_parts.groupBy(*spot, "docid").agg(F.sum("part").alias("score"))
-    ranked = top_k(store._living(seed_scores, dates), keys, [F.desc("score")], k)
-    least = written(ranked.where(F.col("rank") == k - 1).select(*keys, F.col("score").alias("least")), "least-scores")
-
-    # Tiers: terms by falling bound; first all without which the rest cannot reach the least score.
-    most = bounds.groupBy(*keys, "term").agg(F.max("bound").alias("most")).join(least, keys, "left").na.fill({"least": -1.0})
-    falling = Window.partitionBy(*keys).orderBy(F.desc("most"), "term")
-    onward = falling.rowsBetween(0, Window.unboundedFollowing)
-    told = most.withColumn("rest", F.sum("most").over(onward)).withColumn("place", F.row_number().over(falling))
-    first = F.sum(F.when(F.col("rest") + SLACK >= F.col("least"), 1).otherwise(0)).over(Window.partitionBy(*keys))
-    count = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    told = told.withColumn("first", first).withColumn("count", count)
-    later = F.ceil((F.col("place") - F.col("first")) * (tiers - 1) / (F.col("count") - F.col("first"))).cast("int")
-    tier = F.when((F.col("place") <= F.col("first")) | F.lit(tiers == 1), 0).otherwise(later)
-    plan = written(told.select(*keys, "term", "least", tier.alias("tier")), "tiers")
-
-    # What a block still promises after each tier; blocks that cannot reach the least score are left out.
-    tiered = bounds.join(plan, [*keys, "term"])
-    rest = F.array(*[F.coalesce(F.sum(F.when(F.col("tier") > i, F.col("bound"))), F.lit(0.0)) for i in range(tiers)])
-    blocks = tiered.groupBy(*spot).agg(F.sum("bound").alias("bound"), F.first("least").alias("least"), rest.alias("rest"))
-    alive = blocks.where(F.col("bound") + SLACK >= F.col("least")).select(*spot, "least", "rest")
-    wanted = written(tiered.drop("least").join(alive, spot).select(*spot, "term", "tier", "n", "weight", "avgdl", "least", "rest"), "wanted")
-
-    held = None
-    for i in range(tiers):
-        of_tier = wanted.where(F.col("tier") == i)
-        if held is None:
-            parts = _parts(store, of_tier, keys, k1, b, dates, ["least", "rest"])
-        else:
-            of_tier = of_tier.join(held.select(*spot).distinct(), spot, "left_semi")
-            parts = _parts(store, of_tier, keys, k1, b, dates, ["least", "rest"])
-            parts = parts.join(held.select(*spot, "docid"), [*spot, "docid"], "left_semi")
-        if cost is not None:
-            cost["scored"] = cost.get("scored", 0) + parts.count()
-        if held is not None:
-            parts = parts.unionByName(held.withColumnRenamed("score", "part"))
-        scores = parts.groupBy(*spot, "docid").agg(
-            F.sum("part").alias("score"), F.first("least").alias("least"), F.first("rest").alias("rest")
-        )
-        kept = scores.where(F.col("score") + F.col("rest")[i] + SLACK >= F.col("least"))
-        held = written(store._living(kept, dates).select(*spot, "docid", "least", "rest", "score"), f"tier-{i}")
+    own = [c for c in keys if c != "date" or "date" in queries.columns]
+    terms = query_terms(queries.dropna(subset=own), own, analyzer)
+    slices = 1 if "date" in own else max(1, len({d for _, d, _ in store.parts if dates is None or d in dates}))
+    n_terms = terms.count()
+    groups = 1
+    if n_terms * slices > max_broadcast:
+        terms = written(terms, "query-terms")
+        groups = min(-(-n_terms * slices // max(1, max_broadcast)), terms.select(*own).distinct().count())
+    rules = bounded.Rules(k, k1, b, tiers, digits)
+    sums: list | None = None if cost is None else []
+    of = F.pmod(F.xxhash64(*own), F.lit(groups))
+    found = [_found(store, terms if groups == 1 else terms.where(of == i), own, rules, dates, sums) for i in range(groups)]
+    found = [f.select(*keys, "docid", "score") for f in found if f is not None]
     if cost is not None:
-        cost["scored"] += seed_parts.count()
-        cost["all"] = bounds.agg(F.sum("n")).first()[0] or 0
-    final = held.select(*keys, "docid", F.round("score", digits).alias("score"))
-    ranked = top_k(final, keys, [F.desc("score"), F.asc("docid")], k)
+        for c in ("all", "scored"):
+            cost[c] = sum(s[c] or 0 for s in sums)
+    if not found:
+        empty = StructType([*[queries.schema[c] if c in own else StructType.fromDDL(SCHEMA)[c] for c in keys], *StructType.fromDDL("rank int, docid string, score double")])
+        return store.spark.createDataFrame([], empty)
+    ranked = top_k(reduce(DataFrame.unionByName, found), keys, [F.desc("score"), F.asc("docid")], k)
     return ranked.select(*keys, "rank", "docid", "score")
